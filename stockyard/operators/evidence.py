@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions.cells import shortened, strip
+from stockyard.shipping import ship
 
 # Phrases of block pages, markers of anti-bot failures.
 BLOCK_PHRASES = ("access denied", "attention required", "captcha", "forbidden", "just a moment", "service unavailable", "temporarily unavailable")
@@ -128,6 +129,7 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", longest:
                 }
             )
 
+    ship(df.sparkSession)
     out = df.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, "url string, title string, meta_description string, content string")
     return out.withColumn("content", shortened(F.col("content"), longest)).withColumn("content_length", F.length("content"))
 
@@ -137,6 +139,7 @@ def decode_bodies(df: DataFrame, body: str, content_type: str, out: str = "text"
 
     UTF-8 is decoded by the JVM; only other charsets go through Python.
     """
+    ship(df.sparkSession)
     charset = F.lower(F.regexp_extract(F.coalesce(F.col(content_type), F.lit("")), r"""(?i)charset\s*=\s*["']?([^\s;"']+)""", 1))
 
     @F.pandas_udf("string")
@@ -283,6 +286,7 @@ def extract_play_pages(df: DataFrame, package: str = "package", html: str = "htm
             found = [{"app_name": "", "rating": 0.0, "rating_count": 0, "package": p, **play_fields(parse(h))} for p, h in zip(pdf["package"], pdf["html"])]
             yield pd.DataFrame({n: [x.get(n, "") for x in found] for n in names})
 
+    ship(df.sparkSession)
     parsed = rows.filter(~F.col("blocked")).select("package", "html").mapInPandas(run, PLAY)
     kinds = {f.split()[0]: f.split()[1] for f in PLAY.split(", ")}
     fixed = {"success": F.lit(False), "error": F.lit("Blocked by the store"), "package": F.col("package")}

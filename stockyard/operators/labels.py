@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.cells import contains_any, hits, shortened, strip
 from stockyard.operators import ladder, spend
+from stockyard.shipping import ship
 
 # Fixed values of labels.
 QUALITIES = ("Premium", "Standard", "Long Tail")
@@ -368,4 +369,5 @@ def assemble_ctv_results(items: DataFrame, research: DataFrame, labels: DataFram
 
 def score(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str = "item string, json string") -> DataFrame:
     """A scorer of one's own over evidence rows; its replies go to `unwrap_replies`. Parallel by partition."""
+    ship(df.sparkSession)
     return df.mapInPandas(fn, schema)
