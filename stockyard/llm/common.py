@@ -1,15 +1,17 @@
-"""What the training-data operators share: tables, shared storage, shipping of this package."""
+"""What the training-data operators share: tables, shared storage, hold-out buckets."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockyard.shipping import ship
+
+__all__ = ["SPACES", "bucket_of", "shared_dir", "ship", "stored", "table"]
+
 #: ASCII white space, the only separator of words in the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -38,22 +40,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers once per Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_stockyard_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="spark-"), "stockyard_llm.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder in ("", "llm"):
-            for name in sorted(os.listdir(os.path.join(root, folder))):
-                if name.endswith(".py"):
-                    z.write(os.path.join(root, folder, name), os.path.join("stockyard", folder, name))
-    sc.addPyFile(out)
-    sc._stockyard_shipped = True
-
-
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the contracts' hold-out rule. A null id falls in bucket 0's complement, 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(1))
