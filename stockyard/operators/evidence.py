@@ -289,7 +289,7 @@ def extract_play_pages(df: DataFrame, package: str = "package", html: str = "htm
     ship(df.sparkSession)
     parsed = rows.filter(~F.col("blocked")).select("package", "html").mapInPandas(run, PLAY)
     kinds = {f.split()[0]: f.split()[1] for f in PLAY.split(", ")}
-    fixed = {"success": F.lit(False), "error": F.lit("Blocked by the store"), "package": F.col("package")}
+    fixed = {"success": F.lit(False), "error": F.lit("Blocked by Google Play Store"), "package": F.col("package")}
     blocked = rows.filter("blocked").select(*[fixed.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names])
     return parsed.unionByName(blocked)
 

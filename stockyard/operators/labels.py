@@ -284,7 +284,7 @@ def fill_decision_status(df: DataFrame) -> DataFrame:
     blank = F.coalesce(F.trim("content"), F.lit("")) == ""
     failed = F.col("Quality") == "Failed"
     status = F.when(failed | blank, "skipped").otherwise(F.coalesce("Decision_Status", F.lit("")))
-    error = F.when(failed, "Primary analysis failed; decisions were not requested").when(blank, "No source content available").otherwise(F.coalesce("Decision_Error", F.lit("")))
+    error = F.when(failed, "Primary analysis failed; custom categories not evaluated").when(blank, "No source content available").otherwise(F.coalesce("Decision_Error", F.lit("")))
     return df.withColumn("Decision_Status", status).withColumn("Decision_Error", error)
 
 
@@ -357,12 +357,12 @@ def assemble_ctv_results(items: DataFrame, research: DataFrame, labels: DataFram
     good = enough & F.coalesce(F.col("quality"), F.lit("")).isin(*QUALITIES)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pick = lambda c, failed: F.when(good, text(c)).otherwise(failed)
-    reason = F.when(~enough, "Processing failed: No meaningful research evidence available").otherwise("Processing failed: Unparseable classification response")
+    reason = F.when(~enough, "Research failed: No meaningful research evidence available").otherwise(f"Classification failed: {NO_ARGUMENTS}")
     values = {
         "App_Name": text("app_name"), "Type": F.lit("CTV"), "Bundle_ID": text("bundle_id"), "SSP": text("ssp"), "Publisher": text("publisher"), "Platform": _or("platform", "Unknown"), "URL": text("url"),
         "Quality": pick("quality", F.lit("Failed")), "Justification": pick("justification", reason), "IAB Tier 1": pick("tier1", F.lit("N/A")), "IAB Tier 2": pick("tier2", F.lit("N/A")), "IAB Tier 3": pick("tier3", F.lit("N/A")), "Description": pick("description", F.lit("N/A")),
-        "Target_Audience": pick("target_audience", F.lit("N/A")), "Content_Type": pick("content_type", F.lit("N/A")), "Language": pick("language", F.lit("Unknown")), "Political_Leaning": pick("political_leaning", F.lit("Non-Political")), "Network_Affiliation": pick("network_affiliation", F.lit("")), "Audience_Size": pick("audience_size", F.lit("Unknown")),
-        "Research_Summary": text("summary"), "Processing_Time": F.coalesce(F.col("seconds").cast("decimal(18,2)").cast("string"), F.lit("")), "Research_Model": text("research_model"), "Classification_Model": pick("classification_model", F.lit("")), "Processed_At": text("processed_at"), "Cost_USD": text("Cost_USD"),
+        "Target_Audience": pick("target_audience", F.lit("N/A")), "Content_Type": pick("content_type", F.lit("N/A")), "Language": pick("language", F.lit("Unknown")), "Political_Leaning": pick("political_leaning", F.lit("Non-Political")), "Network_Affiliation": pick("network_affiliation", F.lit("N/A")), "Audience_Size": pick("audience_size", F.lit("Unknown")),
+        "Research_Summary": text("summary"), "Processing_Time": F.coalesce(F.col("seconds").cast("decimal(18,2)").cast("string"), F.lit("")), "Research_Model": text("research_model"), "Classification_Model": text("classification_model"), "Processed_At": text("processed_at"), "Cost_USD": text("Cost_USD"),
     }
     return rows.select(*[values[c].alias(c) for c in CTV_RESULT_COLUMNS])
 

@@ -514,7 +514,7 @@ def _(spark, sf, rows):
     return labels.decode_decisions(rows, SPEC).select("item", "Custom: Kids", "Custom: Colour", "P: Colour / Blue", "Decision_Status", "Decision_Provider")
 
 
-@query("d12_fill_decision_status", ["results"], """SELECT seq, CASE WHEN "Quality" = 'Failed' OR trim("Description") = '' THEN 'skipped' ELSE '' END AS "Decision_Status", CASE WHEN "Quality" = 'Failed' THEN 'Primary analysis failed; decisions were not requested' WHEN trim("Description") = '' THEN 'No source content available' ELSE '' END AS "Decision_Error" FROM results""")
+@query("d12_fill_decision_status", ["results"], """SELECT seq, CASE WHEN "Quality" = 'Failed' OR trim("Description") = '' THEN 'skipped' ELSE '' END AS "Decision_Status", CASE WHEN "Quality" = 'Failed' THEN 'Primary analysis failed; custom categories not evaluated' WHEN trim("Description") = '' THEN 'No source content available' ELSE '' END AS "Decision_Error" FROM results""")
 def _(spark, sf, rows):
     none = F.lit(None).cast("string")
     return labels.fill_decision_status(rows.select("seq", "Quality", F.col("Description").alias("content"), none.alias("Decision_Status"), none.alias("Decision_Error"))).select("seq", "Decision_Status", "Decision_Error")
