@@ -12,7 +12,7 @@ place where it stands. Overlapping windows add up to maximal repeats of at least
 
 Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
 row per task; joins on anchors and runs are plain equi-joins, split at run time when skewed. Texts are
-shuffled once, by their digest: copies are one text there, so groups of copies of any size are one row.
+shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are one row.
 
 Null text has no words. Texts of equal words are one class: its first document is the smallest id; others
 of `length` words or more lose all their words. Rows that repeat an id with equal words share a result;
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import SPACES, ship, stored
+from stockyard.llm.common import ship, stored
 from stockyard.llm.tokens import Words, mix, pieces, rolled, signed
 
 U = np.uint64
@@ -64,9 +65,38 @@ def run_edges(start: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+def digest_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """(id, digest, and the words joined by one space, compressed) of each row."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
+        digests, packed = [], []
         for lo, hi, data, offs in pieces(batch.column(1)):
+            whole, at = data.tobytes(), offs.tolist()
+            for r in range(hi - lo):
+                words = b" ".join(whole[at[r] : at[r + 1]].split())
+                digests.append(hashlib.md5(words).digest())
+                if with_text:
+                    packed.append(squeeze.compress(words))
+        columns = [batch.column(0), pa.array(digests, type=pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, *([pa.array(packed, type=pa.binary())] if with_text else [])], names=["id", "digest", "packed"][: 2 + with_text])
+
+
+def unpacked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """`pieces` of compressed texts."""
+    expand = zstandard.ZstdDecompressor()
+    held, first, size = [], 0, 0
+    for i, x in enumerate(column):
+        held.append(expand.decompress(x.as_py()))
+        size += len(held[-1])
+        if size > 1 << 21 or i + 1 == len(column):
+            ends = np.concatenate(([0], np.cumsum([len(t) for t in held])))
+            yield first, i + 1, np.frombuffer(b"".join(held), dtype=np.uint8), ends
+            held, first, size = [], i + 1, 0
+
+
+def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offs in unpacked(batch.column(1)):
             w = Words(data, offs)
             start, anchor, h = window_anchors(w, length, k)
             e = run_edges(start, anchor)
@@ -78,7 +108,7 @@ def run_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Itera
     """Runs of the repeated anchors of each text: column 3 lists where they begin."""
     names = ["first_id", "digest", "anchor", "run", "at", "windows"]
     for batch in batches:
-        for lo, hi, data, offs in pieces(batch.column(2)):
+        for lo, hi, data, offs in unpacked(batch.column(2)):
             w = Words(data, offs)
             start, anchor, h = window_anchors(w, length, k)
             e = run_edges(start, anchor)
@@ -105,7 +135,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     """Counts and digests of what stays of each text, given its covered windows (column 2: [at, n] pairs)."""
     names = ["c_digest", "first_id", "n_words", "n_removed", "kept_sha256", "kept"]
     for batch in batches:
-        for lo, hi, data, offs in pieces(batch.column(1)):
+        for lo, hi, data, offs in unpacked(batch.column(1)):
             w = Words(data, offs)
             gone = np.zeros(len(w) + 1, dtype=np.int64)
             covered = batch.column(2).slice(lo, hi - lo)
@@ -127,11 +157,11 @@ def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
 def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: n_words, n_removed, kept_sha256, and the text that stays if asked for."""
     ship(docs.sparkSession)
-    words = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " "))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("body"))
-    rows = rows.select("id", "body", F.unhex(F.md5("body")).alias("digest"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = source.mapInArrow(lambda it: digest_batches(it, False), "id long, digest binary")
     # one row per distinct word sequence; its text is any of its equal texts
-    texts = rows.groupBy("digest").agg(F.any_value("body").alias("body"), F.coalesce(F.min("id"), F.lit(LAST)).alias("first_id"))
+    packed = source.mapInArrow(lambda it: digest_batches(it, True), "id long, digest binary, packed binary")
+    texts = packed.groupBy("digest").agg(F.any_value("packed").alias("body"), F.coalesce(F.min("id"), F.lit(LAST)).alias("first_id"))
 
     # every use takes the same columns of `texts`, so that one shuffle of them serves all uses in a job
     anchors = texts.select("digest", "body", "first_id").mapInArrow(lambda it: anchor_batches(it, length, k), "digest binary, anchor long, at int")
