@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockyard.shipping import ship
 
-__all__ = ["SPACES", "bucket_of", "shared_dir", "ship", "stored", "table"]
+__all__ = ["SPACES", "Workspace", "bucket_of", "if_small", "shared_dir", "ship", "stored", "table"]
 
 #: ASCII white space, the only separator of words in the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -40,6 +40,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Written tables that go when the work is done: `stored` within a block, deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.path}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows, written and counted, with a broadcast hint if they are at most `most`."""
+    df = stored(df, "keys")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the contracts' hold-out rule. A null id falls in bucket 0's complement, 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(1))

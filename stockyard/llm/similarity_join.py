@@ -9,9 +9,11 @@ of any T shared shingles one is among the first n - T + 1, so only those enter t
 * Long lists (over `short` documents) are not merged. Their shingles move to the end of the order, the
   documents concerned extend their prefixes by others, and the search repeats among those documents only.
 * Documents that have nothing but long lists left (large groups of near copies) meet in rounds: in each
-  long list one document is compared with all others, and what links becomes one component; only pairs
-  of documents of different components are compared in the end. So a group of near copies costs its size,
-  not its square, and no link is lost, whatever the size of a list.
+  long list one document is compared with all others, and what links becomes one component. In the end
+  the documents outside the largest component of a list are queries to blocks of the documents that
+  share a long list with them: a block merges its short lists, probes its long ones and returns at most
+  one link for each other component. So a group of near copies costs its size, not its square, pairs are
+  never listed, and no link is lost, whatever the size of a list.
 
 Candidates are checked by probing the whole sorted sets. Texts go to the blocks that compare them, once
 per block; copies never take part, as equal word sequences are one class. Classes are keyed by a 64-bit
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import ship, stored
+from stockyard.llm.common import Workspace, if_small, ship, stored
 from stockyard.llm.components import components
 from stockyard.llm.tokens import Words, mix, pieces, rolled, signed
 
@@ -143,27 +145,99 @@ def compare(k: int):
     return run
 
 
+def divide_skip(percent: int, k: int, long_: int = 32, few: int = 64):
+    """T-occurrence search of the queries of one block among its targets; one link per other component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets: list[np.ndarray] = []
+        for lo, hi, data, offs in pieces(pa.array(pdf["body"], type=pa.string())):
+            row, h = sets_of(Words(data, offs, lower=True), k)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=hi - lo))))
+            sets += [h[ends[r] : ends[r + 1]] for r in range(hi - lo)]
+        keys, labels = pdf["key"].to_numpy(), pdf["label"].to_numpy()
+        targets = np.flatnonzero(pdf["target"].to_numpy())
+        sizes = np.array([len(sets[t]) for t in targets], dtype=np.int64)
+        tokens = np.concatenate([sets[t] for t in targets]) if len(targets) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(targets)), sizes)[order]
+        out: list[tuple[int, int]] = []
+
+        def counted(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+            """How many of the lists hold each target: all lists merged into counters."""
+            if not size.sum():
+                return np.zeros(len(targets), dtype=np.int64)
+            at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            return np.bincount(owner[at], minlength=len(targets))
+
+        for q in np.flatnonzero(pdf["query"].to_numpy()):
+            mine = sets[q]
+            need = (percent * len(mine) + 99) // 100
+            begin = np.searchsorted(tokens, mine)
+            size = np.searchsorted(tokens, mine, side="right") - begin
+            if int((size > 0).sum()) < need:
+                continue
+            by_size = np.argsort(-size, kind="stable")
+            skipped = by_size[: min(need - 1, int((size > long_).sum()))]
+            merged = np.ones(len(mine), dtype=bool)
+            merged[skipped] = False
+            count = counted(begin[merged], size[merged])
+            near = np.flatnonzero((count >= need - len(skipped)) & (labels[targets] != labels[q]))
+            if len(near) <= few:
+                rare = np.sort(mine[skipped])
+                total = np.array([count[c] + int(within(rare, sets[targets[c]]).sum()) for c in near.tolist()], dtype=np.int64)
+            else:
+                total = (count + counted(begin[skipped], size[skipped]))[near]
+            linked = near[100 * total >= percent * (len(mine) + sizes[near] - total)]
+            _, once = np.unique(labels[targets[linked]], return_index=True)
+            out += [(int(keys[q]), int(keys[targets[c]])) for c in linked[once].tolist()]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
 class Search:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, short: int, rounds: int, list_limit: int):
-        self.k, self.percent, self.short, self.rounds, self.list_limit = k, percent, short, rounds, list_limit
-        self.spark = docs.sparkSession
+    def __init__(self, work: Workspace, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, short: int, rounds: int, list_limit: int, leaders: int):
+        self.k, self.percent, self.short, self.rounds, self.list_limit, self.leaders = k, percent, short, rounds, list_limit, leaders
+        self.spark, self.work = docs.sparkSession, work
         ship(self.spark)
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
         self.seed = 0
         while True:
-            self.base = stored(self._prefixes(None, None), "shingle-prefixes")
+            self.base = self.work.stored(self._prefixes(None, None), "shingle-prefixes")
             classes = self.base.filter("n > 0").groupBy("key").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-            self.classes = stored(classes, "classes")
+            self.classes = self.work.stored(classes, "classes")
             if not self.classes.filter("c0 <> c1").limit(1).count():
                 break
             self.seed += 1
 
-    def _prefixes(self, before, after) -> DataFrame:
+    def _prefixes(self, before, after, among: DataFrame | None = None) -> DataFrame:
+        """`among`: rows with the ids to look at; the documents of the turn before."""
         k, percent, seed = self.k, self.percent, self.seed
         if after is None:
             return self.rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, None, None), f"{KEYS}, prefix array<long>")
         sent = self.spark.sparkContext.broadcast((before, after))
-        return self.rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, *sent.value), f"{KEYS}, prefix array<long>, added array<boolean>")
+        rows = self.rows if among is None else self.of_ids(among.select("id"))
+        return rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, *sent.value), f"{KEYS}, prefix array<long>, added array<boolean>")
+
+    def of_ids(self, ids: DataFrame) -> DataFrame:
+        """The documents with these ids; the ids are broadcast if there are few."""
+        ids = self.work.stored(ids.toDF("i").distinct(), "ids")
+        return self.rows.join(F.broadcast(ids) if ids.count() <= self.list_limit else ids, F.col("id").eqNullSafe(F.col("i")), "left_semi")
+
+    def bodies(self, needed: DataFrame) -> DataFrame:
+        """`needed` (key, ...) with the text of each class."""
+        needed = self.work.stored(needed.join(self.classes.select("key", "first_id"), "key"), "needed")
+        k, seed = self.k, self.seed
+
+        def keyed(batches):
+            for batch in batches:
+                for lo, hi, data, offs in pieces(batch.column(1)):
+                    key, _ = keys_of(Words(data, offs, lower=True), seed)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(key)), batch.column(1).slice(lo, hi - lo)], names=["t_id", "t_key", "body"])
+
+        texts = self.of_ids(needed.select("first_id")).mapInArrow(keyed, "t_id long, t_key long, body string")
+        found = needed.join(texts, (F.col("key") == F.col("t_key")) & F.col("first_id").eqNullSafe(F.col("t_id")))
+        return found.drop("first_id", "t_id", "t_key")
 
     def lists(self, sets: DataFrame, fresh: bool) -> DataFrame:
         """Postings (tok, key, n, pos) of shingles that two classes or more have in their prefixes."""
@@ -171,14 +245,14 @@ class Search:
             posts = sets.select("key", "n", F.posexplode("prefix").alias("pos", "tok"))
         else:
             posts = sets.select("key", "n", F.posexplode(F.arrays_zip("prefix", "added")).alias("pos", "x")).select("key", "n", "pos", F.col("x.prefix").alias("tok"), F.col("x.added").alias("added"))
-            new = stored(posts.filter("added").select("tok").distinct(), "added")
+            new = self.work.stored(posts.filter("added").select("tok").distinct(), "added")
             posts = posts.drop("added").join(F.broadcast(new) if new.count() <= self.list_limit else new, "tok", "left_semi")
         met = posts.groupBy("tok").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("tok")
-        return stored(posts.join(met, "tok").select("tok", "key", "n", "pos").dropDuplicates(["tok", "key"]), "postings")
+        return self.work.stored(posts.join(met, "tok").select("tok", "key", "n", "pos").dropDuplicates(["tok", "key"]), "postings")
 
     def long_lists(self, lists: DataFrame) -> DataFrame:
         """Shingles with more than `short` documents; the limit is raised until they can be broadcast."""
-        counts = stored(lists.groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "list-sizes")
+        counts = self.work.stored(lists.groupBy("tok").agg(F.count(F.lit(1)).alias("df")), "list-sizes")
         limit = self.short
         while (found := counts.filter(F.col("df") > limit).select("tok")).count() > self.list_limit:
             limit *= 4
@@ -197,31 +271,17 @@ class Search:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(x, y, common, joint) of distinct pairs of class keys, compared block by block."""
-        pairs = stored(pairs, "candidates")
+        pairs = self.work.stored(pairs, "candidates")
         total = pairs.count()
         blocks = max(1, math.ceil(total / 2000))
         low = pairs.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("low"))
         placed = pairs.join(low, "x", "left").withColumn("g", F.coalesce("low", "x"))
         tiles = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 1000)).alias("k"))
         tile = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
-        placed = stored(placed.join(tiles, "g").select("x", "y", F.pmod(F.xxhash64("g", tile("x"), tile("y")), F.lit(blocks)).cast("int").alias("b")), "blocks")
+        placed = self.work.stored(placed.join(tiles, "g").select("x", "y", F.pmod(F.xxhash64("g", tile("x"), tile("y")), F.lit(blocks)).cast("int").alias("b")), "blocks")
         needed = placed.select("b", F.col("x").alias("key")).union(placed.select("b", F.col("y").alias("key"))).distinct()
-        needed = stored(needed.join(self.classes.select("key", "first_id"), "key").select("b", "key", "first_id"), "needed")
-        ids = needed.select(F.col("first_id").alias("i")).distinct()
-        few = ids.count() <= self.list_limit
-        rows = self.rows.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        k, seed = self.k, self.seed
-
-        def keyed(batches):
-            for batch in batches:
-                for lo, hi, data, offs in pieces(batch.column(1)):
-                    key, _ = keys_of(Words(data, offs, lower=True), seed)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(key)), batch.column(1).slice(lo, hi - lo)], names=["id", "key", "body"])
-
-        texts = rows.mapInArrow(keyed, "id long, key long, body string").withColumnRenamed("key", "t_key")
-        bodies = needed.join(texts, (F.col("key") == F.col("t_key")) & F.col("first_id").eqNullSafe(F.col("id"))).select("b", "key", "body")
-        out = placed.groupBy("b").cogroup(bodies.groupBy("b")).applyInPandas(compare(k), "x long, y long, common long, joint long")
-        return stored(out, "compared")
+        out = placed.groupBy("b").cogroup(self.bodies(needed).groupBy("b")).applyInPandas(compare(self.k), "x long, y long, common long, joint long")
+        return self.work.stored(out, "compared")
 
     def links_of(self, compared: DataFrame) -> DataFrame:
         return compared.filter(100 * F.col("common") >= self.percent * F.col("joint")).select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -229,7 +289,7 @@ class Search:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links between class keys, labels of linked keys)."""
         before, pairs, stuck = np.zeros(0, dtype=np.uint64), [], []
-        lists, known = self.lists(self.base, True), None
+        lists, known, sets = self.lists(self.base, True), None, None
         for turn in range(self.rounds):
             heavy = self.long_lists(lists)
             found = np.sort(np.array([r.tok for r in heavy.collect()], dtype=np.int64).view(np.uint64))
@@ -247,19 +307,20 @@ class Search:
             if last:
                 break
             after = np.union1d(before, new)
-            known = heavy if known is None else stored(known.union(heavy).distinct(), "long-lists")
-            lists = self.lists(stored(self._prefixes(before, after), "shingle-prefixes"), False)
+            known = heavy if known is None else self.work.stored(known.union(heavy).distinct(), "long-lists")
+            sets = self.work.stored(self._prefixes(before, after, sets), "shingle-prefixes")
+            lists = self.lists(sets, False)
             before = after
         candidates = pairs[0]
         for more in pairs[1:]:
             candidates = candidates.union(more)
         links = self.links_of(self.verified(candidates.distinct()))
-        labels = components(links)
+        labels = components(links, self.work)
         if stuck:
             posts = stuck[0]
             for more in stuck[1:]:
                 posts = posts.union(more)
-            links, labels = self.by_leaders(stored(posts.distinct(), "long-postings"), links, labels)
+            links, labels = self.by_leaders(self.work.stored(posts.distinct(), "long-postings"), links, labels)
         return links, labels
 
     def by_leaders(self, posts: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,49 +330,64 @@ class Search:
             """Postings of lists whose documents are not all in one component yet."""
             named = posts.join(labels, posts.key == labels.node, "left").select("tok", "key", "n", F.coalesce("label", "key").alias("label"))
             lists = named.groupBy("tok").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("tok")
-            return stored(named.join(lists, "tok", "left_semi"), "mixed-lists")
+            return self.work.stored(named.join(lists, "tok", "left_semi"), "mixed-lists")
 
-        def linked(pairs: DataFrame) -> DataFrame:
+        def add(got: DataFrame) -> None:
             nonlocal labels
-            got = self.links_of(self.verified(pairs.distinct()))
             every.append(got)
-            # old labels are nodes of the next graph: a label stands for its component
-            star = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            labels = components(star.union(got))
-            return got
+            # a label stands for its component: old labels are links of the next graph
+            labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(got), self.work)
 
         rest = mixed(labels)
-        for turn in range(6):
+        for turn in range(self.leaders):
             if not rest.limit(1).count():
                 break
             leader = rest.groupBy("tok").agg(F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(turn))).alias("l"))
             star = rest.join(leader, "tok").filter("label <> l.label").select(F.least("key", "l.key").alias("x"), F.greatest("key", "l.key").alias("y"), "n", F.col("l.n").alias("ln"))
-            linked(star.filter(self.allowed("n", "ln")).select("x", "y"))
+            add(self.links_of(self.verified(star.filter(self.allowed("n", "ln")).select("x", "y").distinct())))
             rest = mixed(labels)
         if rest.limit(1).count():
-            left = rest.select("tok", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-            right = rest.select("tok", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-            linked(left.join(right, "tok").filter(self.allowed("nx", "ny") & F.expr("lx <> ly")).select("x", "y"))
+            add(self.by_blocks(rest))
         out = every[0]
         for more in every[1:]:
             out = out.union(more)
         return out.distinct(), labels
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, short: int = 48, rounds: int = 5, list_limit: int = 1 << 20) -> DataFrame:
+    def by_blocks(self, rest: DataFrame, targets: int = 1000, queries: int = 2000) -> DataFrame:
+        """Links between components that share a long list, by T-occurrence search in blocks of bounded size."""
+        largest = rest.groupBy("tok", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tok").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+        asked = rest.join(largest, "tok").filter("label <> most").select("tok", F.col("key").alias("x"), F.col("label").alias("x_label"))
+        home = self.work.stored(rest.groupBy("key").agg(F.min("tok").alias("home"), F.any_value("label").alias("label")), "homes")
+        parts = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / targets).alias("k"))
+        blocks = max(1, math.ceil(home.count() / targets))
+        placed = home.join(parts, "home").select("key", "label", F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("k"))), F.lit(blocks)).cast("int").alias("b"))
+        placed = self.work.stored(placed, "targets")
+        where = rest.select("tok", "key").join(placed.select("key", "b"), "key").select("tok", "b").distinct()
+        routed = self.work.stored(asked.join(where, "tok").select("b", "x", "x_label").distinct(), "queries")
+        slices = routed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("s"))
+        ask = routed.join(slices, "b").select("b", F.pmod(F.xxhash64("x"), F.col("s")).cast("int").alias("part"), F.col("x").alias("key"), F.col("x_label").alias("label"), F.lit(False).alias("target"), F.lit(True).alias("query"))
+        give = placed.join(slices, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part"), "key", "label", F.lit(True).alias("target"), F.lit(False).alias("query"))
+        found = self.bodies(ask.unionByName(give)).groupBy("b", "part").applyInPandas(divide_skip(self.percent, self.k), "u long, v long")
+        return self.work.stored(found.distinct(), "block-links")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, short: int = 48, rounds: int = 4, list_limit: int = 1 << 20, leaders: int = 1) -> DataFrame:
     """One row per document: n_shingles and component_id, the smallest id reachable by links."""
-    s = Search(docs, id_col, text_col, k, percent, short, rounds, list_limit)
-    _, labels = s.run()
-    named = s.classes.join(labels, s.classes.key == labels.node, "left").select("key", "first_id", F.coalesce("label", "key").alias("label"))
-    named = stored(named, "named-classes")
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(lowest, "label").select(F.col("key").alias("c_key"), "component_id")
-    rows = s.base.select("id", "key", "n")
-    out = rows.join(of_class, (rows.key == of_class.c_key) & (rows.n > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    with Workspace(docs.sparkSession) as work:
+        s = Search(work, docs, id_col, text_col, k, percent, short, rounds, list_limit, leaders)
+        _, labels = s.run()
+        named = s.classes.join(labels, s.classes.key == labels.node, "left").select("key", "first_id", F.coalesce("label", "key").alias("label"))
+        named = work.stored(named, "named-classes")
+        lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        of_class = named.join(lowest, "label").select(F.col("key").alias("c_key"), "component_id")
+        rows = s.base.select("id", "key", "n")
+        out = rows.join(of_class, (rows.key == of_class.c_key) & (rows.n > 0), "left")
+        return stored(out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "components")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay when one of each component does, with all their columns."""
     gone = join(docs, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = if_small(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

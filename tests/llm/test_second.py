@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from stockyard.llm import quality, similarity_join, substring_dedup, suffix_tree
+from stockyard.llm.common import Workspace
 from stockyard.llm.components import components
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -95,7 +96,8 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             parent[find(a)] = find(b)
-    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    with Workspace(spark) as work:
+        got = {x.node: x.label for x in components(spark.createDataFrame(edges, "u long, v long"), work).collect()}
     groups = defaultdict(set)
     for a in got:
         groups[find(a)].add(got[a])
