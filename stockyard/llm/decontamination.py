@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import ship
+from stockyard.llm.common import if_small, ship
 from stockyard.llm.tokens import ALNUM, Words, pieces, signed
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -137,5 +137,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any word inside a benchmark window, with all their columns."""
-    found = contamination(docs, benchmark, n, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("__hit"))
+    found = contamination(docs, benchmark, n, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("__hit")).distinct()
+    found = if_small(found)
     return docs.join(found, docs[id_col].eqNullSafe(found["__hit"]), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import SPACES
+from stockyard.llm.common import SPACES, if_small
 
 
 def normalised(text: str) -> Column:
@@ -49,5 +49,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    keep = distinct_texts(docs, id_col, normalised(text_col)).select(F.col("keep_id").alias("__keep"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    gone = decisions(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    gone = if_small(gone)
+    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.sha2(normalised(text_col), 256) == gone["__sha"])
+    return docs.join(gone, same, "left_anti")
