@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import ship
+from stockyard.llm.common import ship, stored
 
 ARCHIVES = "archive binary"
 NORMALISED = "archive binary, records array<struct<offset:long,length:long,record_id:string>>"
@@ -37,14 +37,17 @@ DATE = "2024-01-01T00:00:00Z"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def records_of(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
+def records_of(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int, few: int = 200_000) -> DataFrame:
     """id, url, payload (null for revisits), n_bytes, digest, refers_to."""
     body = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    groups = rows.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("g_digest"), "first")
-    again = rows.filter(F.col("n_bytes") >= least).select("id", "digest").join(groups, F.col("digest") == F.col("g_digest")).filter("not (id <=> first)").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "first").distinct()
+    # who revisits whom is found on digests alone; payloads are shuffled only if that list is too long to broadcast
+    brief = rows.filter(F.col("n_bytes") >= least).select("id", "digest")
+    groups = brief.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("g_digest"), "first")
+    again = brief.join(groups, F.col("digest") == F.col("g_digest")).filter("not (id <=> first)").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "first").distinct()
+    again = stored(again, "revisits")
+    again = F.broadcast(again) if again.count() <= few else again
     joined = rows.join(again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     revisit = F.col("first").isNotNull()
     return joined.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "n_bytes", "digest", F.col("first").alias("refers_to"))
