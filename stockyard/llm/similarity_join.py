@@ -84,7 +84,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 def prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed: int, before: np.ndarray | None, after: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Keys, set sizes and prefixes. With `after`: only rows whose prefix, with the lists of `before` last,
-    holds one of the long lists of `after`; their prefix has all of `after` last, and `added` marks what is new."""
+    holds one of the long lists of `after`; their prefix has all of `after` last."""
     for batch in batches:
         for lo, hi, data, offs in pieces(batch.column(1)):
             w = Words(data, offs, lower=True)
@@ -94,7 +94,6 @@ def prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed: int,
             p = np.where(n > 0, prefix_length(n, percent), 0)
             key, check = keys_of(w, seed)
             keep = np.ones(hi - lo, dtype=bool)
-            old = np.zeros(0, dtype=bool)
             if after is not None:
                 late, late_before = within(h, after), within(h, before)
                 order = np.lexsort((h, late_before, row))
@@ -103,7 +102,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed: int,
                 old = rank < p[row]
                 keep = np.bincount(row[old & late & ~late_before], minlength=hi - lo) > 0
                 order = np.lexsort((h, late, row))
-                h, old = h[order], old[order]
+                h = h[order]
             inside = (np.arange(len(h)) - first[row] < p[row]) & keep[row]
             chosen = np.flatnonzero(keep)
             ends = np.concatenate(([0], np.cumsum(p[chosen]))).astype(np.int32)
@@ -115,11 +114,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed: int,
                 pa.array(n[chosen].astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[inside]))),
             ]
-            names = ["id", "key", "check", "n_words", "n", "prefix"]
-            if after is not None:
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(~old[inside])))
-                names.append("added")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "check", "n_words", "n", "prefix"])
 
 
 def compare(k: int):
@@ -217,7 +212,7 @@ class Search:
             return self.rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, None, None), f"{KEYS}, prefix array<long>")
         sent = self.spark.sparkContext.broadcast((before, after))
         rows = self.rows if among is None else self.of_ids(among.select("id"))
-        return rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, *sent.value), f"{KEYS}, prefix array<long>, added array<boolean>")
+        return rows.mapInArrow(lambda it: prefixes(it, k, percent, seed, *sent.value), f"{KEYS}, prefix array<long>")
 
     def of_ids(self, ids: DataFrame) -> DataFrame:
         """The documents with these ids; the ids are broadcast if there are few."""
@@ -239,14 +234,12 @@ class Search:
         found = needed.join(texts, (F.col("key") == F.col("t_key")) & F.col("first_id").eqNullSafe(F.col("t_id")))
         return found.drop("first_id", "t_id", "t_key")
 
-    def lists(self, sets: DataFrame, fresh: bool) -> DataFrame:
-        """Postings (tok, key, n, pos) of shingles that two classes or more have in their prefixes."""
-        if fresh:
-            posts = sets.select("key", "n", F.posexplode("prefix").alias("pos", "tok"))
-        else:
-            posts = sets.select("key", "n", F.posexplode(F.arrays_zip("prefix", "added")).alias("pos", "x")).select("key", "n", "pos", F.col("x.prefix").alias("tok"), F.col("x.added").alias("added"))
-            new = self.work.stored(posts.filter("added").select("tok").distinct(), "added")
-            posts = posts.drop("added").join(F.broadcast(new) if new.count() <= self.list_limit else new, "tok", "left_semi")
+    def lists(self, sets: DataFrame) -> DataFrame:
+        """Postings (tok, key, n, pos) of shingles that two classes or more have in their prefixes.
+
+        Every shingle of a prefix is listed, also those of the turn before: its place may be a better one now,
+        and a list that was long may still be in the prefix."""
+        posts = sets.select("key", "n", F.posexplode("prefix").alias("pos", "tok"))
         met = posts.groupBy("tok").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("tok")
         return self.work.stored(posts.join(met, "tok").select("tok", "key", "n", "pos").dropDuplicates(["tok", "key"]), "postings")
 
@@ -262,6 +255,8 @@ class Search:
         return (100 * F.least(F.col(a), F.col(b)) >= self.percent * F.greatest(F.col(a), F.col(b))) & (F.col("x") < F.col("y"))
 
     def short_pairs(self, lists: DataFrame) -> DataFrame:
+        """Pairs whose sizes and places allow the overlap, if the shingle is the first they share. If it is not, the
+        first is in a short list too and judges, or in a long one and both documents come back in the next turn."""
         left = lists.select("tok", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
         right = lists.select("tok", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
         room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
@@ -289,7 +284,7 @@ class Search:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links between class keys, labels of linked keys)."""
         before, pairs, stuck = np.zeros(0, dtype=np.uint64), [], []
-        lists, known, sets = self.lists(self.base, True), None, None
+        lists, known, sets = self.lists(self.base), None, None
         for turn in range(self.rounds):
             heavy = self.long_lists(lists)
             found = np.sort(np.array([r.tok for r in heavy.collect()], dtype=np.int64).view(np.uint64))
@@ -309,7 +304,7 @@ class Search:
             after = np.union1d(before, new)
             known = heavy if known is None else self.work.stored(known.union(heavy).distinct(), "long-lists")
             sets = self.work.stored(self._prefixes(before, after, sets), "shingle-prefixes")
-            lists = self.lists(sets, False)
+            lists = self.lists(sets)
             before = after
         candidates = pairs[0]
         for more in pairs[1:]:

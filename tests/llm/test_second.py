@@ -7,12 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from stockyard.llm import quality, similarity_join, substring_dedup, suffix_tree
 from stockyard.llm.common import Workspace
 from stockyard.llm.components import components
+from stockyard.llm.tokens import Words, pieces
 
 SPACE = "[^\x20\x09-\x0d]+"
 
@@ -76,6 +78,35 @@ def test_similarity_join(request, which, options):
     assert got == brute_components(rows_of(df))
 
 
+def by_hash(texts, k=5):
+    """Hash of the one shingle of each text of five words."""
+    out = []
+    for _, _, data, offs in pieces(pa.array(texts, type=pa.string())):
+        row, h = similarity_join.sets_of(Words(data, offs, lower=True), k)
+        out += h[row.argsort(kind="stable")].tolist()
+    return out
+
+
+def test_overlap_in_front_of_a_short_list(spark):
+    """X and Y share seven shingles; the first in the order is in a long list, where they do not meet."""
+    r = random.Random(7)
+    for _ in range(100_000):
+        x = [f"t{r.randrange(10**9)}" for _ in range(11)]
+        y = x + [f"t{r.randrange(10**9)}"]
+        h = by_hash([" ".join(y[j : j + 5]) for j in range(8)])
+        first = sorted(h[:7])
+        if h[7] > first[3]:
+            break
+    line = " ".join(x[h.index(first[0]) :][:5])
+    rows = [(1, " ".join(x)), (2, " ".join(y))]
+    # long documents with the line in their prefix: they are not alike, but its list gets long
+    rows += [(10 + j, " ".join(f"f{j}-{i}" for i in range(60)) + " " + line) for j in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {q.doc_id: q.component_id for q in similarity_join.join(df).collect()}
+    assert got[2] == 1
+    assert Counter(tuple(q) for q in similarity_join.join(df).collect()) == brute_components(rows)
+
+
 def test_one_of_each(odd):
     kept = similarity_join.one_of_each(odd)
     assert kept.columns == odd.columns
