@@ -107,6 +107,22 @@ def test_overlap_in_front_of_a_short_list(spark):
     assert Counter(tuple(q) for q in similarity_join.join(df).collect()) == brute_components(rows)
 
 
+def test_long_list_that_stays_in_the_prefix(spark):
+    """Sets of one shingle, and sets of three whose lists are all long at once, have no other shingle to meet in."""
+    rows = [(j, " ".join(["same"] * j)) for j in range(5, 65)]
+    r = random.Random(8)
+    while True:
+        x = [f"t{r.randrange(10**9)}" for _ in range(7)]
+        if max(by_hash([" ".join(x[j : j + 5]) for j in range(3)])) < 0.15 * 2**64:
+            break
+    rows += [(1000, " ".join(x)), (1001, " ".join([*x, "more"]))]
+    rows += [(2000 + j, " ".join(x + [f"f{j}-{i}" for i in range(70)])) for j in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(q) for q in similarity_join.join(df).collect())
+    assert got == brute_components(rows)
+    assert {c for i, _, c in got if i < 1000} == {5} and (1001, 4, 1000) in got
+
+
 def test_one_of_each(odd):
     kept = similarity_join.one_of_each(odd)
     assert kept.columns == odd.columns
