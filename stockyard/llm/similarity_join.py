@@ -13,7 +13,8 @@ of any T shared shingles one is among the first n - T + 1, so only those enter t
   the documents outside the largest component of a list are queries to blocks of the documents that
   share a long list with them: a block merges its short lists, probes its long ones and returns at most
   one link for each other component. So a group of near copies costs its size, not its square, pairs are
-  never listed, and no link is lost, whatever the size of a list.
+  never listed, and no component is split, whatever the size of a list. Links inside a component are not
+  all made: the result has components, not the number of links of a document.
 
 Candidates are checked by probing the whole sorted sets. Texts go to the blocks that compare them, once
 per block; copies never take part, as equal word sequences are one class. Classes are keyed by a 64-bit
