@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -10,10 +13,12 @@ from pyspark.sql import functions as F
 
 from stockyard.shipping import ship
 
-__all__ = ["SPACES", "Workspace", "bucket_of", "if_small", "shared_dir", "ship", "stored", "table"]
+__all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "one_per_key", "shared_dir", "ship", "stored", "table"]
 
 #: ASCII white space, the only separator of words in the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Most rows of ids, or of ids and a digest, that are broadcast: some 100 MB on an executor.
+FEW = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets
+    one of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get()
     return base.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def results_dir(spark: SparkSession) -> str:
+    """This application's folder for tables that lazy results read; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/stockyard-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_stockyard_results", None) != path:
+        spark.sparkContext._stockyard_results = path
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the session may have been stopped before
+                delete(spark, path)
+
+        atexit.register(clear)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{results_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,7 +71,7 @@ class Workspace:
     """Written tables that go when the work is done: `stored` within a block, deleted at its end."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{results_dir(spark)}/work-{uuid.uuid4().hex}"
 
     def stored(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.path}/{label}-{uuid.uuid4().hex}"
@@ -55,16 +82,35 @@ class Workspace:
         return self
 
     def __exit__(self, *_) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(self.spark, self.path)
 
 
-def if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+def if_small(df: DataFrame, most: int = FEW) -> DataFrame:
     """The rows, written and counted, with a broadcast hint if they are at most `most`."""
     df = stored(df, "keys")
     return F.broadcast(df) if df.count() <= most else df
 
 
+def one_per_key(docs: DataFrame, id_: Column, tag: Column, gone: DataFrame, twice: DataFrame, most: int = FEW) -> DataFrame:
+    """`docs` without the rows whose (id, tag) is in `gone`, and with one row for each (id, tag) in `twice`.
+
+    `gone` and `twice` are stored tables of distinct (id, tag) without common rows. Rows equal in id and tag
+    may differ in other columns; which of them stays is not defined."""
+    sent = lambda df: F.broadcast(df) if df.count() <= most else df
+
+    def same(df: DataFrame, left_id: Column, left_tag: Column) -> Column:
+        return left_id.eqNullSafe(df["g_id"]) & (left_tag == df["g_tag"])
+
+    gone, twice = (df.toDF("g_id", "g_tag") for df in (gone, twice))
+    left = docs.join(sent(gone), same(gone, id_, tag), "left_anti")
+    if not twice.limit(1).count():
+        return left
+    # only rows that repeat both id and text are gathered, after one of each task's has been chosen
+    repeated = left.join(sent(twice), same(twice, id_, tag), "left_semi")
+    each = repeated.groupBy(id_.alias("g_id"), tag.alias("g_tag")).agg(F.any_value(F.struct(*docs.columns)).alias("row"))
+    return left.join(sent(twice), same(twice, id_, tag), "left_anti").union(each.select("row.*"))
+
+
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the contracts' hold-out rule. A null id falls in bucket 0's complement, 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(1))

@@ -39,3 +39,19 @@ def none(odd):
 @pytest.fixture(scope="session")
 def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def messy(spark):
+    """Ids that repeat with equal, near and unlike texts, several null ids, copies, and benchmark passages among them."""
+    words = lambda a, n, salt="": " ".join(f"{salt}m{(a * 7 + i) % 1000}" for i in range(n))
+    near = words(1, 80) + " tail"
+    passage = " ".join(f"bench{i}" for i in range(14))
+    rows = [
+        (1, words(1, 80)), (1, near), (1, words(500, 40, "u")), (2, near), (2, near), (2, words(300, 30)), (3, words(300, 30)),
+        (None, words(1, 80)), (None, near), (None, words(700, 50)), (None, words(700, 50)), (None, None), (None, ""), (4, None), (4, ""), (4, ""), (5, " \t"),
+        (6, "One two three four five six"), (6, "one two  three four five six"), (6, "one two three four five six"), (6, "one two three four five six"),
+        (7, passage), (7, words(900, 25, "c")), (None, "lead " + passage + " end"), (None, words(901, 25, "d")), (8, words(900, 25, "c") + " " + passage), (9, " ".join(["long"] * 3000)),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    return df.repartition(2)

@@ -42,11 +42,17 @@ def planted(spark, documents):
     return documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
 
 
-def brute_components(rows, k=5, percent=75):
+def brute_sets(rows, k=5):
     sets = []
     for _, t in rows:
         w = lowered(t)
         sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    return sets
+
+
+def brute_groups(rows, percent=75):
+    """Rows by component, a list of places for each."""
+    sets = brute_sets(rows)
     parent = list(range(len(rows)))
 
     def find(a):
@@ -65,13 +71,21 @@ def brute_components(rows, k=5, percent=75):
         for b, n in shared.items():
             if b > a and 100 * n >= percent * (len(s) + len(sets[b]) - n):
                 parent[find(a)] = find(b)
-    low = defaultdict(list)
-    for a, (i, _) in enumerate(rows):
-        low[find(a)] += [i] * (i is not None)
-    return Counter((i, len(sets[a]), min(low[find(a)], default=None) if sets[a] else i) for a, (i, _) in enumerate(rows))
+    groups = defaultdict(list)
+    for a in range(len(rows)):
+        groups[find(a)].append(a)
+    return list(groups.values())
 
 
-@pytest.mark.parametrize("which,options", [("odd", {}), ("none", {}), ("planted", {}), ("planted", {"short": 3, "rounds": 2}), ("planted", {"short": 2, "rounds": 1, "list_limit": 4})])
+def brute_components(rows):
+    sets, out = brute_sets(rows), Counter()
+    for group in brute_groups(rows):
+        low = min((rows[a][0] for a in group if rows[a][0] is not None), default=None)
+        out.update((rows[a][0], len(sets[a]), low if sets[a] else rows[a][0]) for a in group)
+    return out
+
+
+@pytest.mark.parametrize("which,options", [("odd", {}), ("none", {}), ("planted", {}), ("planted", {"short": 3, "tile": 3000}), ("planted", {"short": 10**6, "tile": 500, "few": 0, "low": 0.7}), ("messy", {"few": 0})])
 def test_similarity_join(request, which, options):
     df = request.getfixturevalue(which)
     got = Counter(tuple(r) for r in similarity_join.join(df, **options).collect())
@@ -108,7 +122,7 @@ def test_overlap_in_front_of_a_short_list(spark):
 
 
 def test_long_list_that_stays_in_the_prefix(spark):
-    """Sets of one shingle, and sets of three whose lists are all long at once, have no other shingle to meet in."""
+    """Sets of one shingle that are equal though their texts differ, and small sets whose lists are all long."""
     rows = [(j, " ".join(["same"] * j)) for j in range(5, 65)]
     r = random.Random(8)
     while True:
@@ -123,11 +137,18 @@ def test_long_list_that_stays_in_the_prefix(spark):
     assert {c for i, _, c in got if i < 1000} == {5} and (1001, 4, 1000) in got
 
 
-def test_one_of_each(odd):
-    kept = similarity_join.one_of_each(odd)
-    assert kept.columns == odd.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert ids[5] == 1 and ids[6] == 0 and ids[11] == 1 and ids[12] == 0 and {2, 3, 4, None} <= set(ids)
+@pytest.mark.parametrize("which,options", [("odd", {}), ("none", {}), ("messy", {}), ("messy", {"few": 0}), ("planted", {})])
+def test_one_of_each(request, which, options):
+    df = request.getfixturevalue(which)
+    kept = similarity_join.one_of_each(df, **options)
+    assert kept.columns == df.columns
+    rows = rows_of(df)
+    got = Counter(map(tuple, kept.select("doc_id", "text").collect()))
+    groups = brute_groups(rows)
+    place = lambda a: (rows[a][0] is None, rows[a][0] or 0, hashlib.md5((rows[a][1] or "").encode()).digest())
+    stays = [min(g, key=place) for g in groups if lowered(rows[g[0]][1])]
+    bare = [a for a, (_, t) in enumerate(rows) if not lowered(t)]
+    assert got == Counter(rows[a] for a in stays + bare)
 
 
 def test_components(spark):
