@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import SPACES, if_small
+from stockyard.llm.common import SPACES, one_per_key, stored
 
 
 def normalised(text: str) -> Column:
@@ -48,8 +48,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = decisions(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
-    gone = if_small(gone)
-    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.sha2(normalised(text_col), 256) == gone["__sha"])
-    return docs.join(gone, same, "left_anti")
+    """The rows that stay, with all their columns: exactly one of each group of equal texts.
+
+    It is one with the smallest id; rows that repeat that id too, and groups without any id, keep one row."""
+    groups = stored(decisions(docs, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias("id"), "text_sha256", "kept"), "copies")
+    gone = stored(groups.filter(~F.col("kept")).select("id", "text_sha256").distinct(), "gone")
+    twice = stored(groups.filter("kept").groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "text_sha256"), "twice")
+    return one_per_key(docs, F.col(id_col), F.sha2(normalised(text_col), 256), gone, twice)

@@ -17,7 +17,7 @@ def rows_of(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("which", ["odd", "documents", "none"])
+@pytest.mark.parametrize("which", ["odd", "messy", "documents", "none"])
 def test_exact_dedup(request, which):
     df = request.getfixturevalue(which)
     rows = [(i, re.sub("[\x20\x09-\x0d]+", " ", t or "")) for i, t in rows_of(df)]
@@ -32,7 +32,8 @@ def test_exact_dedup(request, which):
     assert Counter(got) == Counter(expected)
     kept = exact_dedup.deduplicate(df)
     assert kept.columns == df.columns
-    assert kept.count() == sum(x[3] for x in expected)
+    got = sorted((re.sub("[\x20\x09-\x0d]+", " ", t or ""), str(i)) for i, t in rows_of(kept))
+    assert got == sorted((t, str(min((x for x in g if x is not None), default=None))) for t, g in groups.items())
 
 
 def contaminated(docs, items, n=10):
@@ -54,16 +55,18 @@ def contaminated(docs, items, n=10):
         yield i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
-@pytest.mark.parametrize("which", ["odd", "documents", "none"])
-@pytest.mark.parametrize("limit", [32 << 20, 0])
+@pytest.mark.parametrize("which", ["odd", "messy", "documents", "none"])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_decontamination(request, spark, sf, which, limit):
     df = request.getfixturevalue(which)
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(100, "W5 w6 w7"), (101, None), (102, ""), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12"), (100, "W5 w6 w7")], "item_id long, text string"))
-    got = [tuple(r) for r in decontamination.contamination(df, bench, broadcast_bytes=limit).collect()]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(100, "W5 w6 w7"), (101, None), (102, ""), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12"), (100, "W5 w6 w7"), (103, " ".join(f"bench{i}" for i in range(14)))], "item_id long, text string"))
+    got = [tuple(r) for r in decontamination.contamination(df, bench, index_bytes=limit).collect()]
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
     assert Counter(got) == Counter(contaminated(rows_of(df), items))
-    clean = decontamination.clean(df, bench)
-    assert clean.columns == df.columns and clean.count() == sum(not r[5] for r in got)
+    clean = decontamination.clean(df, bench, index_bytes=limit)
+    assert clean.columns == df.columns
+    flags = [x[5] for x in contaminated(rows_of(df), items)]
+    assert Counter(rows_of(clean)) == Counter(r for r, f in zip(rows_of(df), flags) if not f)
 
 
 @pytest.mark.parametrize("which", ["odd", "documents", "none"])
