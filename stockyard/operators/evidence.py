@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import suppress
+from html.entities import html5
 from html.parser import HTMLParser
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,96 +24,212 @@ ANTIBOT = ("anti-bot", "document_antibot", "block page detected", "http status 4
 PLAY_BLOCKED = ("captcha", "unusual traffic", "automated queries", "please try again", "access denied", "we're sorry")
 # Second-level labels that are public suffixes.
 PUBLIC_SECOND = ("co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go")
-JVM_CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "utf-16": "UTF-16"}
+# Names of the charsets that the JVM decodes; any other goes through Python.
+UTF_8, LATIN_1, ASCII = ("", "utf-8", "utf8", "utf_8"), ("iso-8859-1", "iso8859-1", "iso_8859-1", "latin-1", "latin1", "latin_1", "l1"), ("us-ascii", "ascii", "646")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset(("script", "style", "noscript"))
+# Elements that a page's content leaves out; elements whose text is not part of any text; elements
+# that hold plain text, with and without character references.
+NOISE = frozenset(("script", "style", "noscript"))
+QUIET = frozenset(("script", "style", "template", "rt", "rp"))
+RAW_TEXT = frozenset(("xmp", "iframe", "noembed", "noframes"))
+ESCAPABLE = frozenset(("title", "textarea"))
+_REFERENCE = re.compile(r"&#([0-9]+|[xX][0-9a-fA-F]+);?|&([a-zA-Z][-.a-zA-Z0-9]*);?")
+_UNFINISHED = re.compile(r"</?[a-zA-Z]|<!|<\?")
+
+
+def numeric_reference(name: str) -> str:
+    n = int(name[1:], 16) if name[0] in "xX" else int(name)
+    if not n or n > 0x10FFFF or 0xD800 <= n <= 0xDFFF:
+        return "\ufffd"
+    return bytes([n]).decode("cp1252", "ignore") or chr(n) if 0x80 <= n <= 0x9F else chr(n)
+
+
+def named_reference(name: str) -> str:
+    """A known reference with or without its semicolon; an unknown one loses the semicolon."""
+    return html5.get(name) or html5.get(name + ";") or "&" + name
+
+
+class Element:
+    """One element: places of its texts, descendants and marks in the page's lists, from its start to its end."""
+
+    __slots__ = ("tag", "attrs", "noise", "text", "text_end", "place", "inner_end", "mark", "mark_end", "last", "after")
+
+    def __init__(self, tag: str, attrs: dict[str, str], noise: bool, text: int, place: int, mark: int):
+        self.tag, self.attrs, self.noise = tag, attrs, noise
+        self.text, self.place, self.mark = text, place, mark
+        self.text_end = self.inner_end = self.mark_end = -1
+        self.last: Element | None = None
+        self.after: Element | None = None
 
 
 class Page(HTMLParser):
-    """Flat events of one document; nothing recursive, so depth does not matter."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.hidden = 0
-        self.title: list[str] | None = None
-        self.title_open = self.title_done = False
-        self.title_plain = True
-        self.meta: str | None = None
-        self.texts: list[str] = []
-        self.elements: list[dict] = []
+    """Flat lists of one document's elements and texts, made in one pass: time grows with the markup alone.
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    Open elements are counted by name, so an end tag that closes nothing costs one look; each element is
+    pushed and popped once, and knows where its texts and descendants end and which element follows it."""
+
+    def __init__(self, markup: str = "", marked: str = "category") -> None:
+        super().__init__(convert_charrefs=False)
+        self.marked, self.marks, self.mark = marked, [], 0  # events that mention the marked word
+        self.texts: list[str] = []
+        self.shown: list[bool] = []  # is the text part of the page's text?
+        self.plain: list[bool] = []  # and not inside an element that content leaves out?
+        self.elements: list[Element] = []
+        self.stack: list[Element] = [Element("", {}, False, 0, -1, 0)]
+        self.opened: Counter[str] = Counter()
+        self.closed_voids: Counter[str] = Counter()
+        self.noise = self.quiet = 0
+        self.buffer: list[str] = []
+        self.feed(markup)
+        self.close()
+        self.flush()
+        while len(self.stack) > 1:
+            self.pop()
+        lengths = (len(t.strip()) * s for t, s in zip(self.texts, self.shown))
+        self.before = [0, *accumulate(lengths)]
+
+    def noted(self, *strings: str) -> None:
+        self.mark += 1
+        if any(self.marked in x.lower() for x in strings):
+            self.marks.append(self.mark)
+
+    def flush(self, shown: bool | None = None) -> None:
+        if not self.buffer:
+            return
+        text = "".join(self.buffer)
+        self.buffer = []
+        self.noted(text)
+        self.texts.append(text if text.strip(" \n\t\f\r") else "\n" if "\n" in text else " ")
+        self.shown.append(not self.quiet if shown is None else shown)
+        self.plain.append(self.shown[-1] and not self.noise)
+
+    def pop(self) -> None:
+        e = self.stack.pop()
+        self.opened[e.tag] -= 1
+        self.noise -= e.tag in NOISE
+        self.quiet -= e.tag in QUIET
+        e.text_end, e.inner_end, e.mark_end = len(self.texts), len(self.elements), self.mark
+
+    def begin(self, tag: str, attrs: list) -> None:
+        self.flush()
         found: dict[str, str] = {}
         for k, v in attrs:
             found[k] = v or ""
-        if self.title_open:
-            self.title_plain = False
-        if not self.hidden:
-            if tag == "title" and self.title is None:
-                self.title, self.title_open = [], True
-            if tag == "meta" and self.meta is None and found.get("name") == "description":
-                self.meta = found.get("content", "")
-            self.elements.append({"tag": tag, "attrs": found, "at": len(self.texts), "end": None, "depth": len(self.open)})
-        if tag in VOID:
-            if not self.hidden:
-                self.elements[-1]["end"] = len(self.texts)
-            return
-        self.open.append(tag)
-        self.hidden += tag in HIDDEN
+        self.noted(tag, *found, *found.values())
+        e = Element(tag, found, bool(self.noise), len(self.texts), len(self.elements), self.mark)
+        top = self.stack[-1]
+        if top.last is not None:
+            top.last.after = e
+        top.last = e
+        self.elements.append(e)
+        self.stack.append(e)
+        self.opened[tag] += 1
+        self.noise += tag in NOISE
+        self.quiet += tag in QUIET
+
+    def finish(self, tag: str) -> None:
+        self.flush()
+        if self.opened[tag]:
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.begin(tag, attrs)
+        if tag in VOID:  # closed at once; an end tag of it later is swallowed
+            self.finish(tag)
+            self.closed_voids[tag] += 1
+        elif tag in RAW_TEXT or tag in ESCAPABLE:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.begin(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
-            return
-        while self.open:
-            top = self.open.pop()
-            if top in HIDDEN:
-                self.hidden -= 1
-            elif not self.hidden:
-                for e in reversed(self.elements):
-                    if e["end"] is None and e["tag"] == top and e["depth"] == len(self.open):
-                        e["end"] = len(self.texts)
-                        break
-            if top == "title":
-                self.title_open = False
-            if top == tag:
-                return
+        if self.closed_voids[tag]:
+            self.closed_voids[tag] -= 1
+        else:
+            self.finish(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
-            return
-        self.texts.append(data)
-        if self.title_open:
-            self.title.append(data)
-
-    def text_of(self, e: dict, sep: str = "") -> str:
-        parts = (t.strip() for t in self.texts[e["at"] : e["end"] if e["end"] is not None else len(self.texts)])
+        if self.stack[-1].tag in ESCAPABLE and "&" in data:
+            data = _REFERENCE.sub(lambda m: numeric_reference(m[1]) if m[1] else named_reference(m[2]), data)
+        self.buffer.append(data)
+
+    def handle_charref(self, name: str) -> None:
+        self.buffer.append(numeric_reference(name))
+
+    def handle_entityref(self, name: str) -> None:
+        self.buffer.append(named_reference(name))
+
+    def handle_comment(self, data: str) -> None:
+        self.flush()
+        self.noted(data)
+
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data: str) -> None:
+        self.flush()
+        if data[:6].lower() == "cdata[":
+            self.buffer.append(data[6:])
+            self.flush(shown=True)
+        else:
+            self.noted(data)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections end where they first can, whatever their keyword."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        close = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        j = self.rawdata.find(close, i + 3)
+        if j >= 0:
+            self.unknown_decl(self.rawdata[i + 3 : j])
+            return j + len(close)
+        return -1
+
+    def close(self) -> None:
+        """What the last tag or comment leaves open is dropped with the rest; open text elements and CDATA end here."""
+        rest = self.rawdata
+        if self.cdata_elem or rest.startswith("<![CDATA["):
+            self.rawdata = ""
+            self.handle_data(rest) if self.cdata_elem else self.unknown_decl(rest[3:])
+            self.clear_cdata_mode()
+        elif _UNFINISHED.match(rest):
+            self.rawdata = ""
+        super().close()
+
+    def text_of(self, e: Element, sep: str = "") -> str:
+        parts = (t.strip() for t, s in zip(self.texts[e.text : e.text_end], self.shown[e.text : e.text_end]) if s)
         return sep.join(p for p in parts if p)
 
-    def inside(self, e: dict, tag: str) -> dict | None:
-        at = next(i for i, x in enumerate(self.elements) if x is e)
-        for x in self.elements[at + 1 :]:
-            if x["depth"] <= e["depth"]:
-                return None
-            if x["tag"] == tag:
-                return x
-        return None
+    def length_of(self, e: Element) -> int:
+        """Length of `text_of`, without making it."""
+        return self.before[e.text_end] - self.before[e.text]
+
+    def mentions(self, e: Element) -> bool:
+        """Does the element's markup, inside or in its own tag, hold the marked word?"""
+        at = bisect_left(self.marks, e.mark)
+        return at < len(self.marks) and self.marks[at] <= e.mark_end
+
+    def inside(self, e: Element, tag: str) -> Element | None:
+        return next((x for x in islice(self.elements, e.place + 1, e.inner_end) if x.tag == tag), None)
 
-    def find(self, tag: str | None = None, **attrs: str) -> dict | None:
+    def find(self, tag: str | None = None, **attrs: str) -> Element | None:
         want = {k.replace("_", "-"): v for k, v in attrs.items()}
-        return next((e for e in self.elements if (tag is None or e["tag"] == tag) and all(e["attrs"].get(k) == v for k, v in want.items())), None)
+        return next((e for e in self.elements if (tag is None or e.tag == tag) and all(e.attrs.get(k) == v for k, v in want.items())), None)
+
+    def site(self) -> tuple[str, str, str]:
+        """Title, meta description and content; scripts, styles and noscript take no part."""
+        title = next((e for e in self.elements if e.tag == "title" and not e.noise), None)
+        own = self.texts[title.text : title.text_end] if title else []
+        meta = next((e for e in self.elements if e.tag == "meta" and not e.noise and e.attrs.get("name") == "description"), None)
+        content = (t.strip() for t, p in zip(self.texts, self.plain) if p)
+        return own[0].strip() if len(own) == 1 else "", (meta.attrs.get("content", "") if meta else "").strip(), " ".join(t for t in content if t)
 
 
 def parse(markup: str | None) -> Page:
-    page = Page()
-    page.feed(markup or "")
-    page.close()
-    return page
+    return Page(markup or "")
 
 
 def extract_pages(df: DataFrame, url: str = "url", html: str = "html", longest: int = 4000) -> DataFrame:
@@ -119,15 +240,8 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", longest:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages = [parse(h) for h in pdf["html"]]
-            yield pd.DataFrame(
-                {
-                    "url": pdf["url"],
-                    "title": [(p.title[0].strip() if p.title and len(p.title) == 1 and p.title_plain else "") for p in pages],
-                    "meta_description": [(p.meta or "").strip() for p in pages],
-                    "content": [" ".join(t for t in (x.strip() for x in p.texts) if t) for p in pages],
-                }
-            )
+            found = [parse(h).site() for h in pdf["html"]]
+            yield pd.DataFrame({"url": pdf["url"], **{n: [x[i] for x in found] for i, n in enumerate(("title", "meta_description", "content"))}})
 
     ship(df.sparkSession)
     out = df.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, "url string, title string, meta_description string, content string")
@@ -137,7 +251,7 @@ def extract_pages(df: DataFrame, url: str = "url", html: str = "html", longest:
 def decode_bodies(df: DataFrame, body: str, content_type: str, out: str = "text") -> DataFrame:
     """Text of response bodies by the charset of their content type; undecodable bytes are dropped.
 
-    UTF-8 is decoded by the JVM; only other charsets go through Python.
+    Valid UTF-8, Latin-1 and ASCII are decoded by the JVM; only other charsets and broken UTF-8 go through Python.
     """
     ship(df.sparkSession)
     charset = F.lower(F.regexp_extract(F.coalesce(F.col(content_type), F.lit("")), r"""(?i)charset\s*=\s*["']?([^\s;"']+)""", 1))
@@ -154,10 +268,13 @@ def decode_bodies(df: DataFrame, body: str, content_type: str, out: str = "text"
 
         return pd.Series([one(b, c) for b, c in zip(raw, name)])
 
-    plain = F.col(body).cast("string")
-    valid = F.is_valid_utf8(plain) & charset.isin("", "utf-8", "utf8")
+    plain, single = F.col(body).cast("string"), F.decode(F.col(body), F.lit("ISO-8859-1"))
+    name = F.col("__charset")
     rows = df.withColumn("__charset", charset)
-    return rows.withColumn(out, F.when(valid, plain).otherwise(decoded(F.when(~valid, F.col(body)), F.col("__charset")))).drop("__charset")
+    valid = F.is_valid_utf8(plain) & name.isin(*UTF_8)
+    other = ~valid & ~name.isin(*LATIN_1, *ASCII)
+    text = F.when(valid, plain).when(name.isin(*LATIN_1), single).when(name.isin(*ASCII), F.regexp_replace(single, r"[^\x00-\x7F]", ""))
+    return rows.withColumn(out, text.otherwise(decoded(F.when(other, F.col(body)), name))).drop("__charset")
 
 
 def is_antibot(message: Column) -> Column:
@@ -210,8 +327,9 @@ def expand_targets(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("__t", F.filter(F.array(target, www), lambda x: x.isNotNull())).select(*df.columns, F.posexplode("__t").alias("attempt", "target"))
 
 
+# Patterns of store pages. A number is only tried from its first digit on, so long ones cost no more.
 _S = r"[\s\x1c-\x1f\x85]"
-_DOWNLOADS = tuple(re.compile(p + _S + "+" + w, re.I) for p in (r"([\d,]+\+?)", r"(\d+[KMB]?\+?)") for w in ("downloads", "installs"))
+_DOWNLOADS = tuple(re.compile(p + _S + "+" + w, re.I) for p in (r"(?<![\d,])([\d,]+\+?)", r"(?<!\d)(\d+[KMB]?\+?)") for w in ("downloads", "installs"))
 _UPDATED = (re.compile(rf"Updated{_S}+on?{_S}*(\w+{_S}+\d+,?{_S}+\d+)", re.I), re.compile(rf"Last updated:?{_S}*(\w+{_S}+\d+,?{_S}+\d+)", re.I))
 _RATED = (re.compile(r"(Everyone|Teen|Mature|Adults Only)", re.I), re.compile(rf"Rated for{_S}+(\d+\+?)", re.I), re.compile(rf"Content rating:?{_S}*(\w+)", re.I))
 PLAY = "package string, success boolean, error string, app_name string, developer string, category string, rating double, rating_count long, downloads string, description string, last_updated string, content_rating string"
@@ -220,14 +338,17 @@ PLAY = "package string, success boolean, error string, app_name string, develope
 def play_fields(page: Page) -> dict:
     """Name, developer and the rest of a store page, each by the first source that has it."""
 
-    def linked(part: str) -> str:
-        link = next((e for e in page.elements if e["tag"] == "a" and part in e["attrs"].get("href", "")), None)
-        return page.text_of(page.inside(link, "span") or link) if link else ""
+    def linked(part: str) -> str | None:
+        link = next((e for e in page.elements if e.tag == "a" and part in e.attrs.get("href", "")), None)
+        return page.text_of(page.inside(link, "span") or link) if link else None
 
     def first(patterns, text: str) -> str:
         return next((m[1] for m in (p.search(text) for p in patterns) if m), "")
 
-    meta = lambda **a: (page.find("meta", **a) or {"attrs": {}})["attrs"].get("content", "")
+    def meta(**a: str) -> str:
+        found = page.find("meta", **a)
+        return found.attrs.get("content", "") if found else ""
+
     h1, title = page.find("h1", itemprop="name"), page.find("title")
     if h1:
         name = page.text_of(page.inside(h1, "span") or h1)
@@ -237,35 +358,35 @@ def play_fields(page: Page) -> dict:
         name = meta(property="og:title")
     if not name:
         return {"success": False, "error": "Could not extract app name - page might be blocked or app not found"}
-    labels = [e["attrs"]["aria-label"] for e in page.elements if "aria-label" in e["attrs"]]
+    labels = [e.attrs["aria-label"] for e in page.elements if "aria-label" in e.attrs]
     rating, count = 0.0, 0
     for label in labels:
         if m := re.search(rf"[Rr]ated{_S}+([\d.]+){_S}+stars", label):
-            try:
+            with suppress(ValueError):
                 rating = float(m[1])
-            except ValueError:
-                continue
-        if m := re.search(rf"([\d,]+){_S}+reviews", label):
+        if m := re.search(rf"(?<![\d,])([\d,]+){_S}+reviews", label):
             digits = m[1].replace(",", "")
             count = int(digits) if digits else count
-    divs = [e for e in page.elements if e["tag"] == "div"]
+    divs = [e for e in page.elements if e.tag == "div"]
     if not rating:
-        for e in divs:
-            text = page.text_of(e)
-            if re.fullmatch(r"\d+(?:\.\d*)?|\.\d+", text) and 1 <= float(text) <= 5:
-                rating = float(text)
-                break
-    genre = page.find(None, itemprop="genre")
-    text = "".join(page.texts)
+        # a number of more than 100 characters is no rating; so nested text is not read over and over
+        texts = (page.text_of(e) for e in divs if 0 < page.length_of(e) <= 100)
+        numbers = (float(t) for t in texts if re.fullmatch(r"\d+(?:\.\d*)?|\.\d+", t))
+        rating = next((x for x in numbers if 1 <= x <= 5), 0.0)
+    developer = linked("/store/apps/dev")
+    if developer is None:  # a short div before an element that mentions a category
+        developer = next((page.text_of(e) for e in divs if e.after is not None and 0 < page.length_of(e) < 100 and page.mentions(e.after)), "")
+    category, genre = linked("/store/apps/category"), page.find(None, itemprop="genre")
+    text = "".join(t for t, s in zip(page.texts, page.shown) if s)
     box = page.find(None, data_g_id="description")
     prop = page.find(None, itemprop="description")
-    description = page.text_of(box, " ") if box else (prop["attrs"].get("content") or page.text_of(prop, " ")) if prop else meta(property="og:description") or meta(name="description")
+    description = page.text_of(box, " ") if box else (prop.attrs.get("content") or page.text_of(prop, " ")) if prop else meta(property="og:description") or meta(name="description")
     return {
         "success": True,
         "error": "",
         "app_name": name,
-        "developer": linked("/store/apps/dev"),
-        "category": linked("/store/apps/category") or (page.text_of(genre) if genre else ""),
+        "developer": developer,
+        "category": category if category is not None else page.text_of(genre) if genre else "",
         "rating": rating,
         "rating_count": count,
         "downloads": first(_DOWNLOADS, text) or next((x for x in (first(_DOWNLOADS, a) for a in labels) if x), ""),
