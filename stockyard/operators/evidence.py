@@ -268,7 +268,7 @@ def decode_bodies(df: DataFrame, body: str, content_type: str, out: str = "text"
 
         return pd.Series([one(b, c) for b, c in zip(raw, name)])
 
-    plain, single = F.col(body).cast("string"), F.decode(F.col(body), F.lit("ISO-8859-1"))
+    plain, single = F.col(body).cast("string"), F.decode(F.col(body), "ISO-8859-1")
     name = F.col("__charset")
     rows = df.withColumn("__charset", charset)
     valid = F.is_valid_utf8(plain) & name.isin(*UTF_8)

@@ -89,9 +89,11 @@ def decode_ctv_labels(df: DataFrame, paths: DataFrame | None = None, route: bool
 
 
 def retry_budget(replies: DataFrame, first: int = 2000, retries: int = 2) -> DataFrame:
-    """Per reply (item, seq, parse_error): its budget, and what follows: done, retry with next_budget, or terminal."""
+    """Per reply (item, seq, parse_error): its budget, and what follows: done, retry with next_budget, or terminal.
+
+    The budget doubles with each retry and stays at that of the last one for replies beyond it."""
     n = F.row_number().over(Window.partitionBy("item").orderBy("seq"))
-    out = replies.withColumn("attempt", n).withColumn("budget", (F.lit(first) * F.pow(F.lit(2.0), F.col("attempt") - 1)).cast("long"))
+    out = replies.withColumn("attempt", n).withColumn("budget", (F.lit(first) * F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(retries)))).cast("long"))
     step = F.when(F.col("parse_error") == "", "done").when(F.col("attempt") <= retries, "retry").otherwise("terminal")
     return out.withColumn("step", step).withColumn("next_budget", F.when(F.col("step") == "retry", F.col("budget") * 2))
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.functions import identifiers as ids
 from stockyard.operators import evidence, identify, labels, ladder, queries as result_queries, spend
 from stockyard.plans.views import duck_sql, spark_view
+from stockyard.shipping import shared_dir
 from stockyard.sources import tables
 from stockyard.streaming import live
 
@@ -35,9 +35,18 @@ def query(name: str, views: list[str], sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the session; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder name under the shared folder of the session."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def hundredths(name: str) -> Column:
+    """A decimal with two places as a whole number, so that both engines give the same."""
+    return (F.col(name) * 100).cast("long").alias(name)
+
+
+def _percent_sql(part: str, whole: str) -> str:
+    """Hundredths of a percent, half up."""
+    return f"CAST((2 * {part} * 10000 + {whole}) // (2 * {whole}) AS BIGINT)"
 
 
 def _sql_list(words) -> str:
@@ -110,7 +119,16 @@ def _(spark, sf, rows, tlds):
 
 @query("i7_breakdown_shares", ["identifiers", "tlds"], _after(f"""
 , b AS ({_BREAKDOWN}), u AS (SELECT source_file, total, 'websites' AS kind, websites AS n FROM b UNION ALL SELECT source_file, total, 'ios', ios FROM b UNION ALL SELECT source_file, total, 'android', android FROM b)
-SELECT source_file, kind, n, CAST(floor(n * 1000000 / total) AS BIGINT) AS per_million, concat(CAST(n AS STRING), ' ', kind) AS label FROM u WHERE n > 0""".lstrip("\n")))
+SELECT source_file, kind, n, {_percent_sql("n", "total")} AS percent, concat(CAST(n AS STRING), ' ', kind) AS label FROM u WHERE n > 0""".lstrip("\n")))
+def _(spark, sf, rows, tlds):
+    return identify.breakdown_shares(identify.breakdown(rows, "value", tlds)).select("source_file", "kind", "n", hundredths("percent"), "label")
+
+
+@query("i6_ctv_breakdown", ["ctv_list"], "SELECT ssp, count(*) AS ctv, count(*) AS total FROM ctv_list WHERE bundle_id <> '' GROUP BY ssp")
+def _(spark, sf, rows):
+    return identify.ctv_breakdown(rows, by=("ssp",))
+
+
 def _(spark, sf, rows, tlds):
     counts = identify.breakdown(rows, "value", tlds)
     out = identify.breakdown_shares(counts).join(counts.select("source_file", "total"), "source_file")
@@ -213,7 +231,23 @@ def _(spark, sf, rows):
     return tables.read_attempts(spark, path).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"), F.sum("status_code").alias("codes"))
 
 
-@query("s12_progress_documents", ["attempts"], "SELECT run_id, CAST(item AS STRING) AS item, arg_max(status, seq) AS status, arg_max(error, seq) AS error, 9 AS total_domains FROM attempts GROUP BY run_id, item")
+@query("s11_attempt_stream", ["attempts"], "SELECT CAST(item AS STRING) AS domain, count(*) AS n FROM attempts GROUP BY item")
+def _(spark, sf, rows):
+    log, out, marks = scratch(spark), scratch(spark), scratch(spark)
+    tables.write_attempts(rows.select(F.col("ts").cast("string").alias("timestamp"), F.col("item").cast("string").alias("domain"), F.lit(True).alias("ok"), F.lit(200).alias("status_code"), "error", F.col("seconds").cast("double").alias("elapsed_sec"), F.lit(0).alias("retries_used")), log)
+    tables.read_attempts(spark, log, stream=True).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s12_progress_documents", ["attempts"], "SELECT run_id, CAST(item AS STRING) AS item, arg_max(status, seq) AS status, arg_max(error, seq) AS error, 9 AS total_domains, arg_max(rung, seq) AS mode FROM attempts GROUP BY run_id, item")
+def _(spark, sf, rows):
+    entry = F.struct(F.col("item").cast("string").alias("k"), F.struct("status", F.col("ts").cast("string").alias("timestamp"), F.col("seconds").cast("double").alias("processing_time"), "error", F.col("rung").alias("mode")).alias("v"))
+    doc = ladder.latest_state(rows).withColumn("part", F.expr("item div 1000")).groupBy("run_id", "part").agg(F.map_from_entries(F.collect_list(entry)).alias("processed_domains"))
+    path = scratch(spark)
+    doc.select("run_id", F.to_json(F.struct(F.lit(9).alias("total_domains"), "processed_domains", F.lit("skip").alias("spend"))).alias("value")).write.partitionBy("run_id").text(path)
+    return tables.read_progress(spark, path, whole=False).select("run_id", "item", "status", "error", F.col("total_domains").cast("int").alias("total_domains"), "mode")
+
+
 def _(spark, sf, rows):
     entry = F.struct(F.col("item").cast("string").alias("k"), F.struct("status", F.col("ts").cast("string").alias("timestamp"), F.col("seconds").cast("double").alias("processing_time"), "error", F.col("rung").alias("mode")).alias("v"))
     doc = ladder.latest_state(rows).withColumn("part", F.expr("item % 50")).groupBy("run_id", "part").agg(F.map_from_entries(F.collect_list(entry)).alias("processed_domains"))
@@ -223,6 +257,21 @@ def _(spark, sf, rows):
 
 
 @query("s13_reference_tables", ["catalog_taxonomy"], "SELECT name, tier1, tier2, tier3, tier4 FROM catalog_taxonomy")
+def _(spark, sf, rows):
+    path, parts = scratch(spark), 4
+    body = rows.select(F.pmod(F.col("line_no"), F.lit(parts)).alias("k"), F.lit(2).alias("o"), F.concat_ws("\t", F.lit("9"), "tier1", "name", "tier2", "tier4", "tier3").alias("value"))
+    head = spark.range(2 * parts).select((F.col("id") % parts).alias("k"), (F.col("id") >= parts).cast("int").alias("o"), F.when(F.col("id") < parts, "About").otherwise("Unique ID\tTier 1\tName\tTier 2\tTier 4\tTier 3").alias("value"))
+    head.unionByName(body).repartition(parts, "k").sortWithinPartitions("k", "o").select("k", "value").write.partitionBy("k").text(path)
+    return tables.read_taxonomy(spark, path).drop("line_no")
+
+
+@query("s13_top_level_domains", ["catalog_taxonomy"], "SELECT DISTINCT lower(tier1) AS tld FROM catalog_taxonomy")
+def _(spark, sf, rows):
+    path = scratch(spark)
+    rows.select(F.explode(F.array(F.concat(F.lit("  "), F.upper("tier1"), F.lit(" ")), F.concat(F.lit("# "), "name"), F.lit(""))).alias("value")).write.text(path)
+    return tables.read_tlds(spark, path)
+
+
 def _(spark, sf, rows):
     path = scratch(spark)
     body = rows.select(F.lit(1).alias("o"), F.concat_ws("\t", "name", "tier1", "tier2", "tier3", "tier4").alias("value"))
@@ -270,9 +319,14 @@ def _(spark, sf, rows):
     return evidence.audit_redirects(rows).select("item", "redirect_problem")
 
 
-@query("e5_expand_targets", ["identifiers"], r"""
-, v AS (SELECT row_no, value FROM identifiers WHERE source_file = 'nation' OR source_file = 'pages')
-SELECT row_no, 0 AS attempt, concat('https://', value) AS target FROM v UNION ALL SELECT row_no, 1, concat('https://www.', value) FROM v WHERE length(value) - length(replace(value, '.', '')) = 1""")
+@query("e5_expand_targets", ["identifiers", "tlds"], _after(r"""
+, w AS (SELECT row_no, v FROM typed WHERE type = 'website' AND v <> '')
+SELECT row_no, 0 AS attempt, concat('https://', v) AS target FROM w UNION ALL SELECT row_no, 1, concat('https://www.', v) FROM w WHERE v NOT LIKE 'www.%' AND length(v) - length(replace(v, '.', '')) = 1""".lstrip("\n")))
+def _(spark, sf, rows, tlds):
+    rows = identify.classify_identifiers(tables.clean_cells(rows, ["value"]), "value", tlds)
+    return evidence.expand_targets(rows.filter("type = 'website' and value <> ''"), "value").select("row_no", "attempt", "target")
+
+
 def _(spark, sf, rows):
     return evidence.expand_targets(rows.filter(F.col("source_file").isin("nation", "pages")), "value").select("row_no", "attempt", "target")
 
@@ -284,10 +338,54 @@ def _(spark, sf):
     return evidence.extract_play_pages(rows)
 
 
+def _escaped(c: str) -> Column:
+    return F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+_BODY = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query("e1_extract_documents", [], f"""
+SELECT CAST(doc_id AS STRING) AS url, concat('A & B ', lang) AS title, source AS meta_description, CASE WHEN length(c) > 4000 THEN concat(substring(c, 1, 4000), '...') ELSE c END AS content, CASE WHEN length(c) > 4000 THEN 4003 ELSE length(c) END AS content_length
+FROM (SELECT *, concat('A & B ', lang, ' Head', CASE WHEN b <> '' THEN concat(' ', b) ELSE '' END, ' end') AS c FROM (SELECT *, {_BODY} AS b FROM documents) x) y""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    head = F.concat(F.lit("<html><head><title>A &amp; B "), "lang", F.lit("</title><meta name='description' content='"), "source", F.lit("'><script>var x = '<p>';</script></head><body><h1>Head</h1><template>no</template><div>"))
+    pages = docs.select(F.col("doc_id").cast("string").alias("url"), F.concat(head, _escaped("text"), F.lit("</div><br><p>end")).alias("html"))
+    return evidence.extract_pages(pages)
+
+
+@query("e6_extract_play_documents", [], f"""
+SELECT concat('com.d', CAST(doc_id AS STRING)) AS package, true AS success, '' AS error, concat('App ', CAST(doc_id AS STRING)) AS app_name, concat('Dev ', source) AS developer, 'Tools' AS category, 4.5 AS rating, 12000 + doc_id AS rating_count,
+  '1,000+' AS downloads, {_BODY} AS description, 'Mar 3, 2024' AS last_updated, 'Teen' AS content_rating FROM documents""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = F.col("doc_id").cast("string")
+    parts = ["<h1 itemprop='name'><span>App ", key, "</span></h1><div> 1,000+ downloads</div><div>Updated on Mar 3, 2024</div><div>Teen</div><div>Dev ", F.col("source"), "</div><div class='Category'></div><b itemprop=genre>Tools</b><i aria-label='Rated 4.5 stars'></i><i aria-label='", (F.col("doc_id") + 12000).cast("string"), " reviews'></i><div data-g-id='description'>", _escaped("text"), "</div>"]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return evidence.extract_play_pages(docs.select(F.concat(F.lit("com.d"), key).alias("package"), html.alias("html")))
+
+
+@query("e8_android_evidence", [], f"""
+SELECT concat('com.d', CAST(doc_id AS STRING)) AS package, concat('App Name: A', chr(10), 'Developer: ', source, chr(10), 'Category: Tools', chr(10), 'Rating: 4.5/5.0', chr(10), 'Downloads: 5K+', CASE WHEN b <> '' THEN concat(chr(10), chr(10), 'Description:', chr(10), CASE WHEN length(b) > 2000 THEN concat(substring(b, 1, 2000), '...') ELSE b END) ELSE '' END) AS evidence
+FROM (SELECT *, {_BODY} AS b FROM documents) x""")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    rows = docs.select(F.concat(F.lit("com.d"), F.col("doc_id").cast("string")).alias("package"), F.lit("A").alias("app_name"), F.col("source").alias("developer"), F.lit("Tools").alias("category"), F.lit(4.5).alias("rating"), F.lit(0).alias("rating_count"), F.lit("5K+").alias("downloads"), F.lit("").alias("content_rating"), body.alias("description"))
+    return evidence.store_evidence(rows, "android").select("package", "evidence")
+
+
 @query("e7_decode_ios_lookup", ["store_lookups"], """
-SELECT l.app_id, l.app_id % 4 <> 0 AS success, CASE WHEN l.app_id % 4 = 0 THEN 'App not found in App Store' ELSE '' END AS error, CASE WHEN l.app_id % 4 = 0 THEN '' ELSE p.p_name END AS app_name,
-  CASE WHEN l.app_id % 4 = 0 THEN 0.0 ELSE 4.5 END AS rating, CASE WHEN l.app_id % 4 = 0 THEN 0 ELSE l.app_id * 37 END AS rating_count, CASE WHEN l.app_id % 4 = 0 THEN 0.0 ELSE CAST(l.app_id AS DOUBLE) END AS file_size_mb
-FROM store_lookups l JOIN part p ON p.p_partkey = l.app_id""")
+SELECT l.app_id, ok AS success, CASE WHEN ok THEN '' ELSE 'App not found in App Store' END AS error, '' AS bundle_id, CASE WHEN ok THEN p.p_name ELSE '' END AS app_name, CASE WHEN ok THEN p.p_brand ELSE '' END AS developer,
+  CASE WHEN ok THEN 'Games' ELSE '' END AS primary_genre, CASE WHEN ok THEN concat('Games|', p.p_type) ELSE '' END AS genres, CASE WHEN ok THEN 4.5 ELSE 0.0 END AS rating, CASE WHEN ok THEN 4.5 ELSE 0.0 END AS raw_rating,
+  CASE WHEN ok THEN l.app_id * 37 ELSE 0 END AS rating_count, '' AS description, '' AS content_rating, CASE WHEN ok THEN CAST(p.p_size AS DOUBLE) ELSE 0.0 END AS price, 'USD' AS currency, '' AS version, '' AS release_date, '' AS last_updated,
+  '' AS app_store_url, '' AS icon_url, CASE WHEN ok THEN CAST(l.app_id AS DOUBLE) ELSE 0.0 END AS file_size_mb, '' AS supported_devices
+FROM (SELECT *, app_id % 4 <> 0 AS ok FROM store_lookups) l JOIN part p ON p.p_partkey = l.app_id""")
+def _(spark, sf, rows):
+    return evidence.decode_ios_lookup(rows).withColumns({c: F.array_join(c, "|") for c in ("genres", "supported_devices")})
+
+
 def _(spark, sf, rows):
     return evidence.decode_ios_lookup(rows).select("app_id", "success", "error", "app_name", "rating", "rating_count", "file_size_mb")
 
@@ -299,7 +397,12 @@ def _(spark, sf, rows):
     return evidence.store_evidence(found, "ios").select("app_id", "evidence")
 
 
-@query("e9_fetch_stats", ["attempts"], "SELECT run_id, rung, count(*) AS requests, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status <> 'success') AS errors FROM attempts GROUP BY run_id, rung")
+@query("e9_fetch_stats", ["attempts"], f"""SELECT run_id, rung, requests, successes, requests - successes AS errors, {_percent_sql("successes", "requests")} AS success_percent
+FROM (SELECT run_id, rung, count(*) AS requests, count(*) FILTER (WHERE status = 'success') AS successes FROM attempts GROUP BY run_id, rung) x""")
+def _(spark, sf, rows):
+    return evidence.fetch_stats(rows, ["run_id", "rung"]).withColumn("success_percent", hundredths("success_percent"))
+
+
 def _(spark, sf, rows):
     return evidence.fetch_stats(rows, ["run_id", "rung"]).drop("success_percent")
 
@@ -376,10 +479,20 @@ def _(spark, sf, attempts):
 
 
 SUMMARY_SQL = STATE_SQL + """, m AS (SELECT r.run_id, r.status, r.started_at, r.created_at, r.total, count(s.item) AS entries, count(*) FILTER (WHERE s.status = 'success') AS successful, count(*) FILTER (WHERE s.status = 'error') AS errors,
-  count(*) FILTER (WHERE s.status = 'retry_pending') AS retrying FROM runs r LEFT JOIN s ON s.run_id = r.run_id GROUP BY r.run_id, r.status, r.started_at, r.created_at, r.total)"""
+  count(*) FILTER (WHERE s.status = 'retry_pending') AS retrying, CAST(floor(epoch(max(s.ts))) AS BIGINT) - CAST(floor(epoch(min(s.ts))) AS BIGINT) AS elapsed FROM runs r LEFT JOIN s ON s.run_id = r.run_id GROUP BY r.run_id, r.status, r.started_at, r.created_at, r.total)"""
+
+
+@query("l1_ids_by_status", ["attempts"], STATE_SQL + " SELECT run_id, item FROM s WHERE status = 'retry_pending'")
+def _(spark, sf, attempts):
+    return ladder.ids_by_status(_state(attempts), ladder.PENDING)
+
+
+@query("l12_progress_summary", ["attempts", "runs"], SUMMARY_SQL + f""", d AS (SELECT *, entries - retrying AS processed, greatest(total - entries + retrying, 0) AS remaining FROM m)
+SELECT run_id, total, entries, successful, errors, retrying, processed, remaining, elapsed, {_percent_sql("processed", "total")} AS completion, CASE WHEN processed > 0 AND elapsed > 0 THEN elapsed * remaining // processed END AS eta_seconds FROM d""")
+def _(spark, sf, attempts, runs):
+    return ladder.progress_summary(_state(attempts), runs).withColumn("completion", hundredths("completion"))
 
 
-@query("l12_progress_summary", ["attempts", "runs"], SUMMARY_SQL + " SELECT run_id, total, entries, successful, errors, retrying, entries - retrying AS processed, greatest(total - entries + retrying, 0) AS remaining FROM m")
 def _(spark, sf, attempts, runs):
     return ladder.progress_summary(_state(attempts), runs).select("run_id", "total", "entries", "successful", "errors", "retrying", "processed", "remaining")
 
@@ -389,14 +502,24 @@ def _(spark, sf, attempts, runs):
     return ladder.eta(ladder.progress_summary(_state(attempts), runs), runs, F.expr(NOW) - F.expr("INTERVAL '0' DAY"))
 
 
-@query("l14_progress_shares", ["attempts", "runs"], SUMMARY_SQL + " SELECT run_id, CAST(floor(successful * 10000.0 / total) AS BIGINT) AS ok, CAST(floor(errors * 10000.0 / total) AS BIGINT) AS fail, status = 'completed' AS complete FROM m")
+@query("l14_progress_shares", ["attempts", "runs"], SUMMARY_SQL + f""" SELECT run_id, {_percent_sql("successful", "total")} AS ok, {_percent_sql("retrying", "total")} AS retry, {_percent_sql("errors", "total")} AS fail,
+  CASE WHEN status = 'completed' THEN 10000 ELSE least({_percent_sql("(entries - retrying)", "total")}, 10000) END AS overall FROM m""")
+def _(spark, sf, attempts, runs):
+    shares = ladder.progress_shares(ladder.progress_summary(_state(attempts), runs), runs)
+    return shares.select("run_id", *[hundredths(c) for c in ("ok", "retry", "fail", "overall")])
+
+
 def _(spark, sf, attempts, runs):
     summary = ladder.progress_summary(_state(attempts), runs)
     out = ladder.progress_shares(summary, runs).join(summary.select("run_id", "total", "successful", "errors"), "run_id")
     return out.select("run_id", F.expr("successful * 10000 div total").alias("ok"), F.expr("errors * 10000 div total").alias("fail"), (F.col("overall") == 100).alias("complete"))
 
 
-@query("l15_outcome_counts", ["attempts"], STATE_SQL + " SELECT run_id, count(*) AS items, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status <> 'success') AS failed FROM s GROUP BY run_id")
+@query("l15_outcome_counts", ["attempts"], STATE_SQL + f""" SELECT run_id, items, ok, items - ok AS failed, {_percent_sql("(items - ok)", "items")} AS failure_rate FROM (SELECT run_id, count(*) AS items, count(*) FILTER (WHERE status = 'success') AS ok FROM s GROUP BY run_id) x""")
+def _(spark, sf, attempts):
+    return ladder.outcome_counts(attempts).withColumn("failure_rate", hundredths("failure_rate"))
+
+
 def _(spark, sf, attempts):
     return ladder.outcome_counts(attempts).drop("failure_rate")
 
@@ -429,7 +552,12 @@ SELECT item, CASE item % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 3 THEN '' WHEN 5 T
   ELSE 'Unparseable classification response: Response does not contain function call or parseable content' END AS parse_error,"""
 
 
-@query("d1_unwrap_replies", ["replies"], REPLY_SQL + " CASE item % 8 WHEN 0 THEN item % 500 WHEN 3 THEN 77 ELSE 0 END AS tokens, CASE item % 8 WHEN 0 THEN 'stop' WHEN 1 THEN 'stop' WHEN 4 THEN 'length' WHEN 5 THEN 'tool_calls' WHEN 7 THEN 'stop' ELSE 'None' END AS finish_reason FROM replies")
+@query("d1_unwrap_replies", ["replies"], REPLY_SQL + """ CASE item % 8 WHEN 0 THEN item % 500 WHEN 3 THEN 77 ELSE 0 END AS tokens, CASE item % 8 WHEN 0 THEN 'stop' WHEN 1 THEN 'stop' WHEN 4 THEN 'length' WHEN 5 THEN 'tool_calls' WHEN 7 THEN 'stop' ELSE 'None' END AS finish_reason,
+  CASE item % 8 WHEN 0 THEN '{"quality":"Premium","vertical":"Sports","confidence":"High"}' WHEN 1 THEN '{"quality":"Long Tail","language":"French"}' WHEN 3 THEN '{"quality":"Superb","confidence":"Sky","description":"N/A"}' WHEN 5 THEN '{"quality":"Standard","justification":""}' END AS args FROM replies""")
+def _(spark, sf, replies):
+    return labels.unwrap_replies(replies).select("item", "parse_error", "tokens", "finish_reason", "args")
+
+
 def _(spark, sf, replies):
     return labels.unwrap_replies(replies).select("item", "parse_error", "tokens", "finish_reason")
 
@@ -451,7 +579,13 @@ def _(spark, sf, replies, tax):
 
 
 @query("d4_retry_budget", ["attempts"], """
-SELECT item, seq, CAST(2000 * pow(2, n - 1) AS BIGINT) AS budget, CASE WHEN status = 'success' THEN 'done' WHEN n <= 2 THEN 'retry' ELSE 'terminal' END AS step FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY seq) AS n FROM attempts) x WHERE n <= 20""")
+SELECT item, seq, CAST(2000 * pow(2, least(n - 1, 2)) AS BIGINT) AS budget, step, CASE WHEN step = 'retry' THEN CAST(4000 * pow(2, n - 1) AS BIGINT) END AS next_budget
+FROM (SELECT *, CASE WHEN status = 'success' THEN 'done' WHEN n <= 2 THEN 'retry' ELSE 'terminal' END AS step FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY seq) AS n FROM attempts) x) y""")
+def _(spark, sf, attempts):
+    replies = attempts.select("item", "seq", F.when(F.col("status") == "success", "").otherwise("bad").alias("parse_error"))
+    return labels.retry_budget(replies).select("item", "seq", "budget", "step", "next_budget")
+
+
 def _(spark, sf, attempts):
     replies = attempts.select("item", "seq", F.when(F.col("status") == "success", "").otherwise("bad").alias("parse_error"))
     return labels.retry_budget(replies).filter("attempt <= 20").select("item", "seq", "budget", "step")
@@ -489,8 +623,22 @@ def _(spark, sf, rows):
     return labels.news_signals(rows).select("item", "turn", "primarily_entertainment", "is_ctv_news")
 
 
-@query("d8_route_ctv_news", ["research"], NEWS_SQL + f""" SELECT item, turn, CASE WHEN NOT news THEN 'Old' WHEN few AND {_hits('a', labels.WEATHER_APPS)} > 0 THEN 'Science > Weather' WHEN few AND {_hits('a', labels.CRIME_APPS)} > 0 THEN 'Crime'
-  WHEN few AND {_hits('a', labels.DISASTER_APPS)} > 0 THEN 'Disasters' WHEN {_hits('r', labels.ELECTION_SIGNALS)} >= 2 OR {_hits('a', labels.ELECTION_APPS)} > 0 THEN 'Politics > Elections' ELSE 'Politics > Civic affairs' END AS vertical FROM c""")
+@query("d5_taxonomy_outline", ["catalog_taxonomy"], "SELECT DISTINCT tier1, tier2, tier3 FROM catalog_taxonomy WHERE tier1 <> ''")
+def _(spark, sf, tax):
+    return labels.taxonomy_outline(tax)
+
+
+@query("d8_route_ctv_news", ["research"], NEWS_SQL + f""", r AS (SELECT *, CASE WHEN NOT news THEN 'none' WHEN few AND {_hits('a', labels.WEATHER_APPS)} > 0 THEN 'weather' WHEN few AND {_hits('a', labels.CRIME_APPS)} > 0 THEN 'crime'
+  WHEN few AND {_hits('a', labels.DISASTER_APPS)} > 0 THEN 'disaster' WHEN {_hits('r', labels.ELECTION_SIGNALS)} >= 2 OR {_hits('a', labels.ELECTION_APPS)} > 0 THEN 'election' ELSE 'news' END AS route FROM c)
+SELECT item, turn, CASE route WHEN 'none' THEN 'Old' WHEN 'weather' THEN 'Science > Weather' WHEN 'crime' THEN 'Crime' WHEN 'disaster' THEN 'Disasters' WHEN 'election' THEN 'Politics > Elections' ELSE 'Politics > Civic affairs' END AS vertical,
+  CASE WHEN route IN ('news', 'election') THEN 'Center' ELSE 'Non-Political' END AS political_leaning,
+  concat('J', CASE route WHEN 'none' THEN '' WHEN 'news' THEN ' (post-routed for CTV news)' WHEN 'election' THEN ' (post-routed for CTV election news)' ELSE concat(' (post-routed for CTV ', route, ' app)') END,
+    CASE WHEN route IN ('news', 'election') THEN ' Political_Leaning set to Center due to Politics vertical.' ELSE '' END) AS justification FROM r""")
+def _(spark, sf, rows):
+    rows = rows.withColumns({"tier1": F.lit("Old"), "tier2": F.lit(""), "tier3": F.lit(""), "vertical": F.lit("Old"), "justification": F.lit("J"), "political_leaning": F.lit("Non-Political")})
+    return labels.route_ctv_news(rows).select("item", "turn", "vertical", "political_leaning", "justification")
+
+
 def _(spark, sf, rows):
     rows = rows.withColumns({"tier1": F.lit("Old"), "tier2": F.lit(""), "tier3": F.lit(""), "vertical": F.lit("Old"), "justification": F.lit("J"), "political_leaning": F.lit("Non-Political")})
     return labels.route_ctv_news(rows).select("item", "turn", "vertical")
@@ -501,7 +649,19 @@ def _(spark, sf, rows):
     return labels.gate_research(rows, least=100).select("item", "turn", "insufficient")
 
 
-@query("d10_summarize_research", ["results"])
+@query("d10_summarize_research", ["results"], r"""
+, t AS (SELECT seq, concat('Title', chr(10), 'Bold and thin link code', chr(10), chr(10), regexp_replace(coalesce("Description", ''), '[^A-Za-z0-9.!?]+', ' ', 'g')) AS raw FROM results),
+u AS (SELECT seq, rtrim(regexp_replace(raw, '
+ +', chr(10), 'g')) AS text FROM (SELECT seq, regexp_replace(raw, ' +$', '') AS raw FROM t) x),
+v AS (SELECT seq, trim(text, ' ' || chr(10)) AS text FROM u),
+w AS (SELECT seq, text, substring(text, 1, 300) AS head, regexp_extract(substring(text, 1, 300), '(?s)^(.*[.!?])(\s|$)', 1) AS cut FROM v)
+SELECT seq, CASE WHEN length(text) <= 300 THEN text WHEN length(cut) * 2 >= 300 THEN cut ELSE concat(rtrim(head), '...') END AS summary FROM w""")
+def _(spark, sf, rows):
+    plain = F.regexp_replace(F.coalesce("Description", F.lit("")), "[^A-Za-z0-9.!?]+", " ")
+    marked = rows.select("seq", F.concat(F.lit("# Title\n**Bold** and *thin* [link](u)[1] `code`\n\n\n\n  "), plain).alias("research"))
+    return labels.summarize_research(marked, n=300).select("seq", "summary")
+
+
 def _(spark, sf, rows):
     marked = rows.select("seq", F.concat(F.lit("# Title\n**Bold** and *thin* [link](u)[1] `code`\n\n\n\n  "), "Description").alias("research"))
     return labels.summarize_research(marked, n=300).select("seq", "summary")
@@ -644,8 +804,15 @@ def _(spark, sf, runs):
     return result_queries.list_runs(runs, "failed")
 
 
-@query("q5_run_view", ["attempts", "runs", "model_calls"], SUMMARY_SQL + """, c AS (SELECT run_id AS rid, CAST(sum(CAST(usage_cost AS DECIMAL(18,9))) * 1000000000 AS BIGINT) AS units, count(*) AS calls FROM model_calls GROUP BY run_id)
-SELECT run_id, status, total, entries - retrying AS processed, successful, units, calls FROM m LEFT JOIN c ON c.rid = m.run_id""")
+@query("q5_run_view", ["attempts", "runs", "model_calls"], SUMMARY_SQL + """, c AS (SELECT run_id AS rid, CAST(sum(CAST(usage_cost AS DECIMAL(18,9))) * 1000000000 AS BIGINT) AS units, count(*) AS calls FROM model_calls GROUP BY run_id),
+d AS (SELECT *, entries - retrying AS processed, (entries - retrying) * 1000 // total AS q, (entries - retrying) * 1000 % total AS r FROM m)
+SELECT run_id, status, created_at, total, processed, successful, errors, retrying, CAST(q + CASE WHEN 2 * r > total OR (2 * r = total AND q % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS percent, units, calls,
+  CASE WHEN status = 'running' AND entries > 0 THEN CAST(round(greatest(total - entries, 0) * 2682000.0 / entries + retrying * 15.0) AS BIGINT) END AS eta FROM d LEFT JOIN c ON c.rid = d.run_id""")
+def _(spark, sf, attempts, runs, calls):
+    out = result_queries.run_view(runs, attempts, spend.parse_costs(calls), F.expr(NOW))
+    return out.withColumn("percent", (F.col("percent") * 10).cast("long")).withColumn("units", _units("usd")).drop("usd")
+
+
 def _(spark, sf, attempts, runs, calls):
     out = result_queries.run_view(runs, attempts, spend.parse_costs(calls), F.expr(NOW))
     return out.select("run_id", "status", "total", "processed", "successful", _units("usd").alias("units"), "calls")

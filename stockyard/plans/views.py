@@ -51,7 +51,7 @@ SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O'
 VIEWS["results"] = """
 SELECT d.doc_id AS seq, concat('site', CAST(d.doc_id % 300 AS STRING), '.com') AS Domain, CASE d.doc_id % 3 WHEN 0 THEN 'WEBSITE' WHEN 1 THEN 'IOS' ELSE ' ' END AS Type,
   CASE WHEN l.quality IS NULL THEN 'Failed' WHEN l.toxic = 1 THEN 'Long Tail' WHEN l.quality = 1 THEN 'Premium' ELSE 'Standard' END AS Quality,
-  CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE concat('Tier ', d.lang, ' ', d.source) END AS `IAB Tier 1`, substring(d.text, 1, 900) AS Description, d.n_chars AS Content_Length
+  CASE WHEN d.doc_id % 10 = 0 THEN '' ELSE concat('Tier ', d.lang, ' ', d.source) END AS `IAB Tier 1`, d.text AS Description, d.n_chars AS Content_Length
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 VIEWS["model_calls"] = """
@@ -85,7 +85,7 @@ SELECT o_orderkey AS item, o_orderkey AS seq, CASE o_orderkey % 8
 VIEWS["research"] = """
 SELECT conv_id AS item, turn, CASE conv_id % 6 WHEN 0 THEN ' insufficient information ' WHEN 1 THEN '' WHEN 2 THEN 'Short note' ELSE text END AS research,
   CASE conv_id % 5 WHEN 0 THEN 'Local Weather Now' WHEN 1 THEN 'CNN' WHEN 2 THEN 'Movie Box' WHEN 3 THEN 'Court TV News' ELSE 'Ballot Watch News' END AS app_name,
-  CASE conv_id % 4 WHEN 0 THEN 'News' ELSE 'Mixed Content' END AS content_type FROM {conversations} WHERE role = 'assistant'
+  CASE conv_id % 4 WHEN 0 THEN 'News' ELSE 'Mixed Content' END AS content_type FROM {conversations}
 """
 VIEWS["fetches"] = """
 SELECT doc_id AS item, CASE doc_id % 9 WHEN 0 THEN false ELSE true END AS success, CASE WHEN doc_id % 18 = 0 THEN 'timeout' ELSE '' END AS error,

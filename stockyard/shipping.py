@@ -1,8 +1,9 @@
-"""Sending this package to the Python workers of a cluster."""
+"""What driver and executors share: this package, and a folder for written tables."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -23,3 +24,18 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, os.path.join("stockyard", os.path.relpath(path, root)))
     sc.addPyFile(out)
     sc._stockyard_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets
+    one of its own; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get()
+    return base.rstrip("/")

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockyard.functions.cells import is_artifact_name, is_missing, null_if_missing, strip
 from stockyard.functions import cells
+from stockyard.shipping import ship
 
 ROW = "row_no"
 
@@ -48,28 +53,79 @@ def separator(head: str) -> str:
     return best if line.count(best) else ","
 
 
-def read_inventory(spark: SparkSession, path: str, multiline: bool = True, extra_columns: int = 8) -> DataFrame:
-    """An all-text table with the names of its header line and `row_no`, rows in file order.
-
-    Only the head of the first file is read on the driver, for names and separator. Blank records are
-    left out; cells beyond the header come in "Unnamed: i" columns, up to `extra_columns` of them, and the
-    extra columns without any value are dropped.
-    """
-    head = spark.read.option("wholetext", False).text(path).limit(50).collect()
-    text = "\n".join((r.value or "") for r in head).removeprefix("﻿")
-    sep = separator(text)
-    fields = [f.strip("﻿") for f in _first_record(text, sep)]
-    names = header_names([*fields, *[""] * extra_columns])
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=True, enforceSchema=True, multiLine=multiline, escape='"', quote='"', mode="PERMISSIVE", nullValue="\u0000", emptyValue="")
-    raw = raw.select(*[F.coalesce(F.make_valid_utf8(c), F.lit("")).alias(c) for c in raw.columns], F.monotonically_increasing_id().alias(ROW))
-    filled = F.greatest(*[F.length(strip(F.col(f"c{i}"))) for i in range(len(names))]) if len(names) > 1 else F.length(strip(F.col("c0")))
-    raw = raw.filter(filled > 0)
-    beyond = [f"c{i}" for i in range(len(fields), len(names))]
+def _plain_heads(spark: SparkSession, path) -> list:
+    """For each distinct first line: the files that begin with it, the most separators in a line of them, and
+    whether any line has an odd number of quotes, so that a record may span lines. One pass, summed per task."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).select(text.alias("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    count = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c)))
+    head = F.min(F.when(F.trim("value") != "", F.struct("at", "value"))).alias("head")
+    files = lines.groupBy("file").agg(head, F.max(count('"') % 2 == 1).alias("spans"), *(F.max(count(c)).alias(n) for n, c in (("commas", ","), ("semicolons", ";"), ("tabs", "\t"))))
+    files = files.filter("head is not null")
+    return files.groupBy("head.value", "spans").agg(F.sort_array(F.collect_list("file")).alias("files"), F.max("commas").alias(","), F.max("semicolons").alias(";"), F.max("tabs").alias("\t")).collect()
+
+
+def _spanning_heads(spark: SparkSession, files: list[str]) -> list:
+    """(file, separator, header fields, most cells in a record) of files with records that may span lines."""
+
+    @F.pandas_udf("sep string, fields array<string>, width int")
+    def shape(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            text = text.removeprefix("\ufeff")
+            sep = separator(text)
+            out.append((sep, _first_record(text, sep), max((len(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep)), default=0)))
+        return pd.DataFrame(out, columns=["sep", "fields", "width"])
+
+    ship(spark)
+    return spark.read.text(files, wholetext=True).select(F.input_file_name().alias("file"), shape("value").alias("s")).select("file", "s.*").collect()
+
+
+def read_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """An all-text table of delimited files, each read by its own header, and `row_no`, rows in file order.
+
+    Files that share a header are read together and the tables joined by column name; a column that a file
+    lacks is null in its rows. Blank records are left out. Cells beyond the header come in "Unnamed: i"
+    columns, as many as any record has; those without any value at the end are dropped. Files are split
+    among tasks unless a quoted cell may span lines. Without any line there are no columns but `row_no`."""
+    groups: dict[tuple, list] = {}
+
+    def add(sep: str, fields: list[str], spans: bool, files: list[str], width: int) -> None:
+        held = groups.setdefault((sep, tuple(f.strip("\ufeff") for f in fields), spans), [[], 0])
+        held[0] += [unquote(f) for f in files]
+        held[1] = max(held[1], width)
+
+    spanning = []
+    for r in _plain_heads(spark, path):
+        if r.spans:
+            spanning += r.files
+        else:
+            sep = separator(r.value)
+            add(sep, _first_record(r.value, sep), False, r.files, r[sep] + 1)
+    if spanning:
+        for r in _spanning_heads(spark, [unquote(f) for f in spanning]):
+            add(r.sep, r.fields, True, [r.file], r.width)
+    found = [_read_group(spark, files, sep, list(fields), width, spans) for (sep, fields, spans), (files, width) in sorted(groups.items(), key=lambda g: min(g[1][0]))]
+    if not found:
+        return spark.createDataFrame([], f"{ROW} long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _read_group(spark: SparkSession, files: list[str], sep: str, fields: list[str], width: int, multiline: bool) -> DataFrame:
+    """Files of one header; `width` cells a record at most."""
+    width = max(width, len(fields))
+    names = header_names([*fields, *[""] * (width - len(fields))])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(schema).csv(sorted(files), sep=sep, header=True, enforceSchema=True, multiLine=multiline, escape='"', quote='"', mode="PERMISSIVE", nullValue="\u0000", emptyValue="", maxColumns=max(20480, width + 1))
+    raw = raw.select(*[F.coalesce(F.make_valid_utf8(c), F.lit("")).alias(c) for c in raw.columns])
+    raw = raw.filter(F.length(strip(F.concat(*raw.columns))) > 0)
+    beyond = [f"c{i}" for i in range(len(fields), width)]
     used = raw.agg(*[F.max(F.col(c) != "").alias(c) for c in beyond]).first() if beyond else None
-    last = max((i for i, c in enumerate(beyond) if used and used[c]), default=-1)
-    kept = names[: len(fields) + last + 1]
-    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(kept)], ROW)
+    last = max((i for i, c in enumerate(beyond) if used[c]), default=-1)
+    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names[: len(fields) + last + 1])])
 
 
 def null_missing(df: DataFrame) -> DataFrame:
@@ -107,9 +163,28 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The columns given, in that order; absent ones blank, others left out."""
-    out = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    df.select(*out).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """The columns given, in that order; absent ones blank, others left out. Records end in CRLF.
+
+    Spark's writer ends records with one character, so each record's last cell brings the carriage return and
+    cells are quoted here: those with a quote, separator or line break, and a lone empty cell."""
+    def cell(c: Column) -> Column:
+        special = c.rlike('[",\\r\\n]') | ((c == "") & F.lit(len(columns) == 1))
+        return F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    def record(cells: list[Column]) -> Column:
+        return F.concat(F.concat_ws(",", *cells), F.lit("\r"))
+
+    out = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in columns]
+    lines = df.select(record([cell(c) for c in out]).alias("line"))
+    head = df.sparkSession.range(1).select(record([cell(F.lit(c)) for c in columns]).alias("line")).first().line
+
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["line"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["line"])
+
+    ship(df.sparkSession)
+    lines.mapInArrow(with_head, "line string").write.mode("overwrite").text(path)
 
 
 def migrate_results(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,22 +213,30 @@ PROGRESS = "total_domains long, start_time string, last_updated string, processe
 
 
 def explode_progress(df: DataFrame, col: str = "value") -> DataFrame:
-    """One row per item of progress documents, with the document's totals."""
+    """One row per item of progress documents, with the document's totals and the other columns of `df`."""
+    kept = [c for c in df.columns if c != col]
     doc = F.from_json(F.col(col), PROGRESS)
-    return df.select(doc.alias("d")).select("d.total_domains", "d.start_time", "d.last_updated", F.explode_outer("d.processed_domains").alias("item", "entry")).select("total_domains", "start_time", "last_updated", "item", "entry.*")
+    totals = ["total_domains", "start_time", "last_updated"]
+    return df.select(*kept, doc.alias("d")).select(*kept, *[f"d.{c}" for c in totals], F.explode_outer("d.processed_domains").alias("item", "entry")).select(*kept, *totals, "item", "entry.*")
 
 
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    return explode_progress(spark.read.text(path, wholetext=True))
+def read_progress(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """The items of every progress document (one a file, or one a line), with the columns that its folders name."""
+    return explode_progress(spark.read.text(path, wholetext=whole))
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, name, tier1..tier4) of a tab-separated file: a description line, a header line, then rows."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("at"))  # a reference table of hundreds of lines
-    parts = lines.select(place.alias("line_no"), F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("p")).filter("line_no > 2")
-    cell = lambda i: F.coalesce(strip(F.get("p", F.lit(i))), F.lit(""))
-    return parts.select("line_no", cell(0).alias("name"), *[cell(i).alias(f"tier{i}") for i in range(1, 5)])
+    """(line_no, name, tier1..tier4) of tab-separated files: a description line, a header line, then rows.
+
+    Cells are found by the header's names; a column that a file lacks is "". `line_no` rises with the lines of
+    a file, without being gapless."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("file").agg(F.min("at").alias("first"))
+    placed = lines.join(first, "file")
+    header = placed.filter("at = first + 1").select("file", F.transform(F.split(strip(F.col("value")), "\t"), strip).alias("names"))
+    parts = placed.filter("at > first + 1 and value <> ''").join(header, "file").select(F.col("at").alias("line_no"), F.split("value", "\t").alias("p"), "names")
+    cell = lambda n: F.coalesce(strip(F.get("p", (F.array_position("names", F.lit(n)) - 1).cast("int"))), F.lit(""))
+    return parts.select("line_no", cell("Name").alias("name"), *[cell(f"Tier {i}").alias(f"tier{i}") for i in range(1, 5)])
 
 
 def read_tlds(spark: SparkSession, path: str) -> DataFrame:
