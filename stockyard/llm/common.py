@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.shipping import ship
+from stockyard.shipping import shared_dir, ship
 
 __all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "one_per_key", "shared_dir", "ship", "stored", "table"]
 
@@ -25,21 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets
-    one of its own; a cluster must name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    return base.rstrip("/")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

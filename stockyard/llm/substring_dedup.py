@@ -11,8 +11,11 @@ Runs of one anchor that differ are extended window by window, and each window is
 place where it stands. Overlapping windows add up to maximal repeats of at least `length` words.
 
 Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
-row per task; joins on anchors and runs are plain equi-joins, split at run time when skewed. Texts are
-shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are one row.
+row per task. Anchors of more than `hot` places (at most 1 / 2000 of all places, so at most 2000 anchors
+are) are found beforehand and take no part in the join on anchors: a broadcast says that they repeat.
+Joins on runs and windows are equi-joins of written tables, which are split at run time when skewed. Texts
+are shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are
+one row. Equal windows and runs are told by 64-bit hashes; words are not compared beyond them.
 
 Null text has no words. Texts of equal words are one class: its first document is the smallest id; others
 of `length` words or more lose all their words. Rows that repeat an id with equal words share a result;
@@ -104,6 +107,16 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(signed(h[e])), pa.array((start[e] - w.first[row]).astype(np.int32))], names=["digest", "anchor", "at"])
 
 
+def anchor_counts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, n) of all rows, summed over each piece."""
+    for batch in batches:
+        for _, _, data, offs in pieces(batch.column(0)):
+            w = Words(data, offs)
+            start, _, h = window_anchors(w, length, k)
+            anchor, n = np.unique(h[run_edges(start, h)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(n)], names=["anchor", "n"])
+
+
 def run_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """Runs of the repeated anchors of each text: column 3 lists where they begin."""
     names = ["first_id", "digest", "anchor", "run", "at", "windows"]
@@ -154,8 +167,11 @@ def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array(w.counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept], type=pa.string())], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: n_words, n_removed, kept_sha256, and the text that stays if asked for."""
+def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = 500) -> DataFrame:
+    """One row per document: n_words, n_removed, kept_sha256, and the text that stays if asked for.
+
+    hot: places of an anchor above which it is spread; the 2000 most frequent of such anchors are, since no
+    other one can have more than 1 / 2000 of all places."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     rows = source.mapInArrow(lambda it: digest_batches(it, False), "id long, digest binary")
@@ -165,8 +181,14 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
 
     # every use takes the same columns of `texts`, so that one shuffle of them serves all uses in a job
     anchors = texts.select("digest", "body", "first_id").mapInArrow(lambda it: anchor_batches(it, length, k), "digest binary, anchor long, at int")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    seeds = anchors.join(repeated, "anchor").groupBy(F.col("digest").alias("s_digest")).agg(F.collect_list("at").alias("begins"))
+    counted = stored(source.select("body").mapInArrow(lambda it: anchor_counts(it, length, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(f"n > {hot}"), "frequent-anchors")
+    frequent = counted.orderBy(F.desc("n"), "anchor").limit(2000).select(F.col("anchor").alias("frequent"))
+    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("again"))
+    marked = anchors.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left")
+    # places of frequent anchors are spread by their text in the join, where they match nothing
+    spread = F.when(F.col("frequent").isNull(), F.col("anchor")).otherwise(F.xxhash64("digest", "at"))
+    met = marked.withColumn("spread", spread).join(repeated, F.col("spread") == F.col("again"), "left").filter("again is not null or frequent is not null")
+    seeds = met.groupBy(F.col("digest").alias("s_digest")).agg(F.collect_list("at").alias("begins"))
     seeded = texts.join(seeds, texts.digest == seeds.s_digest).select("first_id", "digest", "body", "begins")
     runs = stored(seeded.mapInArrow(lambda it: run_batches(it, length, k), "first_id long, digest binary, anchor long, run long, at int, windows array<long>"), "runs")
 
@@ -175,10 +197,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
     again = heads.filter("times > 1").select("anchor", "run", "head")
     tails = runs.join(again, ["anchor", "run"]).filter((F.col("first_id") != F.col("head.first_id")) | (F.col("digest") != F.col("head.digest")) | (F.col("at") != F.col("head.at"))).select("digest", "at", F.size("windows").alias("n"))
 
-    several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+    several = stored(heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "anchors-of-runs")
     single = heads.join(several, "anchor").select("anchor", "head", F.posexplode("windows").alias("i", "window"))
     single = stored(single.select("anchor", "window", F.struct(F.col("head.first_id"), F.col("head.digest"), (F.col("head.at") + F.col("i")).alias("at")).alias("place")), "windows")
-    firsts = single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    firsts = stored(single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "first-windows")
     late = single.join(firsts, ["anchor", "window"]).filter("place <> first").select("place.digest", "place.at", F.lit(1).alias("n"))
 
     covered = tails.union(late).groupBy(F.col("digest").alias("v_digest")).agg(F.collect_list(F.struct("at", "n")).alias("covered"))
