@@ -4,6 +4,9 @@ Every version of a text is addressed by its content. A ledger holds (blob, rule
 scan takes the distinct blobs that the ledger lacks for the rule version in force, scans each once and
 joins findings back to every path (row) that holds the blob. Native: DataFrame operations only.
 
+The ledger is a folder of Parquet files, one subfolder per rule version, that scans append to: a new batch
+of versions costs the scan of the texts that no batch before had, and a new rule version scans all again.
+
 Distinct blobs come out of one hash aggregation on (digest, text) with map-side partial aggregation, so
 copies cost one scan and a group of any size is no hot task; findings join back by digest, and skewed
 digests are split at run time. Spans count code points: a regex splits a text into gaps and
@@ -15,9 +18,11 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockyard.llm.common import if_small
+
 #: Kind, pattern, group whose length counts, least length; in the order of ties.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -64,11 +69,30 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: str
     """The entries that the ledger lacks: unseen blobs, or blobs not yet scanned by this rule version."""
     todo = blobs(docs, text_col)
     if ledger is not None:
-        seen = ledger.filter(F.col("version") == version).select(F.col("blob").alias("seen"))
+        seen = if_small(ledger.filter(F.col("version") == version).select(F.col("blob").alias("seen")))
         todo = todo.join(seen, todo.blob == seen.seen, "left_anti")
     return scan(todo, version)
 
 
+class Ledger:
+    """A ledger at a path of the shared folder. One scan at a time may append; a failed one leaves no entries."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        """(blob, found, version); empty before the first scan."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        schema = f"blob binary, found {SPAN}, version string"
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def extend(self, docs: DataFrame, version: str = RULE_VERSION, text_col: str = "text") -> None:
+        """Scan what is new in `docs`, and append its findings."""
+        extend_ledger(docs, self.entries(), version, text_col).write.mode("append").partitionBy("version").parquet(self.path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per path: id and the spans found in its blob."""
     paths = docs.select(F.col(id_col).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("p_blob"))

@@ -2,8 +2,9 @@
 
 `write_archives` turns pages into WARC records, response or revisit, and packs a few MB of them at a time
 into one whole-file gzip stream. `normalise` inflates each stream once, rewrites every record as a gzip
-member of its own and lists offset and length of each: the sidecar index. `read_records` takes a record
-by its index entry alone and inflates nothing else.
+member of its own and notes offset and length of each. `sidecar` is that index as a table of its own, one
+row per record, keyed by the archive's digest; `read_records` joins it to the archives and takes each record
+by its index entry alone, inflating nothing else.
 
 Archives are rows (archive binary), so Spark reads and writes them wherever the shared folder is, and a
 lost executor's archives are made again; a folder of .warc.gz files is read by Spark's `binaryFile`.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from stockyard.llm.common import ship, stored
 
 ARCHIVES = "archive binary"
-NORMALISED = "archive binary, records array<struct<offset:long,length:long,record_id:string>>"
+NORMALISED = "archive_sha256 string, archive binary, records array<struct<offset:long,length:long,record_id:string>>"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 #: A fixed date keeps archives reproducible; crawls bring their own.
 DATE = "2024-01-01T00:00:00Z"
@@ -93,8 +94,9 @@ def split_records(data: bytes) -> Iterator[bytes]:
 
 
 def headers(head: bytes) -> dict[str, str]:
+    """Names in lower case; of a value only the one blank after the colon is cut, so outer blanks survive."""
     lines = head.decode("utf-8").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
+    return {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines if x)}
 
 
 def members(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,9 @@ def members(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Record
                 index.append({"offset": at, "length": len(member), "record_id": head["warc-record-id"]})
                 parts.append(member)
                 at += len(member)
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], type=pa.binary()), pa.array([index], type=pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())])))], names=["archive", "records"])
+            whole = b"".join(parts)
+            entries = pa.array([index], type=pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(whole).hexdigest()]), pa.array([whole], type=pa.binary()), entries], names=["archive_sha256", "archive", "records"])
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,17 +148,19 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
-    """Rows (archive, records): one gzip member per record and the offset index of each archive."""
+    """Rows (archive_sha256, archive, records): one gzip member per record, and where each of them lies."""
     ship(archives.sparkSession)
     return archives.select("archive").mapInArrow(lambda it: members(it, level), NORMALISED)
 
 
 def sidecar(normalised: DataFrame) -> DataFrame:
-    """The offset index as rows, keyed by the archive's digest."""
-    return normalised.select(F.sha2("archive", 256).alias("archive_sha256"), F.inline("records"))
+    """The offset index: archive_sha256, offset, length, record_id of every record."""
+    return normalised.select("archive_sha256", F.inline("records"))
 
 
-def read_records(normalised: DataFrame) -> DataFrame:
-    """One row per record, each inflated by its offset; payload digests of responses are recomputed."""
-    ship(normalised.sparkSession)
-    return normalised.select("archive", "records").mapInArrow(parsed, RECORDS)
+def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """One row per entry of the index, each record inflated by its offset; payload digests of responses are
+    recomputed. Equal archives are one; an archive's entries are as many as `archive_bytes` bounds."""
+    ship(archives.sparkSession)
+    entries = index.groupBy("archive_sha256").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "record_id"))).alias("records"))
+    return archives.select("archive_sha256", "archive").join(entries, "archive_sha256").select("archive", "records").mapInArrow(parsed, RECORDS)

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from stockyard.llm.common import results_dir, stored
 from stockyard.llm import bpe, decontamination, entries, exact_dedup, secret_scan, sharding, warc
 
 sha = lambda b: hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
@@ -113,23 +115,27 @@ def test_bpe(request, which):
 
 
 def test_warc(spark, sf):
-    pages = [(1, "u", "x" * 100), (2, None, "x" * 100), (3, "v\r\nA: b", "short"), (4, "v", "short"), (5, "w", None), (6, "w", ""), (7, "é", "é" * 99), (9, "", "x" * 100), (9, "", "x" * 100), (None, "n", "x" * 100), (10, "b", "\r\n\r\nWARC/1.1\r\n" * 30_000)]
+    pages = [(1, "u", "x" * 100), (2, None, "x" * 100), (3, "v\r\nA: b", "short"), (4, "v", "short"), (5, "w", None), (6, "w", ""), (7, "é", "é" * 99), (9, "", "x" * 100), (9, "", "x" * 100), (None, "n", "x" * 100), (10, " b ", "\r\n\r\nWARC/1.1\r\n" * 30_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("id", F.lit(2)).repartition(2)
     archives = warc.write_archives(df, archive_bytes=1000)
     normal = warc.normalise(archives)
-    got = warc.read_records(normal).collect()
+    normal = stored(normal, "members")
+    index = stored(warc.sidecar(normal), "index")
+    got = warc.read_records(normal, index).collect()
     expected = []
     for i, _, html in pages:
         b = (html or "").encode()
         first = min((p for p, _, h in pages if p is not None and (h or "").encode() == b), default=None) if len(b) >= 100 else i
         expected.append((i, len(b), sha(b), "response" if i == first else "revisit", None if i == first else first))
     assert Counter(tuple(r)[:5] for r in got) == Counter(expected)
-    assert {r.url for r in got if r.page_id == 7} == {"é"}
-    index = warc.sidecar(normal)
+    assert {r.url for r in got if r.page_id == 7} == {"é"} and {r.url for r in got if r.page_id == 10} == {" b "}
     assert index.count() == len(pages)
+    some = index.filter("offset = 0")
+    assert warc.read_records(normal, some).count() == some.count()
     again = warc.normalise(normal).collect()  # members in, the same members out
     assert Counter(bytes(r.archive) for r in again) == Counter(bytes(r.archive) for r in normal.collect())
-    assert warc.read_records(warc.normalise(warc.write_archives(df.limit(0)))).count() == 0
+    empty = stored(warc.normalise(warc.write_archives(df.limit(0))), "members")
+    assert warc.read_records(empty, warc.sidecar(empty)).count() == 0
 
 
 def brute_spans(text):
@@ -152,3 +158,9 @@ def test_secret_scan(request, which):
     got = Counter((r.doc_id, tuple(tuple(x) for x in r.found)) for r in secret_scan.findings(df, whole).collect())
     assert got == Counter((i, tuple(brute_spans(t))) for i, t in rows_of(df))
     assert secret_scan.extend_ledger(df, ledger, version="next").count() == secret_scan.blobs(df).count()
+    kept = secret_scan.Ledger(df.sparkSession, f"{results_dir(df.sparkSession)}/ledger-{which}-{uuid.uuid4().hex}")
+    for rows in (half, df, df):
+        kept.extend(rows)
+    assert kept.entries().count() == secret_scan.blobs(df).count()
+    kept.extend(half, version="next")
+    assert kept.entries().filter("version = 'next'").count() == secret_scan.blobs(half).count()
