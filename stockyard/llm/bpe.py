@@ -1,15 +1,22 @@
 """BPE encoding and decoding by reuse of content-defined chunks.
 
 A rolling hash over the last eight bytes proposes cuts, so equal passages of different documents fall
-into equal chunks wherever they stand; a cut is moved to the next white space. Each task keeps the
-encodings of chunks and, below them, of the words that a new chunk is made of, so what documents share
-is encoded once per task. Chunks are then joined, and every join is checked: the words on both sides are
-re-encoded together, with one more word to the left and right each time, until the ids agree with those
-of the parts; a join that never agrees is encoded with its whole neighbourhood.
-
-The dictionary is per task, not per cluster: sharing it would send texts and ids through a shuffle.
-Caches are bounded by `limit` entries in two generations. Decoding joins each token's piece by a space,
-as the tokenizer file names no decoder; `decode_ids` shows the same from ids alone.
+into equal chunks wherever they stand; a cut is moved to the next white space. Of the chunks of a batch
+each distinct one is encoded once, and a task keeps the encodings of what it has seen, so what documents
+share is taken from there. Chunks are then joined, and every kind of join is checked: the text around it is
+encoded as one, and where that differs from the parts, the text is widened, twice as far each time, until
+its encoding agrees with the parts at both ends; it then replaces what stood there. A join that never
+agrees is the encoding of both chunks as one.
+
+Where a tokenizer's pre-tokenizer drops white space and so ends every token there, chunks are in turn made
+of words, whose encodings fill a dictionary; ids and decoded text are gathered from it by numpy. Where it
+also cuts ASCII words into letters, digits and the rest, words are made of these. Both are tried on the
+tokenizer itself. Other tokenizers encode chunk by chunk.
+
+The dictionary is per worker process and bounded (`limit` entries in two generations), not per cluster:
+README has the figures. Decoding joins each token's piece by a space where the tokenizer file names no
+decoder; `decode_ids` shows the same from ids alone. Words and chunks are told apart by 64-bit hashes
+within a batch and by their bytes beyond it.
 
 Null and empty texts have no tokens. Rows are independent, so ties and repeats have no effect; an empty
 table gives an empty result; other columns are ignored.
@@ -18,6 +25,8 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import sys
 import types
 from collections.abc import Iterator
@@ -28,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import ship
-from stockyard.llm.tokens import pieces
+from stockyard.llm.tokens import Words, mix, pieces
 
+U = np.uint64
 WINDOW, MASK = 8, (1 << 10) - 1
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+WHITE = frozenset(b" \t\n\r\x0b\x0c")
+LETTER, DIGIT, SIGN, ODD = 1, 2, 3, 4
 
 
 class TwoGenerations:
@@ -54,67 +66,180 @@ class TwoGenerations:
         self.new[key] = value
 
 
+def drops_white_space(tokenizer) -> bool:
+    """No piece of the pre-tokenizer has white space, and what surrounds a word does not change its pieces."""
+    if tokenizer.pre_tokenizer is None:
+        return False
+    split = lambda t: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+    seen = tokenizer.normalizer.normalize_str("ab 'cd") if tokenizer.normalizer else "ab 'cd"
+    return split(seen) == split(seen.split()[0]) + split(seen.split()[1])
+
+
+def cuts_classes(tokenizer) -> bool:
+    """Letters, each digit and other ASCII signs but apostrophes are pieces of their own."""
+    split = lambda t: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+    parts = ["ab", "1", "2", "!?", "Cd", "-", "e", "9", "_", "f", "..", "0"]
+    return split("".join(parts)) == [p for x in parts for p in split(x)]
+
+
+class Units(Words):
+    """Words, and for tokenizers that cut them their letters, digits and signs; whole where a byte is not plain."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, kinds: np.ndarray | None):
+        super().__init__(data, offs)
+        if kinds is None or not len(self):
+            return
+        kind = kinds[data]
+        odd = np.concatenate(([0], np.cumsum(kind == ODD)))
+        plain = odd[self.end] == odd[self.start]
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        edge[self.start] = True
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        np.add.at(inside, self.start, 1)
+        np.add.at(inside, self.end, -1)
+        word = np.cumsum(inside[:-1])  # 1 inside words
+        whole = np.zeros(len(data) + 1, dtype=np.int8)
+        np.add.at(whole, self.start[~plain], 1)
+        np.add.at(whole, self.end[~plain], -1)
+        keep = edge[:-1] & (word > 0) & (np.cumsum(whole[:-1]) == 0)
+        keep[self.start] = True
+        at = np.flatnonzero(keep)
+        home = np.searchsorted(self.start, at, side="right") - 1
+        self.end = np.minimum(np.append(at[1:], len(data)), self.end[home])
+        self.start, self.row = at, self.row[home]
+        self.counts = np.bincount(self.row, minlength=self.rows)
+        self.first = np.concatenate(([0], np.cumsum(self.counts)))
+
+
+class Runs:
+    """Byte strings end to end, of which any selection can be gathered at once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the selection, where each of it ends)."""
+        size = np.diff(self.ends)[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return self.data[np.repeat(self.ends[which] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 class Encoder:
-    def __init__(self, path: str, limit: int = 200_000):
+    """Ids of texts as little-endian 32-bit integers, chunk by chunk."""
+
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words, self.chunks, self.joins = TwoGenerations(limit), TwoGenerations(limit // 20), TwoGenerations(limit // 10)
-
-    def direct(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, token strings joined by spaces)."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return np.array(e.ids, dtype="<u4").tobytes(), " ".join(e.tokens).encode()
-
-    def word(self, w: bytes) -> tuple[bytes, bytes]:
-        found = self.words.get(w)
-        if found is None:
-            found = self.direct(w.decode())
-            self.words.put(w, found)
+        self.by_word = drops_white_space(self.tokenizer)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        names = sorted((i, t) for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items())
+        strings = [""] * (names[-1][0] + 1 if names else 1)
+        for i, t in names:
+            strings[i] = t
+        #: decoded pieces, if the file names no decoder: token strings, joined by spaces
+        self.said = Runs([t.encode() + b" " for t in strings]) if file.get("decoder") is None else None
+        suffix = file["model"].get("end_of_word_suffix") or ""
+        #: ids that end a word, if the model marks word ends
+        self.ends_word = np.array([bool(suffix) and t.endswith(suffix) for t in strings])
+        self.kinds: np.ndarray | None = None
+        if self.by_word and cuts_classes(self.tokenizer):
+            self.kinds = np.full(256, ODD, dtype=np.uint8)
+            self.kinds[33:127] = SIGN
+            self.kinds[[*range(65, 91), *range(97, 123)]] = LETTER
+            self.kinds[48:58] = DIGIT
+            self.kinds[[39, *(t["content"].encode()[0] for t in file.get("added_tokens") or [] if t["content"])]] = ODD
+        self.known, self.joins = TwoGenerations(limit), TwoGenerations(limit // 10)
+
+    def direct(self, data: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def decoded(self, ids: bytes) -> bytes:
+        numbers = np.frombuffer(ids, dtype="<u4")
+        if self.said is None:
+            return self.tokenizer.decode(numbers.tolist(), skip_special_tokens=False).encode()
+        return self.said.take(numbers)[0].tobytes()[:-1]
+
+    def encodings(self, parts: list[bytes], together: int = 200) -> list[bytes]:
+        """Of distinct parts; those not in the dictionary are encoded a few hundred to a call.
+
+        Words of letters and runs of one class are one piece each; so many of them are one text, and the marks of
+        word ends tell their ids apart. Where there are more marks than words, they are encoded one by one."""
+        found = [self.known.get(p) for p in parts]
+        missing = [i for i, f in enumerate(found) if f is None]
+        easy, hard = [], missing
+        if self.kinds is not None and self.ends_word.any():
+            hard = []
+            for i in missing:
+                p = parts[i]
+                plain = p.isalnum() or self.kinds[p[0]] == SIGN if p.isascii() else p.decode().isalpha()
+                (easy if plain and len(p) <= 64 else hard).append(i)
+        blocks = [easy[a : a + together] for a in range(0, len(easy), together)]
+        for at in range(0, len(blocks), 50):
+            texts = [b" ".join([parts[i] for i in b]).decode() for b in blocks[at : at + 50]]
+            for block, e in zip(blocks[at : at + 50], self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                stops = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(stops) == len(block) and stops[-1] == len(ids):
+                    raw, b = ids.tobytes(), 0
+                    for i, e_ in zip(block, (stops * 4).tolist()):
+                        found[i] = raw[b:e_]
+                        b = e_
+                else:
+                    hard += block
+        for at in range(0, len(hard), 1000):
+            some = hard[at : at + 1000]
+            for i, e in zip(some, self.tokenizer.encode_batch([parts[i].decode() for i in some], add_special_tokens=False)):
+                found[i] = np.array(e.ids, dtype="<u4").tobytes()
+        for i in missing:
+            if len(parts[i]) <= 1 << 12:
+                self.known.put(parts[i], found[i])
         return found
 
-    def chunk(self, data: bytes) -> tuple[bytes, bytes]:
-        if len(data) <= 1 << 14 and (found := self.chunks.get(data)) is not None:
-            return found
-        new = self.words.new
-        parts = [new.get(w) or self.word(w) for w in data.split()]
-        found = b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
-        if len(data) <= 1 << 14:
-            self.chunks.put(data, found)
-        return found
+    def ids(self, data: bytes) -> list[int]:
+        return np.frombuffer(self.direct(data), dtype="<u4").tolist()
 
     def agrees(self, left: bytes, right: bytes) -> bool:
-        """Do the words around a join, encoded together, give the ids of the parts?"""
-        a, b = left.split()[-1:], right.split()[:1]
-        if not a or not b:
-            return True
-        key = a[0], b[0]
-        found = self.joins.get(key)
+        """Are two words, with the white space between them, encoded as each alone?"""
+        found = self.joins.get((left, right))
         if found is None:
-            found = self.direct(b" ".join(key).decode())[0] == self.word(key[0])[0] + self.word(key[1])[0]
-            self.joins.put(key, found)
+            found = self.ids(left + right) == self.ids(left) + self.ids(right)
+            self.joins.put((left, right), found)
         return found
 
-    def text(self, data: bytes, cuts: list[int]) -> tuple[bytes, bytes]:
-        bounds = [0, *cuts, len(data)]
-        found = [data[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
-        if len(found) > 1:
-            merged = found[:1]
-            for right in found[1:]:
-                if self.agrees(merged[-1], right):
-                    merged.append(right)
-                else:  # repair: one chunk out of both, encoded as a whole below
-                    merged[-1] += right
-            if len(merged) < len(found):
-                known = set(found)
-                parts = [self.chunk(x) if x in known else self.direct(x.decode()) for x in merged]
-            else:
-                parts = [self.chunk(x) for x in merged]
-        else:
-            parts = [self.chunk(x) for x in found]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
+    def joined(self, left: bytes, left_ids: list[int], right: bytes, right_ids: list[int]) -> list[int]:
+        """Ids of left + right out of those of both. `right` begins with white space."""
+        words = lambda b: np.flatnonzero([a in WHITE and (i == 0 or b[i - 1] not in WHITE) for i, a in enumerate(b)])
+        starts, ends = words(left), words(right)
+        k = 1
+        while k <= max(len(starts), len(ends)):
+            a = left[starts[-k] :] if k <= len(starts) else left
+            b = right[: ends[k]] if k < len(ends) else right
+            ta, tb, both = self.ids(a), self.ids(b), self.ids(a + b)
+            whole = (a == left, b == right)
+            # the parts are known at both ends: what stands there is the same alone, in its chunk and joined
+            if both and (whole[0] or (left_ids[-len(ta) :] == ta and both[:1] == ta[:1])) and (whole[1] or (right_ids[: len(tb)] == tb and both[-1:] == tb[-1:])):
+                if both == ta + tb or (len(ta) > 1 and len(tb) > 1) or all(whole):
+                    return left_ids[: len(left_ids) - len(ta)] + both + right_ids[len(tb) :]
+            k *= 2
+        return self.ids(left + right)
+
+    def text(self, chunks: list[bytes]) -> bytes:
+        """One text given as chunks."""
+        ids, done = [], b""
+        for c in chunks:
+            own = np.frombuffer(self.encodings([c])[0], dtype="<u4").tolist()
+            ids = self.joined(done, ids, c, own) if done else own
+            done += c
+            if len(done) > 1 << 16 and len(chunks) > 1:
+                return self.direct(b"".join(chunks))  # longer than what joins look back on
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
@@ -134,6 +259,51 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return np.unique(spaces[at[at < len(spaces)]])
 
 
+def by_words(enc: Encoder, data: np.ndarray, offs: np.ndarray) -> Iterator[bytes]:
+    """Encodings of the rows of a piece: distinct chunks out of distinct words, rows out of chunks."""
+    w = Units(data, offs, enc.kinds)
+    rows = len(offs) - 1
+    cuts = np.union1d(cut_points(data), offs[:-1])
+    chunk_of = np.searchsorted(cuts, w.start, side="right") - 1
+    inside = np.flatnonzero(np.concatenate(([True], chunk_of[1:] != chunk_of[:-1]))) if len(w) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(inside, len(w)))
+    place = (np.arange(len(w)) - np.repeat(inside, size)).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(w.hash ^ mix(place + U(0x51ED))))))
+    key = mix(sums[inside + size] - sums[inside] + size.astype(np.uint64)) if len(inside) else sums[:0]
+    _, first, chunk = np.unique(key, return_index=True, return_inverse=True)
+    # words of the first of equal chunks; each distinct word is encoded once
+    mine = np.repeat(inside[first], size[first]) + np.arange(int(size[first].sum())) - np.repeat(np.cumsum(size[first]) - size[first], size[first]) if len(first) else inside
+    _, at, word = np.unique(w.hash[mine], return_index=True, return_inverse=True)
+    whole = data.tobytes()
+    text = lambda i: whole[w.start[i] : w.end[i]]
+    ids, id_ends = Runs(enc.encodings([text(i) for i in mine[at].tolist()])).take(word)
+    bounds = id_ends[np.concatenate(([0], np.cumsum(size[first]))).astype(np.int64)].tolist()
+    ids, id_ends = Runs([ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]).take(chunk)
+    begin = np.searchsorted(w.row[inside], np.arange(rows + 1)) if len(inside) else np.zeros(rows + 1, dtype=np.int64)
+    # joins: the last word of a chunk and the first of the next, each distinct pair once
+    odd: set[int] = set()
+    left = np.flatnonzero(w.row[inside[1:]] == w.row[inside[1:] - 1]) if len(inside) > 1 else inside[:0]
+    if len(left):
+        pairs = mix(w.hash[inside[left + 1] - 1]) ^ w.hash[inside[left + 1]]  # chunks begin at white space, so both are whole or outer parts of words
+        _, some, kind = np.unique(pairs, return_index=True, return_inverse=True)
+        good = np.array([enc.agrees(text(i - 1), b" " + text(i)) for i in inside[left[some] + 1].tolist()], dtype=bool)
+        odd = set(w.row[inside[left + 1]][~good[kind]].tolist())
+    for r in range(rows):
+        a, b = begin[r], begin[r + 1]
+        if r in odd:
+            cut = [int(c) for c in cuts[(cuts > offs[r]) & (cuts < offs[r + 1])]]
+            yield enc.text([whole[x:y] for x, y in zip([int(offs[r]), *cut], [*cut, int(offs[r + 1])])])
+        else:
+            yield ids[id_ends[a] : id_ends[b]].tobytes()
+
+
+def by_chunks(enc: Encoder, data: np.ndarray, offs: np.ndarray) -> Iterator[bytes]:
+    cuts, whole = cut_points(data), data.tobytes()
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+        cut = cuts[(cuts > a) & (cuts < b)].tolist()
+        yield enc.text([whole[x:y] for x, y in zip([a, *cut], [*cut, b]) if y > x])
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, kept between tasks."""
     kept = sys.modules.setdefault("_stockyard_kept", types.ModuleType("_stockyard_kept")).__dict__
@@ -146,17 +316,11 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep_ids: bool)
     enc = encoder(path)
     for batch in batches:
         counts, ids, decoded, raw = [], [], [], []
-        for lo, hi, data, offs in pieces(batch.column(1)):
-            cuts = cut_points(data)
-            edges = np.searchsorted(cuts, offs, side="right").tolist()
-            body, starts = data.tobytes(), offs.tolist()
-            for r in range(hi - lo):
-                a, b = starts[r], starts[r + 1]
-                inside = [int(c) - a for c in cuts[edges[r] : edges[r + 1]] if a < c < b]
-                i, d = enc.text(body[a:b], inside)
+        for _, _, data, offs in pieces(batch.column(1)):
+            for i in (by_words if enc.by_word else by_chunks)(enc, data, offs):
                 counts.append(len(i) // 4)
                 ids.append(hashlib.sha256(i).hexdigest())
-                decoded.append(hashlib.sha256(d).hexdigest())
+                decoded.append(hashlib.sha256(enc.decoded(i)).hexdigest())
                 if keep_ids:
                     raw.append(np.frombuffer(i, dtype="<u4").astype(np.int32))
         columns = [batch.column(0), pa.array(counts, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(decoded, type=pa.string())]

@@ -13,8 +13,8 @@ place where it stands. Overlapping windows add up to maximal repeats of at least
 Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
 row per task. Anchors of more than `hot` places (at most 1 / 2000 of all places, so at most 2000 anchors
 are) are found beforehand and take no part in the join on anchors: a broadcast says that they repeat.
-Joins on runs and windows are equi-joins of written tables, which are split at run time when skewed. Texts
-are shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are
+Joins on runs and windows are plain equi-joins: a run is joined once for each place, a window once for each
+kind of run around it, and both are split at run time when skewed. Texts are shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are
 one row. Equal windows and runs are told by 64-bit hashes; words are not compared beyond them.
 
 Null text has no words. Texts of equal words are one class: its first document is the smallest id; others
@@ -184,10 +184,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
     counted = stored(source.select("body").mapInArrow(lambda it: anchor_counts(it, length, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(f"n > {hot}"), "frequent-anchors")
     frequent = counted.orderBy(F.desc("n"), "anchor").limit(2000).select(F.col("anchor").alias("frequent"))
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("again"))
-    marked = anchors.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left")
     # places of frequent anchors are spread by their text in the join, where they match nothing
-    spread = F.when(F.col("frequent").isNull(), F.col("anchor")).otherwise(F.xxhash64("digest", "at"))
-    met = marked.withColumn("spread", spread).join(repeated, F.col("spread") == F.col("again"), "left").filter("again is not null or frequent is not null")
+    known = F.col("frequent").isNotNull()
+    marked = anchors.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left").select("digest", "at", F.when(known, F.xxhash64("digest", "at")).otherwise(F.col("anchor")).alias("spread"), known.alias("known"))
+    met = marked.join(repeated, F.col("spread") == F.col("again"), "left").filter("known or again is not null")
     seeds = met.groupBy(F.col("digest").alias("s_digest")).agg(F.collect_list("at").alias("begins"))
     seeded = texts.join(seeds, texts.digest == seeds.s_digest).select("first_id", "digest", "body", "begins")
     runs = stored(seeded.mapInArrow(lambda it: run_batches(it, length, k), "first_id long, digest binary, anchor long, run long, at int, windows array<long>"), "runs")
@@ -197,10 +197,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
     again = heads.filter("times > 1").select("anchor", "run", "head")
     tails = runs.join(again, ["anchor", "run"]).filter((F.col("first_id") != F.col("head.first_id")) | (F.col("digest") != F.col("head.digest")) | (F.col("at") != F.col("head.at"))).select("digest", "at", F.size("windows").alias("n"))
 
-    several = stored(heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "anchors-of-runs")
+    several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
     single = heads.join(several, "anchor").select("anchor", "head", F.posexplode("windows").alias("i", "window"))
     single = stored(single.select("anchor", "window", F.struct(F.col("head.first_id"), F.col("head.digest"), (F.col("head.at") + F.col("i")).alias("at")).alias("place")), "windows")
-    firsts = stored(single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "first-windows")
+    firsts = single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     late = single.join(firsts, ["anchor", "window"]).filter("place <> first").select("place.digest", "place.at", F.lit(1).alias("n"))
 
     covered = tails.union(late).groupBy(F.col("digest").alias("v_digest")).agg(F.collect_list(F.struct("at", "n")).alias("covered"))

@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `limit` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
