@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -200,33 +201,119 @@ def test_substring_dedup(request, which):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-@pytest.mark.parametrize("which,options", [("documents", {}), ("documents", {"listed": 300, "words": 40, "endings": 30, "depth": 3, "rare": 1e-3}), ("odd", {}), ("none", {})])
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+
+
+def symbol_classes(words, endings):
+    out = {}
+    for x in words:
+        for _, _, data, offs in pieces(pa.array([x])):
+            out[x] = int(suffix_tree.ending(Words(data, offs, lower=True), endings)[0])
+    return out
+
+
+def brute_scores(rows, words, endings, depth, least, keep):
+    """A tree of dictionaries: contexts are tuples of symbols, the latest first."""
+    counts = Counter(x for i, t in rows if not held(i) for x in lowered(t))
+    ends = sum(not held(i) for i, _ in rows)
+    total, distinct = sum(counts.values()) + ends, len(counts) + (ends > 0)
+    steps = defaultdict(list)
+    for x, n in counts.items():
+        steps[math.floor(math.log2(n) * 16)].append(x)
+    top = []
+    for k in sorted(steps, reverse=True):
+        if len(top) + len(steps[k]) > words:
+            break
+        top += steps[k]
+    top = set(top)
+    ending = symbol_classes({x for _, t in rows for x in lowered(t)}, endings)
+    symbol = lambda x: x if x in top else ("ending", ending[x])
+    sequence = lambda t: [("start",), *(symbol(x) for x in lowered(t)), ("end",)]
+    alphabet = len(top) + endings + 1
+    train = [sequence(t) for i, t in rows if not held(i)]
+    first = Counter(x for q in train for x in q[1:])
+    zero = lambda x: (first[x] + 0.5) / (sum(first.values()) + 0.5 * alphabet)
+    states, looked = {(): None}, {}
+
+    def p(context, x):
+        while context not in states:
+            context = context[:-1]
+        if not context:
+            return zero(x)
+        own = states[context]
+        n, kinds = sum(own.values()), len(own)
+        return (own[x] + kinds * p(context[:-1], x)) / (n + kinds)
+
+    for d in range(1, depth + 1):
+        found = defaultdict(Counter)
+        for q in train:
+            for at in range(d, len(q)):
+                c = tuple(reversed(q[at - d : at]))
+                if c[:-1] in states and (d == 1 or looked.get(c[1:], {}).get(c[0], 0) >= least):
+                    found[c][q[at]] += 1
+        looked = {c: n for c, n in found.items() if sum(n.values()) >= least}
+        new = {}
+        for c, own in looked.items():
+            n = sum(own.values())
+            far = sum(k * math.log(k / n / p(c[:-1], x)) for x, k in own.items())
+            if far > keep * len(own):
+                new[c] = own
+        states |= new
+    inside = defaultdict(lambda: [0, 0])
+    for x, n in counts.items():
+        if x not in top:
+            inside[ending[x]][0] += n
+            inside[ending[x]][1] += 1
+    out = []
+    for i, t in rows:
+        q, w, sum_ = sequence(t), lowered(t), 0.0
+        for at in range(1, len(q)):
+            sum_ += math.log10(p(tuple(reversed(q[max(0, at - depth) : at])), q[at]))
+        for x in w:
+            if x not in top:
+                n, v = inside[ending[x]]
+                sum_ += math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1)))
+        base = sum(math.log10((n + 0.1) / (total + 0.1 * (distinct + 1))) for n in [*(counts[x] for x in w), ends])
+        out.append((i, held(i), len(w) + 1, sum(x in counts for x in w) + (ends > 0), total, round(base, 4), round(sum_, 2)))
+    return out, len(states), max(map(len, states))
+
+
+@pytest.mark.parametrize("which,options", [("documents", {"least": 4}), ("documents", {"listed": 300, "words": 60, "endings": 30, "depth": 5, "least": 2}), ("odd", {}), ("messy", {"least": 2}), ("none", {})])
 def test_suffix_tree(request, which, options):
     df = request.getfixturevalue(which)
-    rows = rows_of(df)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-    counts = Counter()
-    for i, t in rows:
-        if not held(i):
-            counts.update([*lowered(t), None])
-    total, distinct = sum(counts.values()), len(counts)
-    expected = Counter()
-    for i, t in rows:
-        w = [*lowered(t), None]
-        base = sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w)
-        expected[(i, held(i), len(w), sum(x in counts for x in w), total, round(base, 4))] += 1
+    model = {"words": 2048, "endings": 512, "depth": 6, "least": 16, "keep": 1.0} | {k: v for k, v in options.items() if k != "listed"}
+    expected, states, longest = brute_scores(rows_of(df), **model)
     got = suffix_tree.score(df, **options).collect()
-    assert Counter((*tuple(r)[:5], round(r.base_score, 4)) for r in got) == expected
-    assert all(math.isfinite(r.score) and r.score < 1e-6 for r in got)
+    close = lambda r: (str(r[0]), *r[1:5], round(r[5]), round(r[6]))
+    for a, b in zip(sorted(map(tuple, got), key=close), sorted(expected, key=close), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-3 and abs(a[6] - b[6]) < 1e-3 * max(10, abs(b[6]))
     if which == "documents":
-        held_rows = [r for r in got if r.held_out]
-        assert sum(r.score for r in held_rows) > sum(r.base_score for r in held_rows)
+        assert states > 50 and longest > 2
+        assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
 def test_tree_is_a_distribution(documents):
-    model = suffix_tree.Model(documents.select("text"), 50, 40, 2, 1e-3, 1.0, 1000)
-    assert abs((10.0 ** model.tree.table.astype(float)).sum(axis=1) - 1).max() < 1e-4
-    assert len(model.tree.table) > 10
+    tree = suffix_tree.Model(documents.select("text"), 50, 40, 4, 4, 1.0, 1000, 1 << 20).tree
+    states, symbols = len(tree.parent), tree.symbols
+    assert states > 20 and tree.parent.max() > 0
+    p = 10.0 ** tree.log(np.repeat(np.arange(states), symbols), np.tile(np.arange(symbols), states))
+    assert abs(p.reshape(states, symbols).sum(axis=1) - 1).max() < 1e-4
+
+
+def test_tree_keeps_to_its_bound(documents):
+    few = suffix_tree.Model(documents.select("text"), 50, 40, 4, 4, 1.0, 1000, 400).tree
+    assert 0 < len(few.codes) <= 400
+
+
+def test_more_text_has_longer_contexts(spark):
+    """A passage that stands `least` times is known by long contexts, whatever else there is."""
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"r{r.randrange(200)}" for _ in range(40)) + (" " + passage if i < 20 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score / x.n_tokens for x in suffix_tree.score(df, least=8).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 300))
 
 
 def test_quality(spark):
