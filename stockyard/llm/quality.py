@@ -9,8 +9,9 @@ not see are pooled into a grid, and isotonic regression over the grid turns scor
 Bounded sample: at most about `most` labelled rows are fitted, chosen by a hash of the id when there are
 more. Everything else covers all rows. Null texts are empty, and empty texts get a score like any other.
 Labels that are null are left out; an id labelled more than once counts with its mean label. Without
-labelled rows every score is 0.5. Rows that repeat an id are scored alike for like text; a null id is held
-out by nobody and never labelled. Empty tables give empty results; other columns are ignored or kept.
+labelled rows every score is 0.5. Rows that repeat an id are scored alike for like text; of different texts
+of a labelled id the one with the smallest statistics is learned. A null id is held out by nobody and never
+labelled. Empty tables give empty results; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockyard.llm.common import bucket_of, ship, stored
+from stockyard.llm.common import bucket_of, if_small, ship, stored
 from stockyard.llm.tokens import NOT_SPACE, Words, pieces
 
 _KIND = np.full(256, 9, dtype=np.int64)
@@ -130,8 +131,9 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", label_i
     """Fit on labelled rows of `stats` (id, stats) outside fold `held_out`; fold `held_out` + 1 calibrates."""
     rng = np.random.default_rng(seed)
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("l_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
-    rows = stats.filter("id is not null").dropDuplicates(["id"]).withColumn("fold", bucket_of("id", folds)).filter(F.col("fold") != held_out)
-    rows = stored(rows.join(known, rows.id == known.l_id).select("id", "stats", "label", "fold"), "labelled")
+    rows = stats.filter("id is not null").withColumn("fold", bucket_of("id", folds)).filter(F.col("fold") != held_out)
+    rows = rows.join(known, rows.id == known.l_id).groupBy("id", "fold", "label").agg(F.min("stats").alias("stats"))
+    rows = stored(rows.select("id", "stats", "label", "fold"), "labelled")
     n = rows.count()
     if n > most:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
@@ -195,8 +197,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
-    """The documents predicted to be good, with all their columns; no text is shuffled."""
-    stats = stored(with_statistics(docs, id_col, text_col), "statistics")
+    """The documents predicted to be good, with all their columns, each row by its own text; only texts of
+    labelled documents are looked at for the fit, and texts are shuffled only if their ids cannot be broadcast."""
+    label_id = options.get("label_id", "doc_id")
+    known = if_small(labels.select(F.col(label_id).alias("l_id")).filter("l_id is not null").distinct())
+    labelled = docs.join(known, docs[id_col] == known["l_id"], "left_semi")
+    stats = stored(with_statistics(labelled, id_col, text_col), "statistics")
     sent = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, **options))
     at = docs.columns.index(text_col)
 

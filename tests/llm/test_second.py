@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from stockyard.llm import quality, similarity_join, substring_dedup, suffix_tree
-from stockyard.llm.common import Workspace
+from stockyard.llm.common import Workspace, stored
 from stockyard.llm.components import components
 from stockyard.llm.tokens import Words, pieces
 
@@ -338,6 +338,92 @@ def test_quality_odd(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def brute_statistics(text):
+    """The same statistics, told by Python's own string functions."""
+    b = (text or "").encode()
+    kinds = [0] * quality.KINDS
+    for x in b:
+        kinds[int(quality._KIND[x])] += 1
+    words, lines = re.findall(rb"[^\x20\x09-\x0d]+", b), [x for x in b.split(b"\n") if x]
+    n = max(len(words), 1)
+    mean = sum(map(len, words)) / n
+    share = lambda f: sum(map(f, words)) / n
+    most = lambda xs: (len(set(xs)) / max(len(xs), 1), max(Counter(xs).values(), default=0) / max(len(xs), 1))
+    spread = math.sqrt(max(sum(len(w) ** 2 for w in words) / n - mean**2, 0))
+    ends = [share(lambda w, k=k: quality._KIND[w[-1]] == k) for k in (6, 7, 5)]
+    return [k / max(len(b), 1) for k in kinds] + [math.log1p(len(words)), mean, spread, share(lambda w: quality._KIND[w[0]] == 1), *ends, *most(words), *most(lines)]
+
+
+def test_quality_by_brute_force(spark):
+    """Statistics, ridge and isotonic steps made again with plain numpy on the driver."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = sorted(rows_of(docs))
+    stats = {i: np.array(brute_statistics(t), dtype=np.float32).astype(float) for i, t in rows}
+    model = quality.fit(quality.with_statistics(docs, "doc_id", "text"), labels)
+    label = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [i for i, _ in rows if i in label and fold(i) != 0]
+    x = np.array([stats[i] for i in known])
+    assert np.allclose(x.mean(axis=0), model.mean, atol=1e-4) and np.allclose(np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), model.scale, rtol=1e-3, atol=1e-4)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    f = np.column_stack((np.ones(len(z)), np.sqrt(2 / len(model.phase)) * np.cos(z @ model.weights + model.phase)))
+    y, train = np.array([label[i] for i in known]), np.array([fold(i) != 1 for i in known])
+    a = f[train].T @ f[train]
+    ridge = 1e-3 * train.sum() * np.eye(len(a)) / len(a)
+    ridge[0, 0] = 0
+    beta = np.linalg.solve(a + ridge, f[train].T @ y[train])
+    assert np.allclose(f @ beta, f @ model.beta, atol=1e-3)
+    raw = np.rint(f[~train] @ model.beta * 500) / 500
+    grid = sorted(set(raw.tolist()))
+    # isotonic regression by its definition: the largest mean over lower ends of the smallest over upper ends
+    total, ones = (np.array([np.sum(v[raw == g]) for g in grid]) for v in (np.ones((~train).sum()), y[~train]))
+    t, o = np.concatenate(([0], np.cumsum(total))), np.concatenate(([0], np.cumsum(ones)))
+    means = lambda i: np.array([[(o[b] - o[a]) / (t[b] - t[a]) for b in range(i + 1, len(t))] for a in range(i + 1)])
+    level = np.array([means(i).min(axis=1).max() for i in range(0, len(grid), 7)])
+    got = np.array([model.level[min(np.searchsorted(edges, i, side="right") - 1, len(model.level) - 1)] for edges in [block_starts(model, grid, total)] for i in range(0, len(grid), 7)])
+    assert np.allclose(np.clip(level, 0.001, 0.999), got, atol=1e-6)
+    scored = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    sample = [i for i, _ in rows][:200]
+    assert np.allclose([scored[i] for i in sample], model.score(np.array([stats[i] for i in sample])), atol=1e-3)
+
+
+def block_starts(model, grid, total):
+    """The first grid point of each pooled block, found by the blocks' centres."""
+    starts, at = [], 0
+    for centre in model.grid:
+        starts.append(at)
+        weight = weighted = 0.0
+        while at < len(grid):
+            weight, weighted, at = weight + total[at], weighted + total[at] * grid[at], at + 1
+            if abs(weighted / weight - centre) < 1e-9:
+                break
+    return starts
+
+
+@pytest.mark.parametrize("which", ["odd", "messy", "none"])
+def test_pipeline_stages_on_odd_rows(request, spark, sf, which):
+    """Each stage on rows with null ids, repeated ids, copies and clashing columns."""
+    docs = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows, kept = rows_of(docs), out.collect()
+        if name == "bpe":
+            assert Counter(r.doc_id for r in kept) == Counter(i for i, _ in rows)
+            return
+        assert out.columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in kept)
+        assert not got - Counter(rows)
+        if name == "exact_dedup":
+            flat = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+            assert Counter(flat(t) for _, t in got.elements()) == Counter({flat(t) for _, t in rows})
+        if name == "near_dedup":
+            groups = [g for g in brute_groups(rows) if lowered(rows[g[0]][1])]
+            assert sum(got.values()) == len(groups) + sum(not lowered(t) for _, t in rows)
+        docs = stored(out, "stage")
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
