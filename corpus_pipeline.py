@@ -3,6 +3,12 @@
 Each stage takes the documents that the one before kept, as Parquet in the shared folder, and its decision
 takes effect on all of them. The first four return the columns of `documents`; the last returns one row
 per document that is left: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+Every stage judges each row by its own text. Null text counts as empty; empty texts are scored like others,
+are copies of each other, have no shingles (so they are near nothing), no benchmark words and no tokens.
+Rows that repeat an id with different texts stay or go one by one, as do rows without an id. Of rows equal
+in what a stage compares, ties included, exactly one stays: that with the smallest id, nulls last. Empty
+tables pass through. Other columns are kept, whatever their names, but for the last stage.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ from stockyard.sources.tables import ROW
 
 # Names of identifier columns, in order of preference.
 CANDIDATES = ("pageURL", "pageurl", "page_url", "domain", "Domain", "url", "URL", "Url", "website", "Website", "site", "Site", "app_id", "appId", "app", "bundle_id", "bundleId", "package", "package_name")
+# Parts of names that identifier columns have.
 PARTIAL = ("url", "domain", "site", "app", "package")
+# Names of type columns.
 TYPE_COLUMNS = ("type", "content_type", "content type", "contenttype", "media_type", "media type", "platform")
 # Parts of names that only CTV lists have.
 CTV_MARKS = ("bundle_id", "bundleid", "bundle id", "ssp", "ctv_app", "ctvapp", "ctv app", "channel_name", "channelname", "channel name", "roku_id", "rokuid", "fire_tv_id", "firetvid", "apple_tv_id", "appletvid", "app, account or network name")
@@ -39,8 +41,8 @@ def _data_columns(df: DataFrame) -> list[str]:
 
 
 def with_type(df: DataFrame, value: Column, tlds: DataFrame, out: str = "type") -> DataFrame:
-    """The type of each value. The list of top-level domains is broadcast: its size is fixed by the registry."""
-    known = F.broadcast(tlds.select(F.col("tld").alias("__tld")).distinct())
+    """The type of each value. Spark broadcasts the list of top-level domains if its measured size allows it."""
+    known = tlds.select(F.col("tld").alias("__tld")).distinct()
     joined = df.withColumn("__leaf", ids.leaf(cells.strip(value))).join(known, F.col("__leaf") == F.col("__tld"), "left")
     return joined.withColumn(out, ids.typed(value, F.col("__tld").isNotNull())).drop("__leaf", "__tld")
 
@@ -113,6 +115,7 @@ def build_work_items(df: DataFrame, tlds: DataFrame, input_col: str | None = Non
     """(row_no, identifier, type, original_value, hinted): distinct cleaned identifiers, first row of each."""
     column = input_col or resolve_input_column(df)
     if column is None:
+        # Fixed value: the message that callers look for.
         raise NoInputColumn("Input file must contain a recognizable column (pageURL, domain, url, etc.) or a 'Domain' column")
     names = _data_columns(df)
     rows = df.select(ROW, cells.clean(_c(column)).alias("identifier"), *[_c(c).alias(f"__{i}") for i, c in enumerate(names)]).filter("identifier <> ''")

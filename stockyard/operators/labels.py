@@ -115,8 +115,19 @@ def taxonomy_outline(tax: DataFrame) -> DataFrame:
     return tax.filter("tier1 <> ''").select("tier1", "tier2", "tier3").distinct().orderBy("tier1", "tier2", "tier3")
 
 
+#: Most keys of a taxonomy that is broadcast: a few MB.
+MOST_KEYS = 20_000
+
+
+class TaxonomyTooLarge(ValueError):
+    """A taxonomy is a reference list; this one is a data set."""
+
+
 def resolve_verticals(df: DataFrame, col: str, paths: DataFrame) -> DataFrame:
-    """Adds tier1..tier3. Each distinct label is resolved once; paths are a taxonomy of hundreds of keys."""
+    """Adds tier1..tier3. Each distinct label is resolved once. The taxonomy is broadcast, as labels may hold its
+    keys anywhere: it has hundreds of keys, and more than `MOST_KEYS` raise TaxonomyTooLarge."""
+    if paths.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        raise TaxonomyTooLarge(f"a taxonomy of more than {MOST_KEYS} keys cannot be broadcast")
     v = F.coalesce(F.col(col), F.lit(""))
     labels = df.select(v.alias("label")).distinct()
     first = F.trim(F.get(F.split("label", r"[\n\r\x0b\f\x1c-\x1e\x85  ]"), F.lit(0)))
