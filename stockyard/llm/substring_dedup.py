@@ -11,11 +11,11 @@ Runs of one anchor that differ are extended window by window, and each window is
 place where it stands. Overlapping windows add up to maximal repeats of at least `length` words.
 
 Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
-row per task. Anchors of more than `hot` places (at most 1 / 2000 of all places, so at most 2000 anchors
-are) are found beforehand and take no part in the join on anchors: a broadcast says that they repeat.
+row per task. Anchors of more than `hot` places, the 2000 most frequent of them, are found beforehand and take
+no part in the join on anchors: a broadcast says that they repeat. Which they are changes no result.
 Joins on runs and windows are plain equi-joins: a run is joined once for each place, a window once for each
-kind of run around it, and both are split at run time when skewed. Texts are shuffled compressed, by their digest: copies are one text there, so groups of copies of any size are
-one row. Equal windows and runs are told by 64-bit hashes; words are not compared beyond them.
+kind of run around it, and both are split at run time when skewed. Texts are shuffled compressed, by their
+digest: copies are one text there, so groups of copies of any size are one row. Equal windows and runs are told by 64-bit hashes; words are not compared beyond them.
 
 Null text has no words. Texts of equal words are one class: its first document is the smallest id; others
 of `length` words or more lose all their words. Rows that repeat an id with equal words share a result;
@@ -107,14 +107,15 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(signed(h[e])), pa.array((start[e] - w.first[row]).astype(np.int32))], names=["digest", "anchor", "at"])
 
 
-def anchor_counts(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, n) of all rows, summed over each piece."""
+def anchor_counts(batches: Iterator[pa.RecordBatch], length: int, k: int, least: int = 4) -> Iterator[pa.RecordBatch]:
+    """(anchor, n) of the anchors with `least` places in a piece: a frequent one has about as many in any piece."""
     for batch in batches:
         for _, _, data, offs in pieces(batch.column(0)):
             w = Words(data, offs)
             start, _, h = window_anchors(w, length, k)
             anchor, n = np.unique(h[run_edges(start, h)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(n)], names=["anchor", "n"])
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[often])), pa.array(n[often])], names=["anchor", "n"])
 
 
 def run_batches(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
