@@ -54,6 +54,8 @@ def classify_identifiers(df: DataFrame, col: str, tlds: DataFrame) -> DataFrame:
 def score_columns(df: DataFrame, sample: int = 200) -> DataFrame:
     """(column, position, sampled, hits, ratio) over the first `sample` filled values of each column."""
     names = _data_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, position int, sampled long, hits long, ratio double")
     long_ = df.select(ROW, F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), cells.strip(cells.null_if_missing(_c(c))).alias("v")) for i, c in enumerate(names)])).alias("x")).select(ROW, "x.*")
     from pyspark.sql import Window
 

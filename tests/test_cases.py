@@ -75,6 +75,124 @@ def test_read_inventory(spark, tmp_path, name):
         assert tables.drop_artifact_columns(df).columns == ["Domain", "row_no"]
 
 
+WORK = {  # text, identifier column, work list of (identifier, type)
+    "bom": ("\ufeffDomain\r\none.com\r\ntwo.com\r\n", "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "repeated_header": ("Domain,Domain,url\none.com,x,y\n", "Domain", {("one.com", "website")}),
+    "copies_and_blanks": ("Domain,Notes\n one.com ,a\none.com,b\nNA,c\nN/A,d\ntwo.com,\n", "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "headerless": ("one.com\ntwo.com\none.com\n", "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "headerless_mixed": ("512001\none.com\ncom.maker.game\n", "Domain", {("512001", "ios_app"), ("one.com", "website"), ("com.maker.game", "android_app")}),
+    "by_content": ("thing\none.com\ntwo.com\nthree.com\n512001\ncom.maker.game\n", "thing", {("one.com", "website"), ("two.com", "website"), ("three.com", "website"), ("512001", "ios_app"), ("com.maker.game", "android_app")}),
+    "page_url": ("pageURL\none.com\n512001\ncom.maker.game\n", "pageURL", {("one.com", "website"), ("512001", "ios_app"), ("com.maker.game", "android_app")}),
+    "ragged": ("app_id\n512001\n\n,\n987654\n", "app_id", {("512001", "ios_app"), ("987654", "ios_app")}),
+    "quoted": ('Domain,Notes\none.com,"a, b"\ntwo.com,"line\nline"\n', "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "ranked": ("Rank,Where\n1,one.com\n2,two.com\n3,three.com\n", "Where", {("one.com", "website"), ("two.com", "website"), ("three.com", "website")}),
+    "semicolons": ("Domain;Tier;Notes\none.com;1;x, y\ntwo.com;2;z\n", "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "tabs": ("Site\tTier\none.com\t1\ntwo.com\t2\n", "Site", {("one.com", "website"), ("two.com", "website")}),
+    "trailing": ("Domain,,,\none.com,,,\ntwo.com,,,\n", "Domain", {("one.com", "website"), ("two.com", "website")}),
+    "typed": ("Domain,Type\none.com,web\ntwo.com,website\ncom.maker.game,ios\ncom.maker.chat,android\ncom.maker.mail,google play\n", "Domain", {("one.com", "website"), ("two.com", "website"), ("com.maker.game", "ios_app"), ("com.maker.chat", "android_app"), ("com.maker.mail", "android_app")}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WORK))
+def test_work_list_of_a_file(spark, tlds, tmp_path, name):
+    text, column, expected = WORK[name]
+    (tmp_path / "in.csv").write_text(text, encoding="utf-8", newline="")
+    rows = identify.recover_headerless(tables.drop_artifact_columns(tables.read_inventory(spark, str(tmp_path / "in.csv"))), tlds)
+    assert identify.resolve_input_column(rows) == column
+    assert {(r.identifier, r.type) for r in identify.build_work_items(rows, tlds).collect()} == expected
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    for name, text in {"a.csv": "Domain,Type\na.com,web\n", "b.csv": "Type,Domain\nweb,b.com\n", "c.csv": "Domain;Note\nc.com;x,y\n", "d d.csv": 'Domain,Note\nd.com,"two\nlines"\n', "e.csv": "\n", "f.csv": ""}.items():
+        (tmp_path / name).write_text(text, newline="")
+    got = {r.Domain: (r.Type, r.Note) for r in tables.read_inventory(spark, str(tmp_path)).collect()}
+    assert got == {"a.com": ("web", None), "b.com": ("web", None), "c.com": (None, "x,y"), "d.com": (None, "two\nlines")}
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    assert tables.read_inventory(spark, str(tmp_path / "none")).columns == ["row_no"]
+
+
+def test_any_number_of_cells(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("Domain\n" + ",".join(f"c{i}" for i in range(40)) + '\nb.com,"1,2,3,4"\n')
+    df = tables.read_inventory(spark, str(tmp_path / "x.csv"))
+    assert len(df.columns) == 41
+    rows = {r.Domain: r for r in df.collect()}
+    assert rows["c0"]["Unnamed: 39"] == "c39" and rows["b.com"]["Unnamed: 1"] == "1,2,3,4"
+
+
+def test_taxonomy_by_name(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("About this list\r\nUnique ID\tParent\tName\tTier 1\tTier 2\r\n1\t\tAutos\tAutos\t\r\n2\t1\tVans\tAutos\tVans\r\n\r\n", newline="")
+    got = [tuple(r)[1:] for r in tables.read_taxonomy(spark, str(tmp_path / "t.tsv")).orderBy("line_no").collect()]
+    assert got == [("Autos", "Autos", "", "", ""), ("Vans", "Autos", "Vans", "", "")]
+
+
+def test_results_end_in_crlf(spark, tmp_path):
+    df = spark.createDataFrame([("a", 'say "x", y'), ("b", "two\nlines"), ("c", None), (" d ", "")], "A string, B string").coalesce(1)
+    tables.write_results(df, str(tmp_path / "out"), ["A", "C", "B"])
+    part = next((tmp_path / "out").glob("part*"))
+    assert part.read_bytes() == b'A,C,B\r\na,,"say ""x"", y"\r\nb,,"two\nlines"\r\nc,,\r\n d ,,\r\n'
+    back = {r.A: r.B for r in tables.read_results(spark, str(tmp_path / "out")).collect()}
+    assert back == {"a": 'say "x", y', "b": "two\nlines", "c": "", " d ": ""}
+
+
+PAGES = {  # markup: (title, description, content)
+    "<p>a &nosuch; b &amp c &lt &#x41; &#150; &copy 1</p>": ("", "", "a &nosuch b & c < A – © 1"),
+    "<head><![CDATA[ kept ]]><template><i>not</i></template></head><rt>no</rt><rp>(</rp>yes": ("", "", "kept yes"),
+    "</p></div><div><div><span>open<table><tr><td>one<td>two</table><br></br></br>end": ("", "", "open one two end"),
+    "<TITLE>a &lt;b&gt; <i>c</i></TITLE>x": ("a <b> <i>c</i>", "", "a <b> <i>c</i> x"),
+    "<title></title><meta name=Description content=no><meta name=description><meta name=description content=late>x": ("", "", "x"),
+    "<p/>after<textarea> keep &amp;  this </textarea><b>bold <i>both</b> plain?</i>": ("", "", "after keep &  this bold both plain?"),
+    "x<![odd thing]>y<!-- c -->z<?pi?>w<!doctype html>v": ("", "", "x y z w v"),
+    "tail <a href='x": ("", "", "tail"),
+    "<noscript><p>no</p><title>t</title></noscript><title>T</title><style>p{}</style>": ("T", "", "T"),
+    "a<br>b</br>c": ("", "", "a bc"),
+    "<title>unclosed": ("unclosed", "", "unclosed"),
+}
+
+
+@pytest.mark.parametrize("markup", sorted(PAGES))
+def test_markup(markup):
+    assert evidence.parse(markup).site() == PAGES[markup]
+
+
+def test_store_page_fallbacks():
+    field = lambda markup: evidence.play_fields(evidence.parse("<title>N - Apps on Google Play</title>" + markup))
+    got = field("<div class=a>Maker Inc</div>\n<div class='app-Category'><span>Tools</span></div><b itemprop=genre>Tools</b><div> 3.5 </div><template><i aria-label='12 reviews'></i></template><i aria-label='5K+ installs'></i>")
+    assert (got["app_name"], got["developer"], got["category"], got["rating"], got["rating_count"], got["downloads"]) == ("N", "Maker Inc", "Tools", 3.5, 12, "5K+")
+    assert field("<div>Maker<div class=category>x</div></div>")["developer"] == ""  # inside, not next to it
+    assert field("<div>" + "m" * 100 + "</div><p>category</p>")["developer"] == ""
+    assert field("<a href='/store/apps/dev?id=1'></a><div>M</div><p>category</p>")["developer"] == ""
+
+
+@pytest.mark.parametrize("make", [lambda n: "<p>x</p><script>s</script><br>" * n, lambda n: "<div><span>" * n + "x", lambda n: "<div>" * n + "</b>" * n, lambda n: "<div>1<span>" * n, lambda n: "<p>" + "1" * n + " x" + "&" * n])
+def test_time_grows_with_the_markup(make):
+    import time
+
+    def seconds(n):
+        markup, best = make(n), 99.0
+        for _ in range(3):
+            began = time.perf_counter()
+            page = evidence.parse(markup)
+            page.site(), evidence.play_fields(page)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    small = seconds(5_000)
+    assert min(seconds(20_000) / max(small, 1e-3) for _ in range(2)) < 10
+
+
+def test_taxonomy_that_is_none(spark):
+    many = spark.range(labels.MOST_KEYS + 1).selectExpr("concat('k', id) key", "array('a') path", "id ord")
+    with pytest.raises(labels.TaxonomyTooLarge):
+        labels.resolve_verticals(spark.createDataFrame([("x",)], "vertical string"), "vertical", many)
+
+
+def test_budget_after_many_replies(spark):
+    rows = spark.range(200).selectExpr("1 item", "id seq", "'bad' parse_error")
+    got = [(r.budget, r.step, r.next_budget) for r in labels.retry_budget(rows).orderBy("seq").collect()]
+    assert got == [(2000, "retry", 4000), (4000, "retry", 8000)] + [(8000, "terminal", None)] * 198
+
+
 def frame(spark, columns, rows):
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ", ".join(f"`{c}` string" for c in columns) + ", row_no long")
     return df.repartition(3)
