@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stockyard.functions.cells import contains_any, hits, shortened, strip
 from stockyard.operators import ladder, spend
-from stockyard.shipping import ship
+from stockyard.shipping import ship, stored
 
 # Fixed values of labels.
 QUALITIES = ("Premium", "Standard", "Long Tail")
@@ -46,9 +46,8 @@ def unwrap_replies(df: DataFrame, col: str = "json") -> DataFrame:
     return rows.withColumn("parse_error", error).withColumn("finish_reason", F.coalesce("__c.finish_reason", F.lit("None"))).withColumn("tokens", tokens).drop("__c", "__u")
 
 
-def _values(defaults: dict[str, str]) -> dict[str, Column]:
+def _values(m: Column, defaults: dict[str, str]) -> dict[str, Column]:
     """Absent keys take their default, JSON null is blank."""
-    m = F.from_json(F.col("args"), "map<string,string>")
     return {k: F.when(~F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False)), d).otherwise(F.coalesce(F.element_at(m, k), F.lit(""))) for k, d in defaults.items()}
 
 
@@ -58,13 +57,15 @@ def _one_of(c: Column, valid: tuple, default: str) -> Column:
 
 def _decoded(df: DataFrame, defaults: dict[str, str], paths: DataFrame | None) -> DataFrame:
     ok = F.col("parse_error") == ""
-    values = _values(defaults)
+    # a column of its own, so that the JSON text is parsed once and not for each label
+    df = df.withColumn("__args", F.from_json(F.col("args"), "map<string,string>"))
+    values = _values(F.col("__args"), defaults)
     values["quality"] = _one_of(values["quality"], QUALITIES, "Standard")
     values["confidence"] = _one_of(values["confidence"], CONFIDENCES, "Medium")
     values["political_leaning"] = _one_of(values["political_leaning"], LEANINGS, "Non-Political")
     if "content_type" in values:
         values["content_type"] = _one_of(values["content_type"], CONTENT_TYPES, "Mixed Content")
-    out = df.withColumns({k: F.when(ok, v) for k, v in values.items()})
+    out = df.withColumns({k: F.when(ok, v) for k, v in values.items()}).drop("__args")
     if paths is not None:
         out = resolve_verticals(out, "vertical", paths)
         found = F.filter(F.array("tier1", "tier2", "tier3"), lambda t: t != "")
@@ -124,12 +125,13 @@ class TaxonomyTooLarge(ValueError):
 
 
 def resolve_verticals(df: DataFrame, col: str, paths: DataFrame) -> DataFrame:
-    """Adds tier1..tier3. Each distinct label is resolved once. The taxonomy is broadcast, as labels may hold its
+    """Adds tier1..tier3. Each distinct label is resolved once; they are written to the shared folder first, so that
+    the rows they come from are read once, not by each step. The taxonomy is broadcast, as labels may hold its
     keys anywhere: it has hundreds of keys, and more than `MOST_KEYS` raise TaxonomyTooLarge."""
     if paths.limit(MOST_KEYS + 1).count() > MOST_KEYS:
         raise TaxonomyTooLarge(f"a taxonomy of more than {MOST_KEYS} keys cannot be broadcast")
     v = F.coalesce(F.col(col), F.lit(""))
-    labels = df.select(v.alias("label")).distinct()
+    labels = stored(df.select(v.alias("label")).distinct(), "labels")
     first = F.trim(F.get(F.split("label", r"[\n\r\x0b\f\x1c-\x1e\x85  ]"), F.lit(0)))
     parts = lambda sep: F.filter(F.transform(F.split("first", sep), lambda t: F.trim(t)), lambda t: t != "")
     void = F.lower(F.trim("label")).isin("", "unknown", "n/a", "not provided") | contains_any(F.lower("label"), ("description:", "confidence:", "quality:", "justification:"))

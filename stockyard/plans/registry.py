@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stockyard.functions import identifiers as ids
 from stockyard.operators import evidence, identify, labels, ladder, queries as result_queries, spend
 from stockyard.plans.views import duck_sql, spark_view
-from stockyard.shipping import shared_dir
+from stockyard.shipping import results_dir
 from stockyard.sources import tables
 from stockyard.streaming import live
 
@@ -36,7 +36,7 @@ def query(name: str, views: list[str], sql: str | None = None):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the session."""
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{results_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def hundredths(name: str) -> Column:
