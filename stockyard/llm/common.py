@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.shipping import shared_dir, ship
+from stockyard.shipping import delete, results_dir, shared_dir, ship, stored
 
-__all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "one_per_key", "shared_dir", "ship", "stored", "table"]
+__all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "one_per_key", "results_dir", "shared_dir", "ship", "stored", "table"]
 
 #: ASCII white space, the only separator of words in the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -23,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def results_dir(spark: SparkSession) -> str:
-    """This application's folder for tables that lazy results read; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/stockyard-{spark.sparkContext.applicationId}"
-    if getattr(spark.sparkContext, "_stockyard_results", None) != path:
-        spark.sparkContext._stockyard_results = path
-
-        def clear() -> None:
-            with contextlib.suppress(Exception):  # the session may have been stopped before
-                delete(spark, path)
-
-        atexit.register(clear)
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
-    spark = df.sparkSession
-    path = f"{results_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Workspace:
     """Written tables that go when the work is done: `stored` within a block, deleted at its end."""
 
