@@ -13,9 +13,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per Spark context."""
+    """Send this package to the executors' Python workers, once per Spark context.
+
+    Batches of texts between the JVM and Python have 2,000 rows, not Spark's default of 10,000, so that those of
+    long texts fit beside the heap; a session that sets another number keeps it."""
     sc = spark.sparkContext
+    if spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "2000")
     if getattr(sc, "_stockyard_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
