@@ -129,7 +129,7 @@ class Runs:
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, chunk by chunk."""
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 60_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
@@ -316,7 +316,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep_ids: bool)
     enc = encoder(path)
     for batch in batches:
         counts, ids, decoded, raw = [], [], [], []
-        for _, _, data, offs in pieces(batch.column(1)):
+        for _, _, data, offs in pieces(batch.column(1), 1 << 19):
             for i in (by_words if enc.by_word else by_chunks)(enc, data, offs):
                 counts.append(len(i) // 4)
                 ids.append(hashlib.sha256(i).hexdigest())

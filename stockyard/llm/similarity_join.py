@@ -97,7 +97,7 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def posting_batches(batches: Iterator[pa.RecordBatch], k: int, bound: int, seed: int, buckets: int, least: int, many: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def posting_batches(batches: Iterator[pa.RecordBatch], k: int, bound: int, seed: int, buckets: int, least: int, many: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(bucket, counts, owners, tokens): postings of about `many` shingles at a time, packed by bucket.
 
     A shingle that two classes of the run share is settled here: it is counted for its classes (a row with

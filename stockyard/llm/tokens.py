@@ -1,6 +1,7 @@
 """Words, word hashes and shingle hashes of Arrow text columns, vectorised over many documents.
 
-A batch is cut into pieces of a few MB so that temporaries stay small; a document is never cut.
+A batch is cut into pieces of 256 KB so that temporaries, some 100 bytes a byte of text, stay small; a document
+is never cut.
 Null text has no words. Offsets are in bytes of UTF-8.
 """
 
@@ -38,15 +39,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _POWERS[base] = have
     return have[:n]
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `limit` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
