@@ -1,9 +1,9 @@
 """BPE encoding and decoding by reuse of content-defined chunks.
 
 A rolling hash over the last eight bytes proposes cuts, so equal passages of different documents fall
-into equal chunks wherever they stand; a cut is moved to the next white space. Of the chunks of a batch
-each distinct one is encoded once, and a task keeps the encodings of what it has seen, so what documents
-share is taken from there. Chunks are then joined, and every kind of join is checked: the text around it is
+into equal chunks wherever they stand; a cut is moved to the next white space. Of the chunks of a piece of a
+batch (512 KB) each distinct one is encoded once, and a task keeps the encodings of what it has seen, so what
+documents share is taken from there. Chunks are then joined, and every kind of join is checked: the text around it is
 encoded as one, and where that differs from the parts, the text is widened, twice as far each time, until
 its encoding agrees with the parts at both ends; it then replaces what stood there. A join that never
 agrees is the encoding of both chunks as one.
@@ -14,9 +14,9 @@ also cuts ASCII words into letters, digits and the rest, words are made of these
 tokenizer itself. Other tokenizers encode chunk by chunk.
 
 The dictionary is per worker process and bounded (`limit` entries in two generations), not per cluster:
-README has the figures. Decoding joins each token's piece by a space where the tokenizer file names no
-decoder; `decode_ids` shows the same from ids alone. Words and chunks are told apart by 64-bit hashes
-within a batch and by their bytes beyond it.
+README has the figures. Decoded text is made from the ids alone, token strings joined by a space where the
+tokenizer file names no decoder. Words and chunks are told apart by 64-bit hashes within a piece and by their
+bytes beyond it.
 
 Null and empty texts have no tokens. Rows are independent, so ties and repeats have no effect; an empty
 table gives an empty result; other columns are ignored.

@@ -75,10 +75,6 @@ def keys_of(row: np.ndarray, h: np.ndarray, rows: int, seed: int) -> tuple[np.nd
     return out[0], out[1]
 
 
-def needed(n: np.ndarray, percent: int) -> np.ndarray:
-    return (percent * n + 99) // 100
-
-
 def row_batches(batches: Iterator[pa.RecordBatch], k: int, bound: int, seed: int) -> Iterator[pa.RecordBatch]:
     """(id, tag, key, check, n, low) of each row; low: shingles with a hash below `bound`."""
     for batch in batches:
