@@ -49,10 +49,6 @@ def _percent_sql(part: str, whole: str) -> str:
     return f"CAST((2 * {part} * 10000 + {whole}) // (2 * {whole}) AS BIGINT)"
 
 
-def _sql_list(words) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
 # What the SQL of several queries shares: cleaned values and their types.
 _MISSING = "('', '#N/A', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
 CLEAN_SQL = f"""
