@@ -199,8 +199,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
     tails = runs.join(again, ["anchor", "run"]).filter((F.col("first_id") != F.col("head.first_id")) | (F.col("digest") != F.col("head.digest")) | (F.col("at") != F.col("head.at"))).select("digest", "at", F.size("windows").alias("n"))
 
     several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
-    single = heads.join(several, "anchor").select("anchor", "head", F.posexplode("windows").alias("i", "window"))
-    single = stored(single.select("anchor", "window", F.struct(F.col("head.first_id"), F.col("head.digest"), (F.col("head.at") + F.col("i")).alias("at")).alias("place")), "windows")
+    # written before the windows are listed one by one: a run's text and place then stand there once
+    kinds = stored(heads.join(several, "anchor").select("anchor", "head", "windows"), "kinds-of-runs")
+    single = kinds.select("anchor", "head", F.posexplode("windows").alias("i", "window"))
+    single = single.select("anchor", "window", F.struct(F.col("head.first_id"), F.col("head.digest"), (F.col("head.at") + F.col("i")).alias("at")).alias("place"))
     firsts = single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     late = single.join(firsts, ["anchor", "window"]).filter("place <> first").select("place.digest", "place.at", F.lit(1).alias("n"))
 
