@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockyard.shipping import delete, results_dir, shared_dir, ship, stored
 
-__all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "one_per_key", "results_dir", "shared_dir", "ship", "stored", "table"]
+__all__ = ["FEW", "SPACES", "Workspace", "bucket_of", "if_small", "numbered", "one_per_key", "results_dir", "shared_dir", "ship", "stored", "table"]
 
 #: ASCII white space, the only separator of words in the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -68,3 +68,19 @@ def one_per_key(docs: DataFrame, id_: Column, tag: Column, gone: DataFrame, twic
 def bucket_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the contracts' hold-out rule. A null id falls in bucket 0's complement, 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(1))
+
+
+def numbered(rows: DataFrame, order: list[Column], within: str, label: str) -> DataFrame:
+    """The rows with `at`, their place from 0 on in `order` among the rows of one value of `within`, and `of`, how
+    many these are.
+
+    Rows are sorted by ranges, written, and counted by range; no task sees more than a range, and a value that
+    holds most rows lies in many."""
+    by = [F.col(within), *order]
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("line", F.monotonically_increasing_id())
+    ranges = stored(ranges.withColumn("part", F.shiftright("line", 33)), label)
+    runs = ranges.groupBy(F.col(within).alias("r_within"), F.col("part").alias("r_part")).agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("r_within")
+    runs = stored(runs.withColumn("before", F.coalesce(F.sum("n").over(one.orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("of", F.sum("n").over(one)), f"{label}-runs")
+    places = ranges.join(runs, F.col("part").eqNullSafe(F.col("r_part")) & F.col(within).eqNullSafe(F.col("r_within")))
+    return places.withColumn("at", F.col("line") - F.col("first") + F.col("before")).select(*rows.columns, "at", "of")

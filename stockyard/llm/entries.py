@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockyard.llm import bpe, decontamination, exact_dedup, quality, secret_scan, sharding, similarity_join, substring_dedup, suffix_tree, warc
+from stockyard.llm import bpe, decontamination, exact_dedup, importance, merkle, minhash, quality, secret_scan, sharding, similarity_join, substring_dedup, suffix_tree, warc
 from stockyard.llm.common import results_dir, stored, table
 
 
@@ -71,6 +71,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": tampered})
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -83,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_sharding": op9_sharding,
         "op10_secret_scan": op10_secret_scan,
+        "op11_importance": op11_importance,
+        "op12_merkle": op12_merkle,
+        "op13_minhash": op13_minhash,
     }
 
 
@@ -160,5 +178,59 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
+#: The CRC-32 of `w` in a table whose column `tab` holds the remainders of the 256 bytes.
+CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i) r) t"
+CRC = "xor(list_reduce(list_concat([4294967295], [CAST('0x' || substr(hex(encode(w)), 2 * j + 1, 2) AS BIGINT) for j in range(octet_length(encode(w)))]), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP11_SQL = rf"""
+WITH tb AS ({CRC_TABLE}),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dc AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM dw) x GROUP BY doc_id, w),
+bc AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM bw) x GROUP BY w),
+wb AS (SELECT w, {CRC} % 10000 AS b FROM (SELECT w FROM dc UNION SELECT w FROM bc) x, tb),
+s AS (SELECT b, sum(n) AS s FROM dc JOIN wb USING (w) GROUP BY b),
+t AS (SELECT b, sum(n) AS t FROM bc JOIN wb USING (w) GROUP BY b),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS ss, (SELECT coalesce(sum(t), 0) FROM t) AS tt),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (tt::DOUBLE + 10000)))) AS BIGINT) AS gain FROM (SELECT DISTINCT b FROM wb) x LEFT JOIN s USING (b) LEFT JOIN t USING (b), tot),
+wt AS (SELECT doc_id, sum(n * gain) AS weight FROM dc JOIN wb USING (w) JOIN g USING (b) GROUP BY doc_id),
+sc AS (SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', CAST(dw.doc_id AS VARCHAR))), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score FROM dw LEFT JOIN wt ON wt.doc_id = dw.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rn, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN rn <= n * 10 // 100 THEN rn END AS rank FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(octet_length(encode({x})), ':', {x}) END" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")) + ")"
+
+
+def _tree(name: str, rows: str) -> str:
+    """All nodes of the trees of groups g over `rows` (g, p, n, node), level by level, and their siblings."""
+    return f"""{name} AS (SELECT 0 AS l, * FROM ({rows}) z UNION ALL SELECT l + 1, g, p // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY p)) FROM {name} WHERE n > 1 GROUP BY l, g, p // 2, n),
+{name}_s AS (SELECT a.l, a.g, a.p, a.n, coalesce(b.node, '') AS sib, a.p % 2 = 1 AS on_left FROM {name} a LEFT JOIN {name} b ON b.l = a.l AND b.g = a.g AND b.p = xor(a.p, 1) WHERE a.n > 1)"""
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE tb AS ({CRC_TABLE}),
+d AS (SELECT *, CAST(doc_id AS VARCHAR) AS w, coalesce('=' || lang, '') AS g FROM documents),
+lf AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY g) AS n, {_leaf("n_chars")} AS leaf,
+  {_leaf(f"(CASE WHEN {CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END)")} AS now FROM d, tb),
+{_tree("tr", "SELECT g, p, n, leaf AS node FROM lf")},
+sub AS (SELECT g, node FROM tr WHERE n = 1),
+sp AS (SELECT g AS name, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, node FROM sub),
+{_tree("tp", "SELECT '' AS g, p, n, node FROM sp")},
+st AS (SELECT lf.doc_id, 0 AS l, lf.g, lf.p AS p, false AS top, lf.now AS acc, '' AS proof FROM lf),
+f1 AS (SELECT * FROM st UNION ALL SELECT f1.doc_id, f1.l + 1, f1.g, f1.p // 2, false, sha256(CASE WHEN on_left THEN sib || acc ELSE acc || sib END), proof || sib FROM f1 JOIN tr_s s ON s.l = f1.l AND s.g = f1.g AND s.p = f1.p),
+m1 AS (SELECT doc_id, g, arg_max(acc, l) AS acc, arg_max(proof, l) AS proof FROM f1 GROUP BY doc_id, g),
+f2 AS (SELECT m1.doc_id, 0 AS l, sp.p, m1.acc, m1.proof FROM m1 JOIN sp ON sp.name = m1.g UNION ALL SELECT f2.doc_id, f2.l + 1, f2.p // 2, sha256(CASE WHEN on_left THEN sib || acc ELSE acc || sib END), proof || sib FROM f2 JOIN tp_s s ON s.l = f2.l AND s.p = f2.p),
+m2 AS (SELECT doc_id, arg_max(acc, l) AS acc, arg_max(proof, l) AS proof FROM f2 GROUP BY doc_id)
+SELECT lf.doc_id, leaf, sub.node AS subroot, rt.node AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = rt.node AS verified
+FROM lf JOIN sub ON sub.g = lf.g JOIN m2 ON m2.doc_id = lf.doc_id, (SELECT node FROM tp WHERE n = 1) rt
+"""
+
+OP13_SQL = OP6_SQL.replace("100 * o >= 75", "100 * o >= 85").replace("SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id", "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_secret_scan": OP10_SQL, "op11_importance": OP11_SQL, "op12_merkle": OP12_SQL, "op13_minhash": OP13_SQL}
