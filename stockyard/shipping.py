@@ -57,6 +57,31 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def files_of(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The files that paths, folders and patterns name, in the order given, those of one by name; hidden ones are not."""
+    found: dict[str, None] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        named = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = named.getFileSystem(spark._jsc.hadoopConfiguration())
+        todo = [f for f in fs.globStatus(named) or ()]
+        inner = []
+        while todo:
+            f = todo.pop()
+            if f.isDirectory():
+                todo += [g for g in fs.listStatus(f.getPath()) if g.getPath().getName()[0] not in "._"]
+            else:
+                inner.append(f.getPath().toString())
+        found |= dict.fromkeys(sorted(inner))
+    return list(found)
+
+
 def results_dir(spark: SparkSession) -> str:
     """This application's folder for tables that lazy results read; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/stockyard-{spark.sparkContext.applicationId}"
