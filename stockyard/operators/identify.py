@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions import cells, identifiers as ids
@@ -51,17 +51,34 @@ def classify_identifiers(df: DataFrame, col: str, tlds: DataFrame) -> DataFrame:
     return with_type(df, _c(col), tlds)
 
 
-def score_columns(df: DataFrame, sample: int = 200) -> DataFrame:
-    """(column, position, sampled, hits, ratio) over the first `sample` filled values of each column."""
-    names = _data_columns(df)
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, position int, sampled long, hits long, ratio double")
-    long_ = df.select(ROW, F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), cells.strip(cells.null_if_missing(_c(c))).alias("v")) for i, c in enumerate(names)])).alias("x")).select(ROW, "x.*")
-    from pyspark.sql import Window
+def score_columns(df: DataFrame, sample: int = 200, in_order: bool = False, most: int = 100_000) -> DataFrame:
+    """(column, position, sampled, hits, ratio) over the first `sample` filled values of each column, by `row_no`;
+    columns without any are left out.
 
+    in_order: the rows come in the order of `row_no`, as from `read_inventory`. Then only the first partitions are
+    read: ever more rows, up to `most`, of the columns that still lack values. What is rarer than that, and tables in no
+    order, are sampled by a window over all rows."""
+    names = _data_columns(df)
+    found: dict[str, tuple[int, int]] = {}
+    lacking, n = list(names), 8 * sample
+    while in_order and lacking and n <= most:
+        told = [F.when(cells.strip(cells.null_if_missing(_c(c))) != "", ids.looks_processable(cells.strip(_c(c)))).alias(f"x{i}") for i, c in enumerate(lacking)]
+        rows = df.select(*told).limit(n).collect()
+        for i, c in enumerate(lacking):
+            first = [r[i] for r in rows if r[i] is not None][:sample]
+            found[c] = (len(first), sum(first))
+        lacking = [c for c in lacking if found[c][0] < sample] if len(rows) == n else []
+        n *= 8
+    schema = "column string, position int, sampled long, hits long, ratio double"
+    known = [(c, i, *found[c], found[c][1] / found[c][0]) for i, c in enumerate(names) if c not in lacking and found[c][0]]
+    out = df.sparkSession.createDataFrame(known, schema)
+    if not lacking:
+        return out
+    long_ = df.select(ROW, F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), cells.strip(cells.null_if_missing(_c(c))).alias("v")) for i, c in enumerate(names) if c in lacking])).alias("x")).select(ROW, "x.*")
     first = F.row_number().over(Window.partitionBy("position", "column").orderBy(ROW))
     taken = long_.filter("v is not null and v <> ''").withColumn("rn", first).filter(F.col("rn") <= sample)
-    return taken.groupBy("column", "position").agg(F.count(F.lit(1)).alias("sampled"), F.count_if(ids.looks_processable(F.col("v"))).alias("hits")).withColumn("ratio", F.col("hits") / F.col("sampled"))
+    scored = taken.groupBy("column", "position").agg(F.count(F.lit(1)).alias("sampled"), F.count_if(ids.looks_processable(F.col("v"))).alias("hits")).withColumn("ratio", F.col("hits") / F.col("sampled"))
+    return out.unionByName(scored) if known else scored
 
 
 def named_input_column(columns: list[str]) -> str | None:
@@ -75,12 +92,12 @@ def named_input_column(columns: list[str]) -> str | None:
     return next((c for c in columns if any(p in c.lower() for p in PARTIAL)), None)
 
 
-def resolve_input_column(df: DataFrame, least: float = 0.6) -> str | None:
+def resolve_input_column(df: DataFrame, least: float = 0.6, in_order: bool = False) -> str | None:
     """By name, else the column with the largest share of processable values, the first of equals."""
     found = named_input_column(_data_columns(df))
     if found:
         return found
-    best = score_columns(df).filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "position").limit(1).collect()
+    best = score_columns(df, in_order=in_order).filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "position").limit(1).collect()
     return best[0]["column"] if best else None
 
 
@@ -113,9 +130,9 @@ def recover_headerless(df: DataFrame, tlds: DataFrame, keep_duplicates: bool = F
     return out if keep_duplicates else out.groupBy("Domain").agg(F.min(ROW).alias(ROW))
 
 
-def build_work_items(df: DataFrame, tlds: DataFrame, input_col: str | None = None) -> DataFrame:
+def build_work_items(df: DataFrame, tlds: DataFrame, input_col: str | None = None, in_order: bool = False) -> DataFrame:
     """(row_no, identifier, type, original_value, hinted): distinct cleaned identifiers, first row of each."""
-    column = input_col or resolve_input_column(df)
+    column = input_col or resolve_input_column(df, in_order=in_order)
     if column is None:
         # Fixed value: the message that callers look for.
         raise NoInputColumn("Input file must contain a recognizable column (pageURL, domain, url, etc.) or a 'Domain' column")

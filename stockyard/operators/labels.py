@@ -7,12 +7,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.functions.cells import contains_any, hits, shortened, strip
 from stockyard.operators import ladder, spend
-from stockyard.shipping import ship, stored
+from stockyard.operators.carry import HOT, with_place
+from stockyard.shipping import children, ship, stored
 
 # Fixed values of labels.
 QUALITIES = ("Premium", "Standard", "Long Tail")
@@ -84,17 +85,20 @@ def decode_labels(df: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 
 
 def decode_ctv_labels(df: DataFrame, paths: DataFrame | None = None, route: bool = True) -> DataFrame:
-    """CTV labels; with app_name and research in the rows, news apps are routed."""
+    """CTV labels; with app_name and research in the rows, news apps are routed. Rows that did not parse have no label."""
     out = _decoded(df, CTV_DEFAULTS, paths)
-    return route_ctv_news(out) if route and {"app_name", "research"} <= set(df.columns) and paths is not None else out
+    if not route or paths is None or not {"app_name", "research"} <= set(df.columns):
+        return out
+    ok = F.col("parse_error") == ""
+    return route_ctv_news(out).withColumns({c: F.when(ok, F.col(c)) for c in ("vertical", "tier1", "tier2", "tier3", "justification", "political_leaning")})
 
 
-def retry_budget(replies: DataFrame, first: int = 2000, retries: int = 2) -> DataFrame:
+def retry_budget(replies: DataFrame, first: int = 2000, retries: int = 2, hot: int = HOT) -> DataFrame:
     """Per reply (item, seq, parse_error): its budget, and what follows: done, retry with next_budget, or terminal.
 
-    The budget doubles with each retry and stays at that of the last one for replies beyond it."""
-    n = F.row_number().over(Window.partitionBy("item").orderBy("seq"))
-    out = replies.withColumn("attempt", n).withColumn("budget", (F.lit(first) * F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(retries)))).cast("long"))
+    The budget doubles with each retry and stays at that of the last one for replies beyond it. Items with over `hot`
+    replies are worked on in ranges."""
+    out = with_place(replies, ["item"], "seq", "attempt", hot).withColumn("budget", (F.lit(first) * F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(retries)))).cast("long"))
     step = F.when(F.col("parse_error") == "", "done").when(F.col("attempt") <= retries, "retry").otherwise("terminal")
     return out.withColumn("step", step).withColumn("next_budget", F.when(F.col("step") == "retry", F.col("budget") * 2))
 
@@ -116,20 +120,37 @@ def taxonomy_outline(tax: DataFrame) -> DataFrame:
     return tax.filter("tier1 <> ''").select("tier1", "tier2", "tier3").distinct().orderBy("tier1", "tier2", "tier3")
 
 
-#: Most keys of a taxonomy that is broadcast: a few MB.
-MOST_KEYS = 20_000
+def _pieces(rows: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """The rows once for each piece of `text` (ASCII) that has one of the lengths, as column `piece`."""
+    rows = rows.withColumn("__len", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(text))))
+    rows = rows.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)))
+    piece = F.substring(F.col(text).cast("binary"), F.col("__at"), F.col("__len")).cast("string")
+    return rows.withColumn("piece", piece).drop("__len", "__at")
+
+
+def _lengths(rows: DataFrame, text: str) -> list[int]:
+    """The lengths that occur, as many as the longest text has characters at most."""
+    return sorted(r[0] for r in rows.select(F.length(text)).distinct().collect())
+
 
+def nearest_keys(norms: DataFrame, paths: DataFrame) -> DataFrame:
+    """(norm, near_path): for each label the path of the longest key that it contains or that contains it, the first of
+    equally long ones.
 
-class TaxonomyTooLarge(ValueError):
-    """A taxonomy is a reference list; this one is a data set."""
+    Both are equi-joins on pieces of text: pieces of labels that are as long as some key with the keys, and pieces of
+    keys that are as long as some label with the labels. A text of n characters has at most n pieces of a length, so
+    work grows with the texts, not with the product of labels and keys, and neither side has to fit a broadcast."""
+    keys = paths.select("key", "path", "ord")
+    best = F.struct(F.length("key").alias("n"), (-F.col("ord")).alias("o"), F.col("path").alias("path"))
+    inside = _pieces(norms, "norm", _lengths(keys, "key")).join(keys, F.col("piece") == F.col("key")).select("norm", best.alias("b"))
+    whole = norms.select(F.col("norm").alias("w"))
+    around = _pieces(keys, "key", _lengths(norms, "norm")).join(whole, F.col("piece") == F.col("w")).select(F.col("w").alias("norm"), best.alias("b"))
+    return inside.union(around).groupBy("norm").agg(F.max("b").alias("b")).select("norm", F.col("b.path").alias("near_path"))
 
 
 def resolve_verticals(df: DataFrame, col: str, paths: DataFrame) -> DataFrame:
-    """Adds tier1..tier3. Each distinct label is resolved once; they are written to the shared folder first, so that
-    the rows they come from are read once, not by each step. The taxonomy is broadcast, as labels may hold its
-    keys anywhere: it has hundreds of keys, and more than `MOST_KEYS` raise TaxonomyTooLarge."""
-    if paths.limit(MOST_KEYS + 1).count() > MOST_KEYS:
-        raise TaxonomyTooLarge(f"a taxonomy of more than {MOST_KEYS} keys cannot be broadcast")
+    """Adds tier1..tier3, blank where a label is null, void or unknown. Each distinct label is resolved once; they are
+    written to the shared folder first, so that the rows they come from are read once, not by each step."""
     v = F.coalesce(F.col(col), F.lit(""))
     labels = stored(df.select(v.alias("label")).distinct(), "labels")
     first = F.trim(F.get(F.split("label", r"[\n\r\x0b\f\x1c-\x1e\x85  ]"), F.lit(0)))
@@ -137,11 +158,9 @@ def resolve_verticals(df: DataFrame, col: str, paths: DataFrame) -> DataFrame:
     void = F.lower(F.trim("label")).isin("", "unknown", "n/a", "not provided") | contains_any(F.lower("label"), ("description:", "confidence:", "quality:", "justification:"))
     rows = labels.withColumn("first", first).withColumn("void", void | (F.col("first") == "")).withColumn("given", parts("[>|/]+")).withColumn("own", parts("[>|/,;]+"))
     rows = rows.withColumn("spelled", F.col("first").rlike("[>|/]") & (F.size("given") > 1))
-    known = F.broadcast(paths)
     open_ = rows.filter("not void and not spelled").select("label", F.posexplode(F.array_distinct(F.concat(F.array("first"), F.col("own"), parts("[()]")))).alias("pos", "cand")).withColumn("norm", normal_label(F.col("cand"))).filter("norm <> ''")
-    exact = open_.join(known, open_.norm == known.key, "left").select("label", "pos", "norm", "path")
-    near = exact.filter("path is null").select("norm").distinct()
-    close = near.join(known, F.col("key").contains(F.col("norm")) | F.col("norm").contains(F.col("key"))).groupBy("norm").agg(F.max_by("path", F.struct(F.length("key"), -F.col("ord"))).alias("near_path"))
+    exact = stored(open_.join(paths, open_.norm == paths.key, "left").select("label", "pos", "norm", "path"), "label-parts")
+    close = nearest_keys(exact.filter("path is null").select("norm").distinct(), paths)
     best = exact.join(close, "norm", "left").withColumn("hit", F.coalesce("path", "near_path")).filter("hit is not null").groupBy("label").agg(F.min_by("hit", "pos").alias("hit"))
     tiers = F.when(F.col("void"), F.array().cast("array<string>")).when(F.col("spelled"), F.col("given")).otherwise(F.coalesce("hit", "own"))
     done = rows.join(best, "label", "left").select("label", tiers.alias("tiers"))
@@ -319,13 +338,24 @@ class SpecChanged(ValueError):
 
 
 def append_results(existing: DataFrame, new: DataFrame, spec: dict | None) -> DataFrame:
-    """Both, if the existing rows carry this spec; `spec_hash` is the column that tells."""
+    """Both, if the existing rows carry this spec; `spec_hash` is the column that tells, null counts as no spec."""
     mark = spec_hash(spec)
     if existing.filter(F.coalesce("spec_hash", F.lit("")) != mark).limit(1).count():
         raise SpecChanged("Custom categories changed: results carry another specification")
     return existing.unionByName(new.withColumn("spec_hash", F.lit(mark)), allowMissingColumns=True)
 
 
+def append_to(path: str, new: DataFrame, spec: dict | None) -> None:
+    """Append rows to the results at a path, a folder for each spec; another spec's folder there is an error.
+
+    The check lists folders and reads no rows, so it costs the same whatever is there."""
+    mark, name = spec_hash(spec), "spec_hash="
+    there = {f.removeprefix(name) for f in children(new.sparkSession, path) if f.startswith(name)}
+    if there - {mark or "__HIVE_DEFAULT_PARTITION__"}:
+        raise SpecChanged("Custom categories changed: results carry another specification")
+    new.withColumn("spec_hash", F.lit(mark or None).cast("string")).write.mode("append").partitionBy("spec_hash").parquet(path)
+
+
 # Columns of result tables, in order.
 RESULT_COLUMNS = ("Domain", "Type", "App_Name", "Developer", "Store_Category", "Rating", "Rating_Count", "Downloads", "Quality", "Justification", "IAB Tier 1", "IAB Tier 2", "IAB Tier 3", "Description", "Language", "Political_Leaning", "Audience_Size", "Bot_Protection", "Content_Length", "Processing_Time", "Scrape_Mode", "Classifier_Mode", "Scraped_At", "Cost_USD")
 CTV_RESULT_COLUMNS = ("App_Name", "Type", "Bundle_ID", "SSP", "Publisher", "Platform", "URL", "Quality", "Justification", "IAB Tier 1", "IAB Tier 2", "IAB Tier 3", "Description", "Target_Audience", "Content_Type", "Language", "Political_Leaning", "Network_Affiliation", "Audience_Size", "Research_Summary", "Processing_Time", "Research_Model", "Classification_Model", "Processed_At", "Cost_USD")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockyard.operators.carry import HOT, with_prior
 from stockyard.operators.evidence import is_antibot
 
 KEY = ["run_id", "item"]
@@ -78,11 +79,13 @@ def reset_failed(state: DataFrame) -> DataFrame:
     return state.filter(F.col("status") != ERROR)
 
 
-def bot_protection(attempts: DataFrame) -> DataFrame:
-    """Adds bot_protection, from each outcome and the one just before it."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
+def bot_protection(attempts: DataFrame, hot: int = HOT) -> DataFrame:
+    """Adds bot_protection, from each outcome and the one just before it; no error or rung counts as blank.
+
+    Items with over `hot` attempts are worked on in ranges. Of attempts with one seq it is not defined which is first."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    rows = attempts.withColumn("prior_error", text(F.lag("error").over(w))).withColumn("prior_rung", text(F.lag("rung").over(w)))
+    rows = with_prior(attempts, KEY, "seq", ["error", "rung"], hot=hot)
+    rows = rows.withColumn("prior_error", text(F.col("__prior.error"))).withColumn("prior_rung", text(F.col("__prior.rung"))).drop("__prior")
     failed = F.col("status") != SUCCESS
     now = failed & is_antibot(F.col("error"))
     research = F.col("rung") == "research"
@@ -100,27 +103,38 @@ def best_per_identifier(results: DataFrame, key: str = "Domain") -> DataFrame:
     return out.select(f"`{key}`", "r.*", "first_seq")
 
 
-def chain_errors(attempts: DataFrame) -> DataFrame:
-    """Failed research attempts tell what failed before."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    prior = F.coalesce(F.lag("error").over(w), F.lit(""))
+def chain_errors(attempts: DataFrame, hot: int = HOT) -> DataFrame:
+    """Failed research attempts tell what failed before. Items with over `hot` attempts are worked on in ranges."""
+    rows = with_prior(attempts, KEY, "seq", ["error"], hot=hot)
+    prior = F.coalesce("__prior.error", F.lit(""))
     chained = F.when((F.col("rung") == "research") & (F.col("status") != SUCCESS) & (prior != ""), F.concat(prior, F.lit("; research fallback: "), F.col("error"))).otherwise(F.col("error"))
-    return attempts.withColumn("message", chained)
+    return rows.withColumn("message", chained).drop("__prior")
 
 
-def progress_summary(state: DataFrame, runs: DataFrame) -> DataFrame:
-    """Counts per run: total (from runs), processed, successful, errors, retrying, remaining, completion, mean pace."""
-    n = F.count(F.lit(1))
-    per = state.groupBy("run_id").agg(n.alias("entries"), F.count_if(F.col("status") == SUCCESS).alias("successful"), F.count_if(F.col("status") == ERROR).alias("errors"), F.count_if(F.col("status") == PENDING).alias("retrying"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def progress_counts(state: DataFrame) -> DataFrame:
+    """(run_id, entries, successful, errors, retrying, first, last): items by status, and the seconds of the earliest
+    and the latest of their last attempts."""
+    second = F.unix_timestamp("ts")
+    of = lambda status: F.count_if(F.col("status") == status)
+    return state.groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"), of(SUCCESS).alias("successful"), of(ERROR).alias("errors"), of(PENDING).alias("retrying"), F.min(second).alias("first"), F.max(second).alias("last"))
+
+
+def summary_of(counts: DataFrame, runs: DataFrame) -> DataFrame:
+    """The progress summary of runs from `progress_counts`, however they came about."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = runs.select("run_id", F.col("total").cast("long").alias("total")).join(per, "run_id", "left")
-    out = out.select("run_id", "total", z("entries").alias("entries"), z("successful").alias("successful"), z("errors").alias("errors"), z("retrying").alias("retrying"), (F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts")).alias("elapsed"))
+    out = runs.select("run_id", F.col("total").cast("long").alias("total")).join(counts, "run_id", "left")
+    out = out.select("run_id", "total", z("entries").alias("entries"), z("successful").alias("successful"), z("errors").alias("errors"), z("retrying").alias("retrying"), (F.col("last") - F.col("first")).alias("elapsed"))
     out = out.withColumn("processed", F.col("entries") - F.col("retrying")).withColumn("remaining", F.greatest(F.col("total") - F.col("processed"), F.lit(0).cast("long")))
     share = F.when(F.col("total") > 0, (F.col("processed").cast("decimal(20,0)") * 100 / F.col("total")).cast("decimal(9,2)")).otherwise(F.lit(0).cast("decimal(9,2)"))
     pace = F.when((F.col("processed") > 0) & (F.col("elapsed") > 0), F.expr("(elapsed * remaining) div processed"))
     return out.withColumn("completion", share).withColumn("eta_seconds", pace)
 
 
+def progress_summary(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """Counts per run: total (from runs), processed, successful, errors, retrying, remaining, completion, mean pace."""
+    return summary_of(progress_counts(state), runs)
+
+
 def eta(summary: DataFrame, runs: DataFrame, now: Column, deep_seconds: int = 15) -> DataFrame:
     """Two-rate estimate in whole seconds, half to even: mean pace for the rest, a fixed cost per retry."""
     s = summary.select("run_id", "total", "entries", "retrying").join(runs.select("run_id", "status", "started_at"), "run_id")

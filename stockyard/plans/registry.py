@@ -125,12 +125,6 @@ def _(spark, sf, rows):
     return identify.ctv_breakdown(rows, by=("ssp",))
 
 
-def _(spark, sf, rows, tlds):
-    counts = identify.breakdown(rows, "value", tlds)
-    out = identify.breakdown_shares(counts).join(counts.select("source_file", "total"), "source_file")
-    return out.select("source_file", "kind", "n", F.expr("n * 1000000 div total").alias("per_million"), "label")
-
-
 PLATFORM_SQL = """CASE WHEN b = '' THEN 'Unknown' WHEN regexp_matches(b, '^[0-9]+$') THEN 'Roku' WHEN upper(b) LIKE 'B0%' THEN 'Fire TV' WHEN lower(b) LIKE 'com.%' THEN 'Android TV' WHEN lower(b) LIKE 'vizio.%' THEN 'Vizio'
   WHEN lower(b) LIKE 'tv.%' THEN 'Apple TV' WHEN regexp_matches(upper(b), '^G[0-9]+$') THEN 'Samsung TV' WHEN regexp_matches(b, '^9[A-Za-z0-9]*$') THEN 'Xbox' WHEN lower(b) LIKE '%.roku' THEN 'Roku' ELSE 'Unknown' END"""
 
@@ -170,6 +164,20 @@ def _(spark, sf, rows):
     return back.groupBy(F.col("Domain").alias("source_file")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pageURL").alias("kinds"))
 
 
+@query("s1_quoted_files", ["results"], """SELECT seq, "Domain", t AS text, CASE seq % 2 WHEN 0 THEN 'first' ELSE 'second' END AS file
+FROM (SELECT *, replace(replace(coalesce("Description", ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM results) x""")
+def _(spark, sf, rows):
+    """Texts with quotes, commas and line breaks in two files whose headers differ, read in the order given."""
+    files = []
+    for half, names in ((0, ["seq", "Domain", "text"]), (1, ["text", "seq", "Domain"])):
+        files.append(scratch(spark))
+        text = rows.filter(F.col("seq") % 2 == half).orderBy("seq").select(F.col("seq").cast("string").alias("seq"), "Domain", F.col("Description").alias("text"))
+        text.select(*names).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(files[-1])
+    back = tables.read_inventory(spark, files).withColumn("seq", F.col("seq").try_cast("long"))
+    second = back.filter("seq % 2 = 1").agg(F.min("row_no")).first()[0]
+    return back.select("seq", "Domain", "text", F.when(F.col("row_no") < second, "first").otherwise("second").alias("file"))
+
+
 @query("s2_null_missing", ["identifiers"], "SELECT source_file, count(*) AS n, count(*) FILTER (WHERE value = 'N/A') AS missing FROM identifiers GROUP BY source_file")
 def _(spark, sf, rows):
     return tables.null_missing(rows).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("missing"))
@@ -202,9 +210,11 @@ _RESULT_ROWS = 'SELECT "Domain", "Quality", count(*) AS n, sum("Content_Length")
 
 @query("s7_s8_results_round_trip", ["results"], 'SELECT "Domain", "Quality", count(*) AS n, CAST(sum("Content_Length") AS BIGINT) AS chars, count(*) AS blank FROM results GROUP BY "Domain", "Quality"')
 def _(spark, sf, rows):
-    path = scratch(spark)
-    tables.write_results(rows, path, list(labels.RESULT_COLUMNS))
-    back = tables.read_results(spark, path)
+    """Two files, the second with fewer columns and in another order."""
+    files = [scratch(spark), scratch(spark)]
+    tables.write_results(rows.filter("seq % 2 = 0"), files[0], list(labels.RESULT_COLUMNS))
+    tables.write_results(rows.filter("seq % 2 = 1"), files[1], ["Content_Length", "Description", "Quality", "Domain"])
+    back = tables.read_results(spark, files)
     return back.groupBy("Domain", "Quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("Content_Length").cast("long")).alias("chars"), F.count_if(F.col("Bot_Protection") == "").alias("blank"))
 
 
@@ -244,12 +254,15 @@ def _(spark, sf, rows):
     return tables.read_progress(spark, path, whole=False).select("run_id", "item", "status", "error", F.col("total_domains").cast("int").alias("total_domains"), "mode")
 
 
+@query("s12_progress_files", ["attempts"], "SELECT run_id, CAST(item AS STRING) AS item, arg_max(status, seq) AS status, concat(arg_max(error, seq), ' }{\" ') AS error, CAST(item % 5 AS INT) AS total_domains FROM attempts GROUP BY run_id, item")
 def _(spark, sf, rows):
-    entry = F.struct(F.col("item").cast("string").alias("k"), F.struct("status", F.col("ts").cast("string").alias("timestamp"), F.col("seconds").cast("double").alias("processing_time"), "error", F.col("rung").alias("mode")).alias("v"))
-    doc = ladder.latest_state(rows).withColumn("part", F.expr("item % 50")).groupBy("run_id", "part").agg(F.map_from_entries(F.collect_list(entry)).alias("processed_domains"))
-    text = doc.select("run_id", F.to_json(F.struct(F.lit(9).alias("total_domains"), "processed_domains", F.lit("skip").alias("spend"))).alias("value"))
-    out = text.select("run_id", F.from_json("value", tables.PROGRESS).alias("d")).select("run_id", F.col("d.total_domains").cast("int").alias("total_domains"), F.explode("d.processed_domains").alias("item", "e"))
-    return out.select("run_id", "item", "e.status", "e.error", "total_domains")
+    """Documents of their own files, with braces and quotes in their texts, walked in splits."""
+    entry = F.struct(F.col("item").cast("string").alias("k"), F.struct("status", F.col("ts").cast("string").alias("timestamp"), F.col("seconds").cast("double").alias("processing_time"), F.concat("error", F.lit(' }{" ')).alias("error"), F.col("rung").alias("mode")).alias("v"))
+    doc = ladder.latest_state(rows).withColumn("part", F.expr("item % 5")).groupBy("run_id", "part").agg(F.map_from_entries(F.collect_list(entry)).alias("processed_domains"))
+    text = doc.select("run_id", "part", F.to_json(F.struct(F.struct(F.lit(1).alias("usd")).alias("spend"), "processed_domains", F.col("part").alias("total_domains"))).alias("value"))
+    path = scratch(spark)
+    text.repartition("run_id", "part").write.partitionBy("run_id", "part").text(path)
+    return tables.read_progress(spark, path).select("run_id", "item", "status", "error", F.col("total_domains").cast("int").alias("total_domains"))
 
 
 @query("s13_reference_tables", ["catalog_taxonomy"], "SELECT name, tier1, tier2, tier3, tier4 FROM catalog_taxonomy")
@@ -268,14 +281,6 @@ def _(spark, sf, rows):
     return tables.read_tlds(spark, path)
 
 
-def _(spark, sf, rows):
-    path = scratch(spark)
-    body = rows.select(F.lit(1).alias("o"), F.concat_ws("\t", "name", "tier1", "tier2", "tier3", "tier4").alias("value"))
-    head = spark.range(2).select((F.col("id") - 1).cast("int").alias("o"), F.when(F.col("id") == 0, "About").otherwise("Name\tTier 1\tTier 2\tTier 3\tTier 4").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
-    return tables.read_taxonomy(spark, path).drop("line_no")
-
-
 # Evidence.
 
 
@@ -323,10 +328,6 @@ def _(spark, sf, rows, tlds):
     return evidence.expand_targets(rows.filter("type = 'website' and value <> ''"), "value").select("row_no", "attempt", "target")
 
 
-def _(spark, sf, rows):
-    return evidence.expand_targets(rows.filter(F.col("source_file").isin("nation", "pages")), "value").select("row_no", "attempt", "target")
-
-
 @query("e6_extract_play_pages", [])
 def _(spark, sf):
     head = F.when(F.col("page_id") % 5 == 0, F.lit("<p>Unusual traffic</p>")).otherwise(F.lit('<a href="/store/apps/dev?id=1"><span>Dev</span></a><div aria-label="Rated 4.5 stars out of five stars"></div>'))
@@ -382,10 +383,6 @@ def _(spark, sf, rows):
     return evidence.decode_ios_lookup(rows).withColumns({c: F.array_join(c, "|") for c in ("genres", "supported_devices")})
 
 
-def _(spark, sf, rows):
-    return evidence.decode_ios_lookup(rows).select("app_id", "success", "error", "app_name", "rating", "rating_count", "file_size_mb")
-
-
 @query("e8_store_evidence", ["store_lookups"], """
 SELECT p_partkey AS app_id, concat('App Name: ', p_name, chr(10), 'Developer: ', p_brand, chr(10), 'Primary Category: Games', chr(10), 'All Categories: Games, ', p_type, chr(10), 'Rating: 4.5/5.0 (', format('{:,}', p_partkey * 37), ' reviews)') AS evidence FROM part WHERE p_partkey % 4 <> 0""")
 def _(spark, sf, rows):
@@ -399,10 +396,6 @@ def _(spark, sf, rows):
     return evidence.fetch_stats(rows, ["run_id", "rung"]).withColumn("success_percent", hundredths("success_percent"))
 
 
-def _(spark, sf, rows):
-    return evidence.fetch_stats(rows, ["run_id", "rung"]).drop("success_percent")
-
-
 # The attempt ladder. One run's log is what routing looks at: the last attempt over all runs of an item.
 
 STATE_SQL = ", s AS (SELECT run_id, item, arg_max(type, seq) AS type, max(seq) AS seq, arg_max(ts, seq) AS ts, arg_max(rung, seq) AS rung, arg_max(status, seq) AS status, arg_max(error, seq) AS error, min(seq) AS first_seq FROM attempts GROUP BY run_id, item)"
@@ -489,10 +482,6 @@ def _(spark, sf, attempts, runs):
     return ladder.progress_summary(_state(attempts), runs).withColumn("completion", hundredths("completion"))
 
 
-def _(spark, sf, attempts, runs):
-    return ladder.progress_summary(_state(attempts), runs).select("run_id", "total", "entries", "successful", "errors", "retrying", "processed", "remaining")
-
-
 @query("l13_eta", ["attempts", "runs"], SUMMARY_SQL + " SELECT run_id, CASE WHEN status = 'running' AND entries > 0 THEN CAST(round(greatest(total - entries, 0) * 2682000.0 / entries + retrying * 15.0) AS BIGINT) END AS eta FROM m")
 def _(spark, sf, attempts, runs):
     return ladder.eta(ladder.progress_summary(_state(attempts), runs), runs, F.expr(NOW) - F.expr("INTERVAL '0' DAY"))
@@ -505,21 +494,11 @@ def _(spark, sf, attempts, runs):
     return shares.select("run_id", *[hundredths(c) for c in ("ok", "retry", "fail", "overall")])
 
 
-def _(spark, sf, attempts, runs):
-    summary = ladder.progress_summary(_state(attempts), runs)
-    out = ladder.progress_shares(summary, runs).join(summary.select("run_id", "total", "successful", "errors"), "run_id")
-    return out.select("run_id", F.expr("successful * 10000 div total").alias("ok"), F.expr("errors * 10000 div total").alias("fail"), (F.col("overall") == 100).alias("complete"))
-
-
 @query("l15_outcome_counts", ["attempts"], STATE_SQL + f""" SELECT run_id, items, ok, items - ok AS failed, {_percent_sql("(items - ok)", "items")} AS failure_rate FROM (SELECT run_id, count(*) AS items, count(*) FILTER (WHERE status = 'success') AS ok FROM s GROUP BY run_id) x""")
 def _(spark, sf, attempts):
     return ladder.outcome_counts(attempts).withColumn("failure_rate", hundredths("failure_rate"))
 
 
-def _(spark, sf, attempts):
-    return ladder.outcome_counts(attempts).drop("failure_rate")
-
-
 @query("l16_failure_digest", ["attempts"], STATE_SQL + """, f AS (SELECT *, CASE WHEN error LIKE 'Connection%' THEN 'Connection reset' ELSE error END AS short FROM s WHERE status = 'error'),
 g AS (SELECT *, row_number() OVER (PARTITION BY run_id, short ORDER BY first_seq, item) AS rn FROM f)
 SELECT run_id, short, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN CAST(item AS STRING) END, ',' ORDER BY rn) AS sample, greatest(count(*) - 5, 0) AS more FROM g GROUP BY run_id, short""")
@@ -541,6 +520,20 @@ def _(spark, sf, attempts):
     return live.read_live_state(spark, out).select("run_id", "item", "seq", "rung", "status", "error")
 
 
+_L12_SQL = SUMMARY_SQL + f""", d AS (SELECT *, entries - retrying AS processed, greatest(total - entries + retrying, 0) AS remaining FROM m)
+SELECT run_id, total, entries, successful, errors, retrying, processed, remaining, elapsed, {_percent_sql("processed", "total")} AS completion, CASE WHEN processed > 0 AND elapsed > 0 THEN elapsed * remaining // processed END AS eta_seconds FROM d"""
+
+
+@query("l18_live_summary", ["attempts", "runs"], _L12_SQL)
+def _(spark, sf, attempts, runs):
+    """The log in files of any order, a third of it twice."""
+    source, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    attempts.union(attempts.filter("seq % 3 = 0")).repartition(6).write.parquet(source)
+    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    live.live_summary(stream, out, checkpoint, available_now=True).awaitTermination()
+    return live.read_live_summary(spark, out, runs).withColumn("completion", hundredths("completion"))
+
+
 # Labels.
 
 REPLY_SQL = """
@@ -554,10 +547,6 @@ def _(spark, sf, replies):
     return labels.unwrap_replies(replies).select("item", "parse_error", "tokens", "finish_reason", "args")
 
 
-def _(spark, sf, replies):
-    return labels.unwrap_replies(replies).select("item", "parse_error", "tokens", "finish_reason")
-
-
 @query("d2_decode_labels", ["replies", "taxonomy"], """
 SELECT item, CASE item % 8 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Long Tail' WHEN 3 THEN 'Standard' WHEN 5 THEN 'Standard' END AS quality, CASE item % 8 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 3 THEN 'Medium' WHEN 5 THEN 'Medium' END AS confidence,
   CASE item % 8 WHEN 0 THEN 'Sports' WHEN 1 THEN 'Unknown' WHEN 3 THEN 'Unknown' WHEN 5 THEN 'Unknown' END AS vertical, CASE item % 8 WHEN 0 THEN 'English' WHEN 1 THEN 'French' WHEN 3 THEN 'English' WHEN 5 THEN 'English' END AS language,
@@ -567,13 +556,6 @@ def _(spark, sf, replies, tax):
     return labels.decode_labels(labels.unwrap_replies(replies), labels.taxonomy_paths(tax)).select("item", "quality", "confidence", "vertical", "language", "description", "justification")
 
 
-@query("d3_decode_ctv_labels", ["replies", "taxonomy"], """
-SELECT item, CASE item % 8 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Long Tail' WHEN 3 THEN 'Standard' WHEN 5 THEN 'Standard' END AS quality, CASE WHEN item % 8 IN (0, 1, 3, 5) THEN 'Mixed Content' END AS content_type,
-  CASE WHEN item % 8 IN (0, 1, 3, 5) THEN 'General audience' END AS target_audience, CASE item % 8 WHEN 5 THEN '' WHEN 0 THEN 'No justification provided' WHEN 1 THEN 'No justification provided' WHEN 3 THEN 'No justification provided' END AS justification FROM replies""")
-def _(spark, sf, replies, tax):
-    return labels.decode_ctv_labels(labels.unwrap_replies(replies), labels.taxonomy_paths(tax)).select("item", "quality", "content_type", "target_audience", "justification")
-
-
 @query("d4_retry_budget", ["attempts"], """
 SELECT item, seq, CAST(2000 * pow(2, least(n - 1, 2)) AS BIGINT) AS budget, step, CASE WHEN step = 'retry' THEN CAST(4000 * pow(2, n - 1) AS BIGINT) END AS next_budget
 FROM (SELECT *, CASE WHEN status = 'success' THEN 'done' WHEN n <= 2 THEN 'retry' ELSE 'terminal' END AS step FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY seq) AS n FROM attempts) x) y""")
@@ -582,11 +564,6 @@ def _(spark, sf, attempts):
     return labels.retry_budget(replies).select("item", "seq", "budget", "step", "next_budget")
 
 
-def _(spark, sf, attempts):
-    replies = attempts.select("item", "seq", F.when(F.col("status") == "success", "").otherwise("bad").alias("parse_error"))
-    return labels.retry_budget(replies).filter("attempt <= 20").select("item", "seq", "budget", "step")
-
-
 @query("d5_taxonomy_paths", ["catalog_taxonomy"], r"""
 , w AS (SELECT line_no, [x for x in [tier1, tier2, tier3, CASE WHEN name NOT IN (tier1, tier2, tier3) THEN name ELSE '' END] if x <> ''] AS path FROM catalog_taxonomy),
 t AS (SELECT line_no, i, path[i] AS tier, path[1:i] AS path FROM (SELECT line_no, path, unnest(range(1, len(path) + 1)) AS i FROM w) x),
@@ -635,9 +612,30 @@ def _(spark, sf, rows):
     return labels.route_ctv_news(rows).select("item", "turn", "vertical", "political_leaning", "justification")
 
 
-def _(spark, sf, rows):
-    rows = rows.withColumns({"tier1": F.lit("Old"), "tier2": F.lit(""), "tier3": F.lit(""), "vertical": F.lit("Old"), "justification": F.lit("J"), "political_leaning": F.lit("Non-Political")})
-    return labels.route_ctv_news(rows).select("item", "turn", "vertical")
+ROUTED_SQL = f"""r AS (SELECT *, CASE WHEN NOT news THEN 'none' WHEN few AND {_hits('a', labels.WEATHER_APPS)} > 0 THEN 'weather' WHEN few AND {_hits('a', labels.CRIME_APPS)} > 0 THEN 'crime'
+  WHEN few AND {_hits('a', labels.DISASTER_APPS)} > 0 THEN 'disaster' WHEN {_hits('r', labels.ELECTION_SIGNALS)} >= 2 OR {_hits('a', labels.ELECTION_APPS)} > 0 THEN 'election' ELSE 'news' END AS route FROM c)"""
+#: An app name and a research text for each reply.
+_APP = "concat(CASE item % 7 WHEN 0 THEN 'Local Weather Now ' WHEN 1 THEN 'CNN ' WHEN 2 THEN 'Court TV News ' WHEN 3 THEN 'Ballot Watch News ' WHEN 4 THEN 'Emergency Alert News ' ELSE 'Box ' END, CAST(item AS STRING))"
+_TOLD = "CASE item % 4 WHEN 0 THEN 'Movies and scripted series, a streaming service' WHEN 1 THEN 'Headlines, current events, national news and politics' WHEN 2 THEN 'election results on election night' ELSE coalesce(text, '') END"
+
+
+@query("d3_decode_ctv_labels", ["replies", "taxonomy"], f"""
+, research AS (SELECT item, 0 AS turn, {_TOLD} AS research, {_APP} AS app_name, 'Mixed Content' AS content_type FROM replies LEFT JOIN documents ON doc_id = item)""" + NEWS_SQL + ", " + ROUTED_SQL + """,
+b AS (SELECT *, item % 8 IN (0, 1, 3, 5) AS ok, CASE item % 8 WHEN 0 THEN 'Sports' ELSE '' END AS base FROM r)
+SELECT item, CASE item % 8 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Long Tail' WHEN 3 THEN 'Standard' WHEN 5 THEN 'Standard' END AS quality, CASE WHEN ok THEN 'Mixed Content' END AS content_type, CASE WHEN ok THEN 'General audience' END AS target_audience,
+  CASE WHEN ok THEN '' END AS network_affiliation, CASE WHEN ok THEN 'S' END AS audience_size, CASE WHEN ok THEN CASE item % 8 WHEN 0 THEN 'High' ELSE 'Medium' END END AS confidence, CASE WHEN ok THEN CASE item % 8 WHEN 1 THEN 'French' ELSE 'English' END END AS language,
+  CASE WHEN ok THEN CASE item % 8 WHEN 3 THEN 'N/A' ELSE 'No description provided' END END AS description,
+  CASE WHEN ok THEN CASE route WHEN 'none' THEN CASE WHEN base = '' THEN 'Unknown' ELSE base END WHEN 'weather' THEN 'Science > Weather' WHEN 'crime' THEN 'Crime' WHEN 'disaster' THEN 'Disasters' WHEN 'election' THEN 'Politics > Elections' ELSE 'Politics > Civic affairs' END END AS vertical,
+  CASE WHEN ok THEN CASE route WHEN 'none' THEN base WHEN 'weather' THEN 'Science' WHEN 'crime' THEN 'Crime' WHEN 'disaster' THEN 'Disasters' ELSE 'Politics' END END AS tier1,
+  CASE WHEN ok THEN CASE route WHEN 'weather' THEN 'Weather' WHEN 'election' THEN 'Elections' WHEN 'news' THEN 'Civic affairs' ELSE '' END END AS tier2, CASE WHEN ok THEN '' END AS tier3,
+  CASE WHEN ok THEN CASE WHEN route IN ('news', 'election') THEN 'Center' ELSE 'Non-Political' END END AS political_leaning,
+  CASE WHEN ok THEN concat(CASE item % 8 WHEN 5 THEN '' ELSE 'No justification provided' END, CASE route WHEN 'none' THEN '' WHEN 'news' THEN ' (post-routed for CTV news)' WHEN 'election' THEN ' (post-routed for CTV election news)' ELSE concat(' (post-routed for CTV ', route, ' app)') END,
+    CASE WHEN route IN ('news', 'election') THEN ' Political_Leaning set to Center due to Politics vertical.' ELSE '' END) END AS justification FROM b""")
+def _(spark, sf, replies, tax):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("d"), "text")
+    told = replies.join(docs, F.col("d") == F.col("item"), "left").withColumns({"app_name": F.expr(_APP), "research": F.expr(_TOLD)}).drop("d", "text")
+    columns = ("quality", "content_type", "target_audience", "network_affiliation", "audience_size", "confidence", "language", "description", "vertical", "tier1", "tier2", "tier3", "political_leaning", "justification")
+    return labels.decode_ctv_labels(labels.unwrap_replies(told), labels.taxonomy_paths(tax)).select("item", *columns)
 
 
 @query("d9_gate_research", ["research"], "SELECT item, turn, trim(research) = '' OR upper(trim(research)) = 'INSUFFICIENT INFORMATION' OR length(trim(research)) < 100 AS insufficient FROM research")
@@ -645,22 +643,29 @@ def _(spark, sf, rows):
     return labels.gate_research(rows, least=100).select("item", "turn", "insufficient")
 
 
-@query("d10_summarize_research", ["results"], r"""
-, t AS (SELECT seq, concat('Title', chr(10), 'Bold and thin link code', chr(10), chr(10), regexp_replace(coalesce("Description", ''), '[^A-Za-z0-9.!?]+', ' ', 'g')) AS raw FROM results),
-u AS (SELECT seq, rtrim(regexp_replace(raw, '
- +', chr(10), 'g')) AS text FROM (SELECT seq, regexp_replace(raw, ' +$', '') AS raw FROM t) x),
-v AS (SELECT seq, trim(text, ' ' || chr(10)) AS text FROM u),
-w AS (SELECT seq, text, substring(text, 1, 300) AS head, regexp_extract(substring(text, 1, 300), '(?s)^(.*[.!?])(\s|$)', 1) AS cut FROM v)
-SELECT seq, CASE WHEN length(text) <= 300 THEN text WHEN length(cut) * 2 >= 300 THEN cut ELSE concat(rtrim(head), '...') END AS summary FROM w""")
-def _(spark, sf, rows):
-    plain = F.regexp_replace(F.coalesce("Description", F.lit("")), "[^A-Za-z0-9.!?]+", " ")
-    marked = rows.select("seq", F.concat(F.lit("# Title\n**Bold** and *thin* [link](u)[1] `code`\n\n\n\n  "), plain).alias("research"))
-    return labels.summarize_research(marked, n=300).select("seq", "summary")
+#: Marks put around words of whole texts, and what is left of them: Markdown that SQL has no rules for.
+MARKED = ((" of ", " **of** ", " of "), (" and ", " [and](http://x/y)[12] ", " and "), (" the ", " *the* ", " the "), (" on ", " __on__ _on_ ", " on on "), (" was ", " `was` ", " was "))
+
+
+def _marked_sql(c: str, to: int) -> str:
+    for m in MARKED:
+        c = f"replace({c}, '{m[0]}', '{m[to]}')"
+    return c
 
 
+@query("d10_summarize_research", ["results"], rf"""
+, t AS (SELECT seq, {_marked_sql("replace(replace(coalesce(\"Description\", ''), '**', '+'), '_', '-')", 2)} AS body FROM results),
+r AS (SELECT seq, concat('Title', chr(10), 'Bold', chr(10), chr(10), chr(10), '  ', regexp_replace(regexp_replace(replace(body, chr(96), ''), '\*+', '', 'g'), '#', '#', 'g')) AS raw FROM t),
+u AS (SELECT seq, regexp_replace(regexp_replace(raw, '\n{{3,}}', chr(10) || chr(10), 'g'), '(^|\n)[ \t]+', '\1', 'g') AS text FROM r),
+v AS (SELECT seq, regexp_replace(text, '^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$', '', 'g') AS text FROM u),
+w AS (SELECT seq, text, substring(text, 1, 300) AS head, regexp_extract(substring(text, 1, 300), '(?s)^(.*[.!?])(\s|$)', 1) AS cut FROM v)
+SELECT seq, CASE WHEN length(text) <= 300 THEN text WHEN length(cut) * 2 >= 300 THEN rtrim(cut, ' ' || chr(10)) ELSE concat(rtrim(head, ' ' || chr(10)), '...') END AS summary FROM w""")
 def _(spark, sf, rows):
-    marked = rows.select("seq", F.concat(F.lit("# Title\n**Bold** and *thin* [link](u)[1] `code`\n\n\n\n  "), "Description").alias("research"))
-    return labels.summarize_research(marked, n=300).select("seq", "summary")
+    """Whole texts with their punctuation, lines and signs; where SQL cannot follow a sign it stands single."""
+    text = F.replace(F.replace(F.coalesce("Description", F.lit("")), F.lit("**"), F.lit("+")), F.lit("_"), F.lit("-"))
+    for plain, marked, _ in MARKED:
+        text = F.replace(text, F.lit(plain), F.lit(marked))
+    return labels.summarize_research(rows.select("seq", F.concat(F.lit("# Title\n**Bold**\n\n\n  "), text).alias("research")), n=300).select("seq", "summary")
 
 
 @query("d11_decode_decisions", ["decision_replies"], """
@@ -684,8 +689,10 @@ def _(spark, sf):
 
 @query("d14_append_results", ["results"], 'SELECT seq, "Domain" FROM results UNION ALL SELECT seq, "Domain" FROM results WHERE seq % 5 = 0')
 def _(spark, sf, rows):
-    mine = rows.select("seq", "Domain").withColumn("spec_hash", F.lit(labels.spec_hash(SPEC)))
-    return labels.append_results(mine, rows.filter("seq % 5 = 0").select("seq", "Domain"), SPEC).select("seq", "Domain")
+    path = scratch(spark)
+    labels.append_to(path, rows.select("seq", "Domain"), SPEC)
+    labels.append_to(path, rows.filter("seq % 5 = 0").select("seq", "Domain"), SPEC)
+    return spark.read.parquet(path).select("seq", "Domain")
 
 
 def _one_run(attempts: DataFrame) -> DataFrame:
@@ -693,28 +700,46 @@ def _one_run(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("run_id", F.lit(0))
 
 
-@query("d15_assemble_results", ["work_items", "attempts", "model_calls", "results"], r"""
-, s AS (SELECT item, max(seq) AS seq, arg_max(rung, seq) AS rung, arg_max(status, seq) AS status, arg_max(error, seq) AS error FROM attempts GROUP BY item)
-SELECT CAST(w.item AS STRING) AS "Domain", CASE w.type WHEN 'website' THEN 'WEBSITE' ELSE 'IOS' END AS "Type", CASE WHEN s.status = 'success' AND r.seq IS NOT NULL AND r."Quality" <> 'Failed' THEN r."Quality" ELSE 'Failed' END AS "Quality",
-  CASE WHEN s.status = 'success' AND r.seq IS NOT NULL AND r."Quality" <> 'Failed' THEN 'Why' ELSE concat('Processing failed: ', s.error) END AS "Justification", CASE w.type WHEN 'website' THEN s.rung ELSE 'ios_api' END AS "Scrape_Mode"
-FROM work_items w JOIN s ON s.item = w.item LEFT JOIN results r ON r.seq = w.item""")
+@query("d15_assemble_results", ["work_items", "attempts", "model_calls", "results"], rf"""
+, p AS (SELECT *, coalesce(lag(error) OVER w, '') AS pe, coalesce(lag(rung) OVER w, '') AS pr FROM attempts WINDOW w AS (PARTITION BY item ORDER BY seq)),
+q AS (SELECT *, status <> 'success' AND {_antibot('error')} AS hit, {_antibot('pe')} AS before, CASE WHEN pr = '' THEN 'direct' ELSE pr END AS r FROM p),
+b AS (SELECT *, CASE WHEN hit AND rung <> 'research' THEN CASE WHEN rung = 'deep' THEN 'Aggressive' ELSE 'Moderate' END WHEN before OR hit THEN CASE WHEN r = 'deep' THEN 'Aggressive' ELSE 'Moderate' END
+  WHEN status <> 'success' OR rung = 'research' THEN 'Unknown' ELSE 'None Detected' END AS bot FROM q),
+s AS (SELECT item, max(seq) AS seq, arg_max(rung, seq) AS rung, arg_max(status, seq) AS status, arg_max(error, seq) AS error, arg_max(seconds, seq) AS seconds, arg_max(bot, seq) AS bot FROM b GROUP BY item),
+c AS (SELECT w.item, CASE WHEN count(m.seq) = 0 THEN '0.000000' WHEN count(m.usage_cost) = 0 THEN '' ELSE CAST(CAST(round(sum(CAST(m.usage_cost AS DECIMAL(18,9))), 6) AS DECIMAL(28,6)) AS STRING) END AS cost FROM work_items w LEFT JOIN model_calls m ON m.item = w.item GROUP BY w.item),
+j AS (SELECT w.item, w.type = 'website' AS site, s.*, d."Quality" AS q, d."Content_Length" AS len, d."IAB Tier 1" AS t1, d.seq AS known, c.cost, s.status = 'success' AND d.seq IS NOT NULL AND d."Quality" <> 'Failed' AS good
+  FROM work_items w JOIN s ON s.item = w.item LEFT JOIN results d ON d.seq = w.item LEFT JOIN c ON c.item = w.item)
+SELECT CAST(item AS STRING) AS "Domain", CASE WHEN site THEN 'WEBSITE' ELSE 'IOS' END AS "Type", CASE WHEN site OR known IS NULL THEN '' ELSE concat('App ', CAST(known AS STRING)) END AS "App_Name", CASE WHEN site OR known IS NULL THEN '' ELSE 'Dev' END AS "Developer",
+  CASE WHEN site OR known IS NULL THEN '' ELSE t1 END AS "Store_Category", CASE WHEN site OR known IS NULL THEN '' ELSE '4.5' END AS "Rating", CASE WHEN site OR known IS NULL THEN '' ELSE CAST(known * 3 AS STRING) END AS "Rating_Count", CASE WHEN site OR known IS NULL THEN '' ELSE '10+' END AS "Downloads",
+  CASE WHEN good THEN q ELSE 'Failed' END AS "Quality", CASE WHEN good THEN concat('Why ', CAST(known AS STRING)) ELSE concat('Processing failed: ', error) END AS "Justification",
+  CASE WHEN good THEN t1 ELSE 'N/A' END AS "IAB Tier 1", CASE WHEN good THEN 'Two' ELSE 'N/A' END AS "IAB Tier 2", CASE WHEN good THEN '' ELSE 'N/A' END AS "IAB Tier 3", CASE WHEN good THEN 'D' ELSE 'N/A' END AS "Description",
+  CASE WHEN good AND known % 2 = 0 THEN 'English' ELSE 'Unknown' END AS "Language", CASE WHEN good AND known % 3 = 0 THEN 'Center' ELSE 'Non-Political' END AS "Political_Leaning", CASE WHEN good AND known % 5 = 0 THEN 'M' ELSE 'Unknown' END AS "Audience_Size",
+  CASE WHEN site THEN bot ELSE '' END AS "Bot_Protection", coalesce(CAST(len AS STRING), '0') AS "Content_Length", coalesce(CAST(seconds AS STRING), '') AS "Processing_Time", CASE WHEN site THEN rung ELSE 'ios_api' END AS "Scrape_Mode", 'openrouter' AS "Classifier_Mode",
+  CASE WHEN known IS NULL THEN '' ELSE 'now' END AS "Scraped_At", cost AS "Cost_USD" FROM j""")
 def _(spark, sf, items, attempts, calls, results):
-    none = F.lit("").alias
-    found = results.select(F.col("seq").alias("item"), none("app_name"), none("developer"), none("store_category"), none("rating"), none("rating_count"), none("downloads"), F.col("Content_Length").alias("content_length"), none("scraped_at"))
-    given = results.filter("Quality <> 'Failed'").select(F.col("seq").alias("item"), F.col("Quality").alias("quality"), F.lit("Why").alias("justification"), F.lit("T").alias("tier1"), none("tier2"), none("tier3"), F.lit("D").alias("description"), F.lit("English").alias("language"), F.lit("Center").alias("political_leaning"), F.lit("S").alias("audience_size"))
-    out = labels.assemble_results(items, found, given, _one_run(attempts), spend.parse_costs(calls))
-    return out.select("Domain", "Type", "Quality", "Justification", "Scrape_Mode")
-
-
-@query("d16_assemble_ctv_results", ["ctv_list", "model_calls"], """
-SELECT app_name AS "App_Name", bundle_id AS "Bundle_ID", CASE WHEN row_no % 5 IN (1, 2) THEN 'Standard' ELSE 'Failed' END AS "Quality", CASE row_no % 5 WHEN 0 THEN 'Insufficient information' WHEN 1 THEN 'All is well.' WHEN 2 THEN 'All is well.' WHEN 3 THEN 'All is well.' ELSE '' END AS "Research_Summary" FROM ctv_list""")
+    """All columns, of apps and websites, successes and failures, with and without evidence and labels."""
+    seq = F.col("seq")
+    text = lambda v, name: F.lit(v).alias(name)
+    some = lambda n, v, name: F.when(seq % n == 0, v).otherwise("").alias(name)
+    found = results.select(seq.alias("item"), F.concat(F.lit("App "), seq.cast("string")).alias("app_name"), text("Dev", "developer"), F.col("IAB Tier 1").alias("store_category"), text("4.5", "rating"), (seq * 3).alias("rating_count"), text("10+", "downloads"), F.col("Content_Length").alias("content_length"), text("now", "scraped_at"))
+    given = results.filter("Quality <> 'Failed'").select(seq.alias("item"), F.col("Quality").alias("quality"), F.concat(F.lit("Why "), seq.cast("string")).alias("justification"), F.col("IAB Tier 1").alias("tier1"), text("Two", "tier2"), text("", "tier3"), text("D", "description"), some(2, "English", "language"), some(3, "Center", "political_leaning"), some(5, "M", "audience_size"))
+    return labels.assemble_results(items, found, given, _one_run(attempts), spend.parse_costs(calls))
+
+
+@query("d16_assemble_ctv_results", ["ctv_list", "model_calls"], f"""
+, c AS (SELECT w.row_no, CASE WHEN count(m.seq) = 0 THEN '0.000000' WHEN count(m.usage_cost) = 0 THEN '' ELSE CAST(CAST(round(sum(CAST(m.usage_cost AS DECIMAL(18,9))), 6) AS DECIMAL(28,6)) AS STRING) END AS cost FROM ctv_list w LEFT JOIN model_calls m ON m.item = w.row_no GROUP BY w.row_no),
+j AS (SELECT l.*, row_no % 5 IN (1, 2) AS good, row_no % 5 <> 4 AS told, {PLATFORM_SQL.replace('b ', 'bundle_id ').replace('(b,', '(bundle_id,').replace('(b)', '(bundle_id)')} AS p, cost FROM ctv_list l JOIN c USING (row_no))
+SELECT app_name AS "App_Name", 'CTV' AS "Type", bundle_id AS "Bundle_ID", ssp AS "SSP", publisher AS "Publisher", p AS "Platform", concat('http://u/', CAST(row_no AS STRING)) AS "URL", CASE WHEN good THEN 'Standard' ELSE 'Failed' END AS "Quality",
+  CASE WHEN good THEN 'Why' WHEN row_no % 5 = 3 THEN 'Classification failed: {labels.NO_ARGUMENTS}' ELSE 'Research failed: No meaningful research evidence available' END AS "Justification", CASE WHEN good THEN concat('One ', CAST(row_no AS STRING)) ELSE 'N/A' END AS "IAB Tier 1",
+  CASE WHEN good THEN 'Two' ELSE 'N/A' END AS "IAB Tier 2", CASE WHEN good THEN '' ELSE 'N/A' END AS "IAB Tier 3", CASE WHEN good THEN 'Said' ELSE 'N/A' END AS "Description", CASE WHEN good THEN 'All' ELSE 'N/A' END AS "Target_Audience", CASE WHEN good THEN 'News' ELSE 'N/A' END AS "Content_Type",
+  CASE WHEN good THEN 'English' ELSE 'Unknown' END AS "Language", CASE WHEN good THEN 'Left' ELSE 'Non-Political' END AS "Political_Leaning", CASE WHEN good THEN 'Net' ELSE 'N/A' END AS "Network_Affiliation", CASE WHEN good THEN 'L' ELSE 'Unknown' END AS "Audience_Size",
+  CASE row_no % 5 WHEN 0 THEN 'Insufficient information' WHEN 4 THEN '' ELSE 'All is well.' END AS "Research_Summary", CASE WHEN told THEN '1.50' ELSE '' END AS "Processing_Time", CASE WHEN told THEN 'm' ELSE '' END AS "Research_Model", CASE WHEN good THEN 'c' ELSE '' END AS "Classification_Model", CASE WHEN told THEN 'now' ELSE '' END AS "Processed_At", cost AS "Cost_USD" FROM j""")
 def _(spark, sf, rows, calls):
-    items = rows.withColumn("key", F.col("row_no").cast("string")).withColumn("platform", ids.ctv_platform(F.col("bundle_id"))).withColumn("url", F.lit(""))
+    items = rows.withColumn("key", F.col("row_no").cast("string")).withColumn("platform", ids.ctv_platform(F.col("bundle_id"))).withColumn("url", F.concat(F.lit("http://u/"), F.col("row_no").cast("string")))
     told = items.filter("row_no % 5 <> 4").select("key", F.when(F.col("row_no") % 5 == 0, "Insufficient information").otherwise("**All** is well.").alias("research"), F.lit("m").alias("research_model"), F.lit(1.5).alias("seconds"), F.lit("now").alias("processed_at"))
-    empty = F.lit("").alias
-    given = items.filter("row_no % 5 in (1, 2)").select("key", F.lit("Standard").alias("quality"), *[empty(c) for c in ("justification", "tier1", "tier2", "tier3", "description", "target_audience", "content_type", "language", "political_leaning", "network_affiliation", "audience_size", "classification_model")])
-    out = labels.assemble_ctv_results(items, told, given, spend.parse_costs(calls).withColumn("key", F.col("item").cast("string")))
-    return out.select("App_Name", "Bundle_ID", "Quality", "Research_Summary")
+    values = {"quality": "Standard", "justification": "Why", "tier2": "Two", "tier3": "", "description": "Said", "target_audience": "All", "content_type": "News", "language": "English", "political_leaning": "Left", "network_affiliation": "Net", "audience_size": "L", "classification_model": "c"}
+    given = items.filter("row_no % 5 in (1, 2)").select("key", F.concat(F.lit("One "), "key").alias("tier1"), *[F.lit(v).alias(c) for c, v in values.items()])
+    return labels.assemble_ctv_results(items, told, given, spend.parse_costs(calls).withColumn("key", F.col("item").cast("string")))
 
 
 @query("d17_score", [], "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) > 1000) AS premium FROM documents GROUP BY source")
@@ -809,20 +834,23 @@ def _(spark, sf, attempts, runs, calls):
     return out.withColumn("percent", (F.col("percent") * 10).cast("long")).withColumn("units", _units("usd")).drop("usd")
 
 
-def _(spark, sf, attempts, runs, calls):
-    out = result_queries.run_view(runs, attempts, spend.parse_costs(calls), F.expr(NOW))
-    return out.select("run_id", "status", "total", "processed", "successful", _units("usd").alias("units"), "calls")
-
-
 @query("q6_merge_runs", ["many_runs", "attempts"], """SELECT run_id, status, created_at FROM many_runs UNION ALL SELECT run_id, 'archived', created_at FROM (SELECT seq + 1000000000 * (item % 2) AS run_id, min(ts) AS created_at FROM attempts GROUP BY 1) a WHERE run_id NOT IN (SELECT run_id FROM many_runs)""")
 def _(spark, sf, runs, attempts):
     return result_queries.merge_runs(runs, attempts.select((F.col("seq") + 1000000000 * (F.col("item") % 2)).alias("run_id"), F.col("ts").alias("created_at")))
 
 
-@query("q7_list_inputs", ["identifiers", "tlds"], _after("SELECT count(*) > 0 AS found, count(*) AS total, count(*) FILTER (WHERE type = 'ios_app') AS ios FROM typed WHERE v <> ''"))
+@query("q7_list_inputs", ["identifiers", "tlds"], _after(_BREAKDOWN.replace("SELECT source_file,", "SELECT source_file AS folder, true AS sized,")))
 def _(spark, sf, rows, tlds):
+    """Folders with files of the same names."""
     folder = scratch(spark)
-    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-    back = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder).withColumn("source_file", F.col("_metadata.file_name"))
-    listed = result_queries.list_inputs(spark, folder, identify.breakdown(back, "value", tlds))
-    return listed.agg((F.min("size") > 0).alias("found"), F.sum("total").alias("total"), F.sum("ios").alias("ios"))
+    rows.withColumn("source", F.col("source_file")).repartition(3).write.partitionBy("source").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    back = spark.read.option("header", True).option("recursiveFileLookup", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    listed = result_queries.list_inputs(spark, folder, identify.breakdown(result_queries.with_file(back), "value", tlds))
+    per = listed.groupBy(F.regexp_extract("source_file", "source=([a-z]+)/", 1).alias("folder"))
+    return per.agg((F.min("size") > 0).alias("sized"), *[F.sum(c).alias(c) for c in ("websites", "ios", "android", "total")])
+
+
+@query("q3_deep_page", ["results"], """SELECT seq, "Domain", (SELECT count(*) FROM results) AS matching FROM results ORDER BY seq LIMIT 50 OFFSET (SELECT CAST(count(*) AS BIGINT) // 2 FROM results)""")
+def _(spark, sf, results):
+    rows, n = result_queries.page(results, results.count() // 2, 50, columns=["Domain"], most=20)
+    return rows.withColumn("matching", F.lit(n).cast("long"))

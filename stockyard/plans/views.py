@@ -16,8 +16,8 @@ SELECT page_id AS row_no, 'pages' AS source_file, split(split(url, '://')[{first
 UNION ALL SELECT p_partkey + 1000000000 AS row_no, 'part' AS source_file, CAST(p_partkey + 300000000 AS STRING) AS value FROM {part}
 UNION ALL SELECT p_partkey + 1500000000 AS row_no, 'part' AS source_file, concat('  ', CAST(p_partkey + 300000000 AS STRING), '.0 ') AS value FROM {part} WHERE p_partkey % 5 = 0
 UNION ALL SELECT s_suppkey + 2000000000 AS row_no, 'supplier' AS source_file,
-  CASE s_suppkey % 7 WHEN 0 THEN concat('com.vendor', CAST(s_suppkey AS STRING), '.app') WHEN 1 THEN concat('kik.android.v', CAST(s_suppkey AS STRING))
-    WHEN 2 THEN concat('io.vendor', CAST(s_suppkey AS STRING), '.dev') WHEN 3 THEN concat('puzzle.a.b.c', CAST(s_suppkey AS STRING), '.news')
+  CASE s_suppkey % 7 WHEN 0 THEN concat('com.vendor', CAST(s_suppkey AS STRING), '.app') WHEN 1 THEN concat('gizmo.android.v', CAST(s_suppkey AS STRING))
+    WHEN 2 THEN concat('io.vendor', CAST(s_suppkey AS STRING), '.dev') WHEN 3 THEN concat('lamp.q.w.z', CAST(s_suppkey AS STRING), '.news')
     WHEN 4 THEN concat('shop-', CAST(s_suppkey AS STRING), '.com') WHEN 5 THEN concat('co.firm', CAST(s_suppkey AS STRING), '.app') ELSE 'N/A' END AS value FROM {supplier}
 UNION ALL SELECT n_nationkey + 3000000000 AS row_no, 'nation' AS source_file, concat(lower(replace(n_name, ' ', '')), '.tv') AS value FROM {nation}
 """

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockyard.operators import ladder
+from stockyard.shipping import children, delete, ship
 
 
 def live_progress(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -30,3 +35,68 @@ def read_live_state(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.parquet(out)
     rest = [c for c in rows.columns if c not in (*ladder.KEY, "batch")]
     return rows.groupBy(*ladder.KEY).agg(F.max_by(F.struct(*rest), F.struct("seq", "batch")).alias("s")).select(*ladder.KEY, "s.*")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+COUNTS = "run_id long, status string, second long, n long"
+
+
+def _retract(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the new attempts of one item change in the counts of its run: its old state goes, its new one comes.
+
+    Attempts that are no later than the one known change nothing, so that repeated and late rows count once."""
+    run = None if pd.isna(key[0]) else int(key[0])
+    old = state.get if state.exists else None
+    best = old
+    for batch in batches:
+        seq = batch["seq"]
+        at = seq.idxmax() if seq.notna().any() else None
+        if at is None:
+            best = best or (None, None, None)  # an item without any number is an entry all the same
+        elif best is None or best[0] is None or seq[at] > best[0]:
+            row = batch.loc[at]
+            best = (int(row["seq"]), row["status"], None if pd.isna(row["second"]) else int(row["second"]))
+    if best == old:
+        return
+    state.update(best)
+    rows = [(run, *s[1:], n) for s, n in ((old, -1), (best, 1)) if s is not None]
+    yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=kind) for i, (c, kind) in enumerate((("run_id", "Int64"), ("status", object), ("second", "Int64"), ("n", "int64")))})
+
+
+def live_summary(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keep the counts behind the progress summary of every run (L12) while attempts (run_id, item, seq, ts, status)
+    arrive: items by run, status and the second of their last attempt.
+
+    The last attempt of each item is in the state store (RocksDB, so on disk). Each batch takes what it changes, adds
+    it to the counts of the batch before and writes them as its own version; so a batch that runs again writes
+    the same. Counts have a row for each second in which some item's last attempt lies, not for each item. Items are
+    kept until the query ends, as an attempt may follow at any time."""
+    spark = stream.sparkSession
+    ship(spark)
+    rows = stream.select(F.col("run_id").cast("long").alias("run_id"), F.col("item").alias("item"), F.col("seq").cast("long").alias("seq"), "status", F.unix_timestamp("ts").alias("second"))
+    changes = rows.groupBy("run_id", "item").applyInPandasWithState(_retract, COUNTS, "seq long, status string, second long", "update", GroupStateTimeout.NoTimeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        if f"version={batch_id - 1}" in children(session, out):
+            batch = batch.unionByName(session.read.schema(COUNTS).parquet(f"{out}/version={batch_id - 1}"))
+        batch.groupBy("run_id", "status", "second").agg(F.sum("n").alias("n")).filter("n <> 0").write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        delete(session, f"{out}/version={batch_id - 2}")
+
+    held = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        spark.conf.unset(PROVIDER) if held is None else spark.conf.set(PROVIDER, held)
+
+
+def read_live_summary(spark: SparkSession, out: str, runs: DataFrame) -> DataFrame:
+    """`ladder.progress_summary` of all attempts so far, from the newest counts."""
+    written = [int(f.removeprefix("version=")) for f in children(spark, out) if f.startswith("version=") and "_SUCCESS" in children(spark, f"{out}/{f}")]
+    counts = spark.read.schema(COUNTS).parquet(f"{out}/version={max(written)}") if written else spark.createDataFrame([], COUNTS)
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0))
+    per = counts.groupBy("run_id").agg(F.sum("n").alias("entries"), of(ladder.SUCCESS).alias("successful"), of(ladder.ERROR).alias("errors"), of(ladder.PENDING).alias("retrying"), F.min("second").alias("first"), F.max("second").alias("last"))
+    return ladder.summary_of(per, runs)
