@@ -13,8 +13,9 @@ place where it stands. Overlapping windows add up to maximal repeats of at least
 Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
 row per task. Anchors of more than `hot` places, the 2000 most frequent of them, are found beforehand and take
 no part in the join on anchors: a broadcast says that they repeat. Which they are changes no result.
-Joins on runs and windows are plain equi-joins: a run is joined once for each place, a window once for each
-kind of run around it, and both are split at run time when skewed. Texts are shuffled compressed, by their
+So are runs of more than `hot` places and anchors of more than `hot` kinds of runs: the 2000 most frequent of either are
+broadcast and their rows stay where they are. Other joins on runs and windows are plain equi-joins: a run is joined
+once for each place, a window once for each kind of run around it. Texts are shuffled compressed, by their
 digest: copies are one text there, so groups of copies of any size are one row. Equal windows and runs are told by 64-bit hashes; words are not compared beyond them.
 
 Null text has no words. Texts of equal words are one class: its first document is the smallest id; others
@@ -168,6 +169,31 @@ def cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array(w.counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept], type=pa.string())], names=names)
 
 
+def frequent_of(df: DataFrame, by: str, least: int, most: int = 2000) -> DataFrame:
+    """The `most` rows with the largest `by` over `least`, to be broadcast: no other has more than 1 / `most` of the sum."""
+    return df.filter(F.col(by) > least).orderBy(F.desc(by)).limit(most)
+
+
+def with_runs(runs: DataFrame, again: DataFrame, hot: int) -> DataFrame:
+    """The runs that stand in `again` (anchor, run, head, times), with its head. The rows of frequent ones stay where they
+    are and meet a broadcast; the others meet in a shuffle, where none of them is large."""
+    often = F.broadcast(frequent_of(again, "times", hot).select(F.col("anchor").alias("o_anchor"), F.col("run").alias("o_run"), F.col("head").alias("o_head")))
+    marked = runs.join(often, (F.col("anchor") == F.col("o_anchor")) & (F.col("run") == F.col("o_run")), "left")
+    known = marked.filter("o_head is not null").select(*runs.columns, F.col("o_head").alias("head"))
+    rest = marked.filter("o_head is null").select(*runs.columns).join(again.select("anchor", "run", "head"), ["anchor", "run"]).select(*runs.columns, "head")
+    return known.unionByName(rest)
+
+
+def of_several_kinds(heads: DataFrame, hot: int) -> DataFrame:
+    """The kinds of runs whose anchor has several. Those of an anchor with many kinds need no join to know it."""
+    kinds = stored(heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several-kinds")
+    often = F.broadcast(frequent_of(kinds, "kinds", hot).select(F.col("anchor").alias("o_anchor")))
+    marked = heads.join(often, F.col("anchor") == F.col("o_anchor"), "left")
+    known = marked.filter("o_anchor is not null").select(*heads.columns)
+    rest = marked.filter("o_anchor is null").select(*heads.columns)
+    return known.unionByName(rest.join(kinds.select("anchor"), "anchor", "left_semi"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = 500) -> DataFrame:
     """One row per document: n_words, n_removed, kept_sha256, and the text that stays if asked for.
 
@@ -195,12 +221,13 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
 
     place = F.struct("first_id", "digest", "at")
     heads = stored(runs.groupBy("anchor", "run").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("times"), F.any_value("windows").alias("windows")), "run-heads")
-    again = heads.filter("times > 1").select("anchor", "run", "head")
-    tails = runs.join(again, ["anchor", "run"]).filter((F.col("first_id") != F.col("head.first_id")) | (F.col("digest") != F.col("head.digest")) | (F.col("at") != F.col("head.at"))).select("digest", "at", F.size("windows").alias("n"))
+    # the windows of a run are not needed here, only how many there are
+    brief = runs.select("first_id", "digest", "anchor", "run", "at", F.size("windows").alias("n"))
+    again = heads.filter("times > 1").select("anchor", "run", "head", "times")
+    tails = with_runs(brief, again, hot).filter((F.col("first_id") != F.col("head.first_id")) | (F.col("digest") != F.col("head.digest")) | (F.col("at") != F.col("head.at"))).select("digest", "at", "n")
 
-    several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
     # written before the windows are listed one by one: a run's text and place then stand there once
-    kinds = stored(heads.join(several, "anchor").select("anchor", "head", "windows"), "kinds-of-runs")
+    kinds = stored(of_several_kinds(heads.select("anchor", "head", "windows"), hot), "kinds-of-runs")
     single = kinds.select("anchor", "head", F.posexplode("windows").alias("i", "window"))
     single = single.select("anchor", "window", F.struct(F.col("head.first_id"), F.col("head.digest"), (F.col("head.at") + F.col("i")).alias("at")).alias("place"))
     firsts = single.groupBy("anchor", "window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockyard.llm import importance, merkle, minhash
+from stockyard.llm import importance, merkle, minhash, substring_dedup
 from stockyard.llm.common import numbered
 
 from test_second import brute_groups, brute_sets, planted  # noqa: F401
@@ -205,3 +205,26 @@ def test_a_common_bucket_is_bounded(spark):
     posted = sum(len(x.as_py()) // 8 for b in out for x, c in zip(b.column(1), b.column(3)) if not c.is_valid)
     tied = sum(len(x.as_py()) // 8 for b in out for x, c in zip(b.column(1), b.column(3)) if c.is_valid)
     assert posted + tied == 300 * 64 and posted < 64 * 30
+
+
+def test_one_phrase_in_every_text(spark):
+    """A phrase in all texts, in contexts of their own: its anchors have a kind of run for each text."""
+    r = random.Random(9)
+    phrase = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([f"a{r.randrange(10**6)}" for _ in range(30)] + phrase + [f"b{r.randrange(10**6)}" for _ in range(30)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    split = sorted(map(tuple, substring_dedup.remove_repeats(docs, hot=20).collect()))
+    assert plain == split and [(d, n) for d, _, n, _ in plain] == [(i, 24 if i else 0) for i in range(400)]
+
+
+def test_rows_of_frequent_runs_and_anchors_meet_no_shuffle(spark):
+    heads = spark.range(3000).selectExpr("cast(id % 3 = 0 as int) * 7 + id * cast(id % 3 > 0 as int) anchor", "id run", "struct(id, id) head").repartition(3)
+    kinds = substring_dedup.of_several_kinds(heads, 100)
+    assert sorted(r.run for r in kinds.collect()) == [i for i in range(3000) if i % 3 == 0 or i == 7]
+    runs = spark.range(3000).selectExpr("5 anchor", "id % 2 * id run", "id at").repartition(3)
+    again = runs.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min("at").alias("head")).filter("times > 1")
+    got = substring_dedup.with_runs(runs, again, 100)
+    assert got.count() == 1500 and {r.head for r in got.collect()} == {0}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
