@@ -10,9 +10,9 @@ that anchor reaches, form its run. Equal runs are whole repeats: only their firs
 Runs of one anchor that differ are extended window by window, and each window is compared with the first
 place where it stands. Overlapping windows add up to maximal repeats of at least `length` words.
 
-Anchors are counted with map-side partial aggregation, so an anchor in a third of all documents sends one
-row per task. Anchors of more than `hot` places, the 2000 most frequent of them, are found beforehand and take
-no part in the join on anchors: a broadcast says that they repeat. Which they are changes no result.
+Anchors of more than `hot` places, the 2000 most frequent of them, are found beforehand with map-side partial
+aggregation: a broadcast says that they repeat, and their places are spread over all tasks. The places of any other
+anchor meet in one task, which counts them; they are less than 1 / 2000 of all. Which they are changes no result.
 So are runs of more than `hot` places and anchors of more than `hot` kinds of runs: the 2000 most frequent of either are
 broadcast and their rows stay where they are. Other joins on runs and windows are plain equi-joins: a run is joined
 once for each place, a window once for each kind of run around it. Texts are shuffled compressed, by their
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.llm.common import ship, stored
@@ -210,11 +210,10 @@ def remove_repeats(docs: DataFrame, length: int = 20, k: int = 8, id_col: str =
     anchors = texts.select("digest", "body", "first_id").mapInArrow(lambda it: anchor_batches(it, length, k), "digest binary, anchor long, at int")
     counted = stored(source.select("body").mapInArrow(lambda it: anchor_counts(it, length, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(f"n > {hot}"), "frequent-anchors")
     frequent = counted.orderBy(F.desc("n"), "anchor").limit(2000).select(F.col("anchor").alias("frequent"))
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("again"))
-    # places of frequent anchors are spread by their text in the join, where they match nothing
+    # places of frequent anchors are spread by their text; those of any other one meet in one task, which counts them
     known = F.col("frequent").isNotNull()
     marked = anchors.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left").select("digest", "at", F.when(known, F.xxhash64("digest", "at")).otherwise(F.col("anchor")).alias("spread"), known.alias("known"))
-    met = marked.join(repeated, F.col("spread") == F.col("again"), "left").filter("known or again is not null")
+    met = marked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("spread"))).filter("known or n > 1")
     seeds = met.groupBy(F.col("digest").alias("s_digest")).agg(F.collect_list("at").alias("begins"))
     seeded = texts.join(seeds, texts.digest == seeds.s_digest).select("first_id", "digest", "body", "begins")
     runs = stored(seeded.mapInArrow(lambda it: run_batches(it, length, k), "first_id long, digest binary, anchor long, run long, at int, windows array<long>"), "runs")
