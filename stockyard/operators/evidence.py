@@ -357,6 +357,7 @@ def play_fields(page: Page) -> dict:
     else:
         name = meta(property="og:title")
     if not name:
+        # Fixed value: the message that callers look for.
         return {"success": False, "error": "Could not extract app name - page might be blocked or app not found"}
     labels = [e.attrs["aria-label"] for e in page.elements if "aria-label" in e.attrs]
     rating, count = 0.0, 0
@@ -410,6 +411,7 @@ def extract_play_pages(df: DataFrame, package: str = "package", html: str = "htm
     ship(df.sparkSession)
     parsed = rows.filter(~F.col("blocked")).select("package", "html").mapInPandas(run, PLAY)
     kinds = {f.split()[0]: f.split()[1] for f in PLAY.split(", ")}
+    # Fixed value: the message that callers look for.
     fixed = {"success": F.lit(False), "error": F.lit("Blocked by Google Play Store"), "package": F.col("package")}
     blocked = rows.filter("blocked").select(*[fixed.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names])
     return parsed.unionByName(blocked)
@@ -466,6 +468,7 @@ def store_evidence(df: DataFrame, platform: str, longest: int = 2000) -> DataFra
 
 
 def fetch_stats(attempts: DataFrame, by: list[str], ok: Column | None = None) -> DataFrame:
+    """Requests, successes, errors and percent of successes (2 places) by the columns given; a null status is an error."""
     ok = F.col("status") == "success" if ok is None else ok
     n = F.count(F.lit(1))
     good = F.count_if(ok)

@@ -48,6 +48,7 @@ def with_type(df: DataFrame, value: Column, tlds: DataFrame, out: str = "type")
 
 
 def classify_identifiers(df: DataFrame, col: str, tlds: DataFrame) -> DataFrame:
+    """Adds `type` to every row; blank and null values are websites."""
     return with_type(df, _c(col), tlds)
 
 
@@ -165,6 +166,7 @@ def breakdown(df: DataFrame, col: str, tlds: DataFrame, by: tuple[str, ...] = ("
 
 
 def ctv_breakdown(df: DataFrame, by: tuple[str, ...] = ("source_file",)) -> DataFrame:
+    """ctv and total per group: rows with a bundle id (without such a column: an app name); no dedupe."""
     fields = ctv_columns(_data_columns(df))
     column = fields["bundle_id"] or fields["app_name"] or _data_columns(df)[0]
     return df.filter(cells.clean(_c(column)) != "").groupBy(*by).agg(F.count(F.lit(1)).alias("ctv")).withColumn("total", F.col("ctv"))
@@ -210,10 +212,12 @@ def build_ctv_items(df: DataFrame) -> DataFrame:
 
 
 def infer_ctv_platform(df: DataFrame, col: str) -> DataFrame:
+    """Adds `platform` by the form of the bundle id; Unknown for nulls, blanks and other forms."""
     return df.withColumn("platform", ids.ctv_platform(_c(col)))
 
 
 def platform_mix(df: DataFrame, col: str) -> DataFrame:
+    """(platform, n) over all rows, repeated ones too."""
     return infer_ctv_platform(df, col).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -225,4 +229,5 @@ def distinct_ctv_apps(df: DataFrame, col: str = "app_name") -> DataFrame:
 
 
 def items_of_type(items: DataFrame, kind: str) -> DataFrame:
+    """The items of one type; those without a type are of none."""
     return items.filter(F.col("type") == kind)

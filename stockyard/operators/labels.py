@@ -117,6 +117,7 @@ def taxonomy_paths(tax: DataFrame) -> DataFrame:
 
 
 def taxonomy_outline(tax: DataFrame) -> DataFrame:
+    """The distinct first three tiers, sorted; rows without a first tier are left out, null lower tiers stay null."""
     return tax.filter("tier1 <> ''").select("tier1", "tier2", "tier3").distinct().orderBy("tier1", "tier2", "tier3")
 
 

@@ -24,6 +24,7 @@ def latest_state(attempts: DataFrame) -> DataFrame:
 
 
 def ids_by_status(state: DataFrame, status: str) -> DataFrame:
+    """(run_id, item) of a status, sorted, nulls first; items without a status are of none."""
     return state.filter(F.col("status") == status).select(*KEY).orderBy(*KEY)
 
 
@@ -37,6 +38,7 @@ def pending_items(items: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def first_pass(items: DataFrame, state: DataFrame) -> DataFrame:
+    """Items that neither succeeded nor wait for a retry; null items, which have no state, and repeated ones stay."""
     return items.join(state.filter(F.col("status").isin(SUCCESS, PENDING)), _keys(items, state), "left_anti")
 
 
@@ -76,6 +78,7 @@ def finalize_pending(state: DataFrame) -> DataFrame:
 
 
 def reset_failed(state: DataFrame) -> DataFrame:
+    """The states without errors; those without a status are left out too."""
     return state.filter(F.col("status") != ERROR)
 
 

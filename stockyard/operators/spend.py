@@ -16,6 +16,7 @@ def parse_cost(c: Column) -> Column:
 
 
 def parse_costs(calls: DataFrame, col: str = "usage_cost") -> DataFrame:
+    """Adds `cost`; null, so unpriced, for nulls and for whatever is not a finite number of at least 0."""
     return calls.withColumn("cost", parse_cost(F.col(col)))
 
 
@@ -24,6 +25,7 @@ def _sums() -> list[Column]:
 
 
 def run_cost(calls: DataFrame) -> DataFrame:
+    """(run_id, usd, calls, unpriced_calls); calls without a run are a run of their own, repeated rows all count."""
     return calls.groupBy("run_id").agg(*_sums())
 
 
@@ -55,5 +57,6 @@ def resume_cost(snapshot: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def token_usage(calls: DataFrame) -> DataFrame:
+    """(model, requests, total_tokens, mean_tokens); null tokens count as requests of none, a null model is its own."""
     n, total = F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))
     return calls.groupBy("model").agg(n.alias("requests"), total.cast("long").alias("total_tokens"), (total.cast("decimal(20,0)") / n).cast("decimal(18,2)").alias("mean_tokens"))

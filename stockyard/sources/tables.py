@@ -191,6 +191,7 @@ def null_missing(df: DataFrame) -> DataFrame:
 
 
 def clean_cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns given with trimmed cells, "" for nulls and missing values, whole numbers without ".0"."""
     return df.withColumns({c: cells.clean(F.col(f"`{c}`")) for c in cols})
 
 
@@ -262,6 +263,7 @@ def migrate_results(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def export_results(df: DataFrame) -> DataFrame:
+    """The results without what they cost; all rows and other columns stay."""
     return df.drop("Cost_USD")
 
 
@@ -269,10 +271,12 @@ ATTEMPT_LOG = "timestamp string, domain string, ok boolean, status_code int, err
 
 
 def read_attempts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The attempt log, one JSON object a line; absent and wrong values are null, a broken line is a row of nulls."""
     return (spark.readStream if stream else spark.read).schema(ATTEMPT_LOG).json(path)
 
 
 def write_attempts(df: DataFrame, path: str) -> None:
+    """Append attempts to the log; nulls are left out of a line, other columns of the log."""
     df.select(*[f.split()[0] for f in ATTEMPT_LOG.split(", ")]).write.mode("append").json(path)
 
 
