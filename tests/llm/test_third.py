@@ -228,3 +228,23 @@ def test_rows_of_frequent_runs_and_anchors_meet_no_shuffle(spark):
     assert got.count() == 1500 and {r.head for r in got.collect()} == {0}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_shards_by_a_plain_ranking(spark, documents):
+    """Law `rows` by the method's own words: ranks in a source by seeded hash, fractional ranks, equal runs."""
+    from stockyard.llm import sharding
+
+    rows = [(r.doc_id, r.source, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in documents.collect()]
+    key = lambda r: (hashlib.md5(f"17:{r[0]}".encode()).hexdigest(), r[0], r[2], r[3])
+    by_source, shares = {}, []
+    for r in rows:
+        by_source.setdefault("" if r[1] is None else "=" + r[1], []).append(r)
+    for source, mine in by_source.items():
+        shares += [((2 * (i + 1) - 1) / (2 * len(mine)), source, key(r), r) for i, r in enumerate(sorted(mine, key=key))]
+    n = len(rows)
+    want = {}
+    for at, (_, _, _, r) in enumerate(sorted(shares, key=lambda s: s[:3])):
+        shard = at * 40 // n
+        want[r[0]] = (shard, at - -(-shard * n // 40))
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(documents, shards=40).collect()}
+    assert got == want
