@@ -218,21 +218,26 @@ def gate_research(df: DataFrame, col: str = "research", least: int = 0) -> DataF
 
 
 def strip_markdown(c: Column) -> Column:
+    """Text without Markdown's signs, trimmed. A rule runs only where its sign occurs; most texts have few of them."""
     rules = (
-        (r"(?m)^#{1,6}[\s\x1c-\x1f\x85\p{Z}]+", ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"\[\p{Nd}+\]", ""),
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"__([^_]+)__", "$1"),
-        (r"(?<!\*)\*([^*]+)\*(?!\*)", "$1"),
-        (r"(?<!_)_([^_]+)_(?!_)", "$1"),
-        (r"`([^`]+)`", "$1"),
-        (r"\n{3,}", "\n\n"),
-        (r"(?m)^[ \t]+", ""),
+        ("#", r"(?m)^#{1,6}[\s\x1c-\x1f\x85\p{Z}]+", ""),
+        ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        ("[", r"\[\p{Nd}+\]", ""),
+        ("**", r"\*\*([^*]+)\*\*", "$1"),
+        ("__", r"__([^_]+)__", "$1"),
+        ("*", r"(?<!\*)\*([^*]+)\*(?!\*)", "$1"),
+        ("_", r"(?<!_)_([^_]+)_(?!_)", "$1"),
+        ("`", r"`([^`]+)`", "$1"),
+        ("\n\n\n", r"\n{3,}", "\n\n"),
     )
-    for pattern, to in rules:
-        c = F.regexp_replace(c, pattern, to)
-    return strip(c)
+
+    def rule(sign: str, pattern: str, to: str):
+        return lambda x: F.when(x.contains(sign), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    for r in rules:
+        # a lambda's variable is worked out once, where a column would be for each time that it is named
+        c = F.get(F.transform(F.array(c), rule(*r)), F.lit(0))
+    return strip(F.regexp_replace(c, r"(?m)^[ \t]+", ""))
 
 
 def summarize_research(df: DataFrame, col: str = "research", n: int = 1000) -> DataFrame:

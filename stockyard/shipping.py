@@ -96,6 +96,12 @@ def results_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far in this session. Results that still read them cannot be used any more, so a long
+    session calls this between pieces of work whose results are written or collected."""
+    delete(spark, results_dir(spark))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     spark = df.sparkSession

@@ -219,3 +219,13 @@ def test_replies_without_labels_are_not_routed(spark):
     tax = spark.createDataFrame([], "line_no long, name string, tier1 string, tier2 string, tier3 string, tier4 string")
     got = {r.item: (r.vertical, r.tier1, r.political_leaning) for r in labels.decode_ctv_labels(labels.unwrap_replies(rows), labels.taxonomy_paths(tax)).collect()}
     assert got == {1: (None, None, None), 2: ("Politics > Civic affairs", "Politics", "Center"), 3: (None, None, None)}
+
+
+def test_written_tables_are_released(spark):
+    from stockyard import shipping
+
+    held = shipping.stored(spark.range(3), "held")
+    assert held.count() == 3 and shipping.children(spark, shipping.results_dir(spark))
+    shipping.release(spark)
+    assert shipping.children(spark, shipping.results_dir(spark)) == []
+    assert shipping.stored(spark.range(3), "again").count() == 3
