@@ -29,7 +29,9 @@ import json
 import os
 import sys
 import types
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -213,32 +215,44 @@ class Encoder:
             self.joins.put((left, right), found)
         return found
 
-    def joined(self, left: bytes, left_ids: list[int], right: bytes, right_ids: list[int]) -> list[int]:
-        """Ids of left + right out of those of both. `right` begins with white space."""
-        words = lambda b: np.flatnonzero([a in WHITE and (i == 0 or b[i - 1] not in WHITE) for i, a in enumerate(b)])
-        starts, ends = words(left), words(right)
+    def join(self, left: bytearray, ids: array, right: bytes, right_ids: list[int]) -> None:
+        """Append `right`, which begins with white space, to `left`, and to `ids` what it adds or changes.
+
+        Both are read from the join outwards, only as far as they are encoded as one."""
+        opens = lambda b, i: b[i] in WHITE and (i == 0 or b[i - 1] not in WHITE)
+        back = (i for i in range(len(left) - 1, -1, -1) if opens(left, i))
+        ahead = (i for i in range(len(right)) if opens(right, i))
+        starts: list[int] = []
+        ends: list[int] = []
         k = 1
-        while k <= max(len(starts), len(ends)):
-            a = left[starts[-k] :] if k <= len(starts) else left
-            b = right[: ends[k]] if k < len(ends) else right
-            ta, tb, both = self.ids(a), self.ids(b), self.ids(a + b)
-            whole = (a == left, b == right)
+        while True:
+            starts += islice(back, k - len(starts))
+            ends += islice(ahead, k + 1 - len(ends))
+            a = starts[k - 1] if k <= len(starts) else 0
+            b = ends[k] if k < len(ends) else len(right)
+            before, behind = bytes(left[a:]), right[:b]
+            both = self.ids(before + behind)
+            if a == 0 and b == len(right):
+                ids[:] = array("I", both)
+                break
+            ta, tb = self.ids(before), self.ids(behind)
+            cut = len(ids) - len(ta)
             # the parts are known at both ends: what stands there is the same alone, in its chunk and joined
-            if both and (whole[0] or (left_ids[-len(ta) :] == ta and both[:1] == ta[:1])) and (whole[1] or (right_ids[: len(tb)] == tb and both[-1:] == tb[-1:])):
-                if both == ta + tb or (len(ta) > 1 and len(tb) > 1) or all(whole):
-                    return left_ids[: len(left_ids) - len(ta)] + both + right_ids[len(tb) :]
+            known = both and (a == 0 or (ids[cut:].tolist() == ta and both[:1] == ta[:1])) and (b == len(right) or (right_ids[: len(tb)] == tb and both[-1:] == tb[-1:]))
+            if known and (both == ta + tb or (len(ta) > 1 and len(tb) > 1)):
+                del ids[0 if a == 0 else cut :]
+                ids.extend(both)
+                ids.extend(right_ids[len(tb) :])
+                break
             k *= 2
-        return self.ids(left + right)
+        left += right
 
     def text(self, chunks: list[bytes]) -> bytes:
         """One text given as chunks."""
-        ids, done = [], b""
+        ids, done = array("I"), bytearray()
         for c in chunks:
             own = np.frombuffer(self.encodings([c])[0], dtype="<u4").tolist()
-            ids = self.joined(done, ids, c, own) if done else own
-            done += c
-            if len(done) > 1 << 16 and len(chunks) > 1:
-                return self.direct(b"".join(chunks))  # longer than what joins look back on
+            self.join(done, ids, c, own)
         return np.array(ids, dtype="<u4").tobytes()
 
 

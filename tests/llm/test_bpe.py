@@ -56,3 +56,16 @@ def test_a_join_that_does_not_agree(path):
     assert len(bpe.cut_points(data)) > 1
     found = list(bpe.by_words(enc, data, np.array([0, len(data)])))
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == [tokenizer.encode(text, add_special_tokens=False).ids]
+
+
+def test_joins_look_back_no_further_than_they_differ(path):
+    """A text of many chunks is joined in whole, at a cost per join that does not grow with what is joined already."""
+    enc, tokenizer = bpe.Encoder(path), Tokenizer.from_file(path)
+    words = [f" w{i} isn't  the same" for i in range(12_000)]
+    chunks = ["".join(words[i : i + 40]).encode() for i in range(0, len(words), 40)]
+    whole = b"".join(chunks)
+    assert len(whole) > 1 << 17
+    read, ids = [], enc.ids
+    enc.ids = lambda data: read.append(len(data)) or ids(data)
+    assert np.frombuffer(enc.text(chunks), dtype="<u4").tolist() == tokenizer.encode(whole.decode(), add_special_tokens=False).ids
+    assert sum(read) < 4 * len(whole) and max(read[3:]) < 1 << 10
