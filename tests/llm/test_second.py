@@ -234,7 +234,7 @@ def brute_scores(rows, words, endings, depth, least, keep):
     train = [sequence(t) for i, t in rows if not held(i)]
     first = Counter(x for q in train for x in q[1:])
     zero = lambda x: (first[x] + 0.5) / (sum(first.values()) + 0.5 * alphabet)
-    states, looked = {(): None}, {}
+    states, diverging = {(): None}, {()}
 
     def p(context, x):
         while context not in states:
@@ -249,17 +249,14 @@ def brute_scores(rows, words, endings, depth, least, keep):
         found = defaultdict(Counter)
         for q in train:
             for at in range(d, len(q)):
-                c = tuple(reversed(q[at - d : at]))
-                if c[:-1] in states and (d == 1 or looked.get(c[1:], {}).get(c[0], 0) >= least):
-                    found[c][q[at]] += 1
-        looked = {c: n for c, n in found.items() if sum(n.values()) >= least}
-        new = {}
-        for c, own in looked.items():
+                found[tuple(reversed(q[at - d : at]))][q[at]] += 1
+        new = {c: own for c, own in found.items() if sum(own.values()) >= least}
+        for c, own in new.items():
             n = sum(own.values())
-            far = sum(k * math.log(k / n / p(c[:-1], x)) for x, k in own.items())
-            if far > keep * len(own):
-                new[c] = own
+            if sum(k * math.log(k / n / p(c[:-1], x)) for x, k in own.items()) > keep * len(own):
+                diverging |= {c[:k] for k in range(1, d + 1)}
         states |= new
+    states = {c: own for c, own in states.items() if c in diverging}
     inside = defaultdict(lambda: [0, 0])
     for x, n in counts.items():
         if x not in top:
@@ -301,6 +298,20 @@ def test_tree_is_a_distribution(documents):
     assert abs(p.reshape(states, symbols).sum(axis=1) - 1).max() < 1e-4
 
 
+def test_a_long_context_behind_one_that_tells_nothing(spark):
+    """Two words decide the next one, where one word alone says nothing of it."""
+    r = random.Random(6)
+    rows = []
+    for _ in range(200):
+        x = [r.randrange(3), r.randrange(3)]
+        while len(x) < 60:
+            x.append((x[-1] + x[-2]) % 3 if r.random() < 0.8 else r.randrange(3))
+        rows.append((" ".join(f"w{i}" for i in x),))
+    tree = suffix_tree.Model(spark.createDataFrame(rows, "text string"), 100, 8, 2, 16, 8.0, 1000, 1 << 20).tree
+    behind = np.unique(tree.children[1][0] // (tree.symbols + 1))
+    assert len(behind) == 3 and not tree.far[behind].any() and tree.far[tree.children[1][1]].all()
+
+
 def test_tree_keeps_to_its_bound(documents):
     few = suffix_tree.Model(documents.select("text"), 50, 40, 4, 4, 1.0, 1000, 400).tree
     assert 0 < len(few.codes) <= 400
