@@ -71,6 +71,23 @@ def test_decontamination(request, spark, sf, which, limit):
     assert Counter(rows_of(clean)) == Counter(r for r, f in zip(rows_of(df), flags) if not f)
 
 
+def test_a_passage_in_every_document_meets_the_benchmark_in_many_groups(spark):
+    passage = " ".join(f"bench{i}" for i in range(12))
+    docs = spark.range(600, numPartitions=3).select(F.col("id").alias("doc_id"), F.concat(F.lit("d"), "id", F.lit(f" {passage} e"), "id").alias("text"))
+    bench = spark.createDataFrame([(i, f"{passage} more{i}") for i in range(300)] + [(900, "words that no document has"), (None, passage)], "item_id long, text string")
+    got = [tuple(r) for r in decontamination.contamination(docs, bench, index_bytes=0, many=50).collect()]
+    assert Counter(got) == Counter(contaminated(rows_of(docs), [tuple(r) for r in bench.collect()]))
+    assert decontamination.clean(docs, bench, index_bytes=0, many=50).count() == 0
+
+    rows = spark.range(3000, numPartitions=3).select("id", F.lit(10).alias("length"), F.when(F.col("id") < 2900, 5).otherwise(F.col("id")).alias("hash"), F.lit(6).cast("long").alias("second"))
+    keys = spark.range(3000).select(F.lit(10).alias("length"), F.col("id").alias("hash"), F.lit(6).cast("long").alias("second"))
+    dealt, each = decontamination.parted(rows, keys, 100)
+    groups = [r["count"] for r in dealt.groupBy(*decontamination.WINDOW, "part").count().collect()]
+    assert sum(groups) == 3000 and max(groups) < 200
+    assert each.count() == 3000 + 28
+    assert Counter(r.id for r in decontamination.meet(rows, keys, 100).collect()) == Counter(range(3000))
+
+
 @pytest.mark.parametrize("which", ["odd", "documents", "none"])
 def test_sharding(request, which):
     df = request.getfixturevalue(which)
