@@ -220,7 +220,7 @@ def gate_research(df: DataFrame, col: str = "research", least: int = 0) -> DataF
 def strip_markdown(c: Column) -> Column:
     """Text without Markdown's signs, trimmed. A rule runs only where its sign occurs; most texts have few of them."""
     rules = (
-        ("#", r"(?m)^#{1,6}[\s\x1c-\x1f\x85\p{Z}]+", ""),
+        ("#", r"(?dm)^#{1,6}[\s\x1c-\x1f\x85\p{Z}]+", ""),
         ("](", r"\[([^\]]+)\]\([^)]+\)", "$1"),
         ("[", r"\[\p{Nd}+\]", ""),
         ("**", r"\*\*([^*]+)\*\*", "$1"),
@@ -237,7 +237,7 @@ def strip_markdown(c: Column) -> Column:
     for r in rules:
         # a lambda's variable is worked out once, where a column would be for each time that it is named
         c = F.get(F.transform(F.array(c), rule(*r)), F.lit(0))
-    return strip(F.regexp_replace(c, r"(?m)^[ \t]+", ""))
+    return strip(F.regexp_replace(c, r"(?dm)^[ \t]+", ""))
 
 
 def summarize_research(df: DataFrame, col: str = "research", n: int = 1000) -> DataFrame:
@@ -245,7 +245,7 @@ def summarize_research(df: DataFrame, col: str = "research", n: int = 1000) -> D
     text = strip_markdown(F.coalesce(F.col(col), F.lit("")))
     rows = df.withColumn("__t", text)
     head = F.left("__t", F.lit(n))
-    cut = F.regexp_extract(head, r"(?s)\A(.*[.!?])(?=[\s\x1c-\x1f\x85]|\z)", 1)
+    cut = F.regexp_extract(head, r"(?sU)\A(.*[.!?])(?=[\s\x1c-\x1f]|\z)", 1)
     short = F.when(F.length(cut) * 2 >= n, strip(cut)).otherwise(F.concat(strip(head), F.lit("...")))
     return rows.withColumn("summary", F.when(F.length("__t") <= n, F.col("__t")).otherwise(short)).drop("__t")
 

@@ -279,6 +279,25 @@ def test_markdown(spark):
     assert [r.summary for r in labels.summarize_research(df, n=15).collect()] == ["One two.", "no end at all i...", "short"]
 
 
+def test_markdown_as_in_sql(spark):
+    """The SQL of d10 on signs that SQL must not strip: lone ones, pairs across others, runs, and those that it uses itself."""
+    import duckdb
+
+    from stockyard.plans import registry
+
+    texts = ["a +** b *it* c", "ends. * lone", "*a* *b * c** *d", "***x*** y *z*", "\ue000*a*\ue001 0 \ue0011*b", "x\r# no head\r  no indent\n# head\n \t in", "# # t [12] *[3]*[a](b)c*", "", "it`s ` *", "b" * 200 + ".\u00a0" + "c * d " * 40, "b" * 149 + ".\u3000" + "c" * 200, " the the * the _ __u__ the", "***\n\n\n\n* **"]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source text, lang text, text text, n_chars bigint)")
+    con.execute("create table labels (doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into documents values (?, 's', 'en', ?, 1)", list(enumerate(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq long, Description string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "spark_view", lambda *_: rows)
+        got = sorted(tuple(r) for r in registry.QUERIES["d10_summarize_research"](spark, "").collect())
+    assert got == sorted(con.execute(registry.SQL["d10_summarize_research"]).fetchall())
+    assert dict(got)[0] == "Title\nBold\n\na ++ b it c" and dict(got)[1].endswith("ends. * lone")
+
+
 def test_specs():
     ok = {"categories": [{"name": "A", "type": "choice", "question": "?", "options": ["x", "y"]}]}
     assert labels.decision_columns(ok)[:5] == ["Custom: A", "P(yes/choice): A", "Confidence: A", "P: A / x", "P: A / y"]
