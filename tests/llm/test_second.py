@@ -317,6 +317,18 @@ def test_tree_keeps_to_its_bound(documents):
     assert 0 < len(few.codes) <= 400
 
 
+@pytest.mark.parametrize("which,entries", [("documents", 400), ("documents", 6000), ("documents", 40000), ("messy", 60)])
+def test_contexts_beyond_the_tree_sent(request, which, entries):
+    """What does not go into the part that is sent counts all the same: scores are those of the whole tree."""
+    df = request.getfixturevalue(which)
+    options = {"words": 60, "endings": 30, "depth": 5, "least": 2 if which == "messy" else 4, "keep": 1.0}
+    expected, _, _ = brute_scores(rows_of(df), **options)
+    got = suffix_tree.score(df, entries=entries, **options).collect()
+    close = lambda r: (str(r[0]), *r[1:5], round(r[5]), round(r[6]))
+    for a, b in zip(sorted(map(tuple, got), key=close), sorted(expected, key=close), strict=True):
+        assert a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-3 * max(10, abs(b[6]))
+
+
 def test_more_text_has_longer_contexts(spark):
     """A passage that stands `least` times is known by long contexts, whatever else there is."""
     r = random.Random(2)
