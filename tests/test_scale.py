@@ -229,3 +229,36 @@ def test_written_tables_are_released(spark):
     shipping.release(spark)
     assert shipping.children(spark, shipping.results_dir(spark)) == []
     assert shipping.stored(spark.range(3), "again").count() == 3
+
+
+def test_headers_take_few_lines_to_the_driver(spark, tmp_path, monkeypatch):
+    """Quoted cells that span lines behind a header of one line: nothing but that line is fetched. One that spans lines
+    itself takes as many as it has, and texts with an odd quote where the lines end take no more."""
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("a;b\n" + f'"{i}\n";x\n' * 3000)
+    fetched = []
+    reader = tables.splits.texts
+
+    class Fetched:
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        def select(self, *c):
+            return Fetched(self.df.select(*c))
+
+        def limit(self, n):
+            fetched.append(n)
+            return self.df.limit(n)
+
+    # lists of one file are what a header is fetched from
+    monkeypatch.setattr(tables.splits, "texts", lambda s, path, *e: Fetched(reader(s, path, *e)) if isinstance(path, list) and len(path) == 1 else reader(s, path, *e))
+    groups = tables._groups(spark, tables.files_of(spark, str(tmp_path)))
+    assert [(g.sep, g.fields, len(g.files)) for g in groups] == [(";", ["a", "b"], 3)] and fetched == []
+    head = tmp_path / "h"
+    head.mkdir()
+    (head / "f.csv").write_text('\n,\n"a\n\nb",c\n' + '"x\n",1\n' * 3000)
+    monkeypatch.setattr(tables._Group, "join_lines", lambda *_: None)
+    assert [(g.sep, g.fields) for g in tables._groups(spark, tables.files_of(spark, str(head)))] == [(",", ["a\n\nb", "c"])] and max(fetched) <= 16
