@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stockyard.operators import carry, identify, labels, ladder, queries
+from stockyard.operators import carry, evidence, identify, labels, ladder, queries
 from stockyard.sources import splits, tables
 from stockyard.streaming import live
 
@@ -262,3 +262,12 @@ def test_headers_take_few_lines_to_the_driver(spark, tmp_path, monkeypatch):
     (head / "f.csv").write_text('\n,\n"a\n\nb",c\n' + '"x\n",1\n' * 3000)
     monkeypatch.setattr(tables._Group, "join_lines", lambda *_: None)
     assert [(g.sep, g.fields) for g in tables._groups(spark, tables.files_of(spark, str(head)))] == [(",", ["a\n\nb", "c"])] and max(fetched) <= 16
+
+
+def test_values_are_worked_out_once(spark):
+    """A filter on the type goes below the projection of the value; it must not repeat that for each rule."""
+    tlds = spark.createDataFrame([("com",)], "tld string")
+    rows = spark.createDataFrame([(1, "moc.a"), (2, None), (3, "dlrow")], "row_no long, raw string").select("row_no", F.reverse("raw").alias("value"))
+    out = evidence.expand_targets(identify.classify_identifiers(rows, "value", tlds).filter("type = 'website'"), "value")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 6
+    assert sorted((r.row_no, r.target) for r in out.filter("value is not null").collect()) == [(1, "https://a.com"), (1, "https://www.a.com"), (3, "https://world")]
