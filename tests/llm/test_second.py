@@ -329,6 +329,34 @@ def test_contexts_beyond_the_tree_sent(request, which, entries):
         assert a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-3 * max(10, abs(b[6]))
 
 
+@pytest.mark.parametrize("which,heavy", [("documents", 6), ("documents", 60), ("messy", 3)])
+def test_long_contexts_sent_and_the_rest_behind_them(request, which, heavy):
+    """Frequent contexts of several symbols are sent, others are counted behind them, with the scores of the whole tree."""
+    df = request.getfixturevalue(which)
+    options = {"words": 60, "endings": 30, "depth": 5, "least": 2 if which == "messy" else 4, "keep": 1.0}
+    expected, _, _ = brute_scores(rows_of(df), **options)
+    got = suffix_tree.score(df, entries=12000 if which == "documents" else 400, heavy=heavy, **options).collect()
+    close = lambda r: (str(r[0]), *r[1:5], round(r[5]), round(r[6]))
+    for a, b in zip(sorted(map(tuple, got), key=close), sorted(expected, key=close), strict=True):
+        assert a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-3 * max(10, abs(b[6]))
+
+
+def test_places_beyond_the_tree_travel_in_packs(documents):
+    """Few bytes for the symbols and the row of a place, not a row of three numbers."""
+    model = suffix_tree.Model(documents.select("text"), 60, 30, 4, 4, 1.0, 1000, 400)
+    places, often = model.total, [np.arange(model.tree.symbols + 1)] + [np.zeros(0, dtype=np.int64)] * 3
+    empty = suffix_tree.Tree(model.tree.top, model.tree.symbols, model.tree.endings)
+    packs = model.part.select("row", "train", "symbols").mapInArrow(lambda it: suffix_tree.exits(it, empty, often, 5), suffix_tree.PACK).collect()
+    assert len(packs) < places / 50 and {p.bucket for p in packs} <= set(range(5))
+    assert sum(p.places for p in packs) == places and sum(len(p.data) for p in packs) < 8 * places
+
+
+def test_the_session_keeps_its_setting(spark):
+    held = spark.conf.get(suffix_tree.CLEAN, None)
+    assert suffix_tree.written(spark.range(1000).selectExpr("id % 9 AS k").distinct(), "t").count() == 9
+    assert spark.conf.get(suffix_tree.CLEAN, None) == held
+
+
 def test_more_text_has_longer_contexts(spark):
     """A passage that stands `least` times is known by long contexts, whatever else there is."""
     r = random.Random(2)
