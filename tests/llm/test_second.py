@@ -351,6 +351,18 @@ def test_places_beyond_the_tree_travel_in_packs(documents):
     assert sum(p.places for p in packs) == places and sum(len(p.data) for p in packs) < 8 * places
 
 
+def test_lookup_tables_are_bounded_together():
+    """Contexts of six lengths behind 2,600 states each took a table from code 0 on, 26 MB for each length."""
+    r = np.random.default_rng(3)
+    many = [np.unique(r.integers(d * 2600 * 2563, (d + 1) * 2600 * 2563, 60_000)) for d in range(6)] + [np.array([5, 6_000_000]), np.zeros(0, dtype=np.int64)]
+    found = suffix_tree.finders(many, 1 << 24)
+    assert sum(x.places for x in found) <= 1 << 24 and found[0].places and found[1].places and not found[6].places
+    for known, find in zip(many, found):
+        wanted = np.concatenate((known, r.integers(0, 7 * 2600 * 2563, 1000), [0, 1 << 61]))
+        slot, hit = find(wanted)
+        assert (hit == np.isin(wanted, known)).all() and (known[slot[hit]] == wanted[hit]).all()
+
+
 def test_the_session_keeps_its_setting(spark):
     held = spark.conf.get(suffix_tree.CLEAN, None)
     assert suffix_tree.written(spark.range(1000).selectExpr("id % 9 AS k").distinct(), "t").count() == 9
