@@ -138,6 +138,19 @@ def test_live_summary_after_every_batch(spark, tmp_path):
     assert len(versions) == 2
 
 
+def test_live_state_is_held_by_buckets(spark, tmp_path):
+    """Python is called for each bucket of items, not for each item; the counts are those of all items."""
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    rows = spark.range(1200).selectExpr("id % 3 AS run_id", "id % 400 AS item", "id AS seq", "timestamp_seconds(id) AS ts", "'r' AS rung", "CASE id % 2 WHEN 0 THEN 'success' ELSE 'error' END AS status", "'' AS error")
+    rows.repartition(2).write.parquet(source)
+    q = live.live_summary(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), out, checkpoint, available_now=True, buckets=8)
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 2 and 0 < q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 8
+    runs = spark.createDataFrame([(0, 900), (1, 0), (2, 9)], "run_id long, total long")
+    want = ladder.progress_summary(ladder.latest_state(rows), runs)
+    assert sorted(map(tuple, live.read_live_summary(spark, out, runs).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_live_summary_of_nothing(spark, tmp_path):
     runs = spark.createDataFrame([(1, 5)], "run_id long, total long")
     r = live.read_live_summary(spark, str(tmp_path / "none"), runs).first()
